@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import cascade, packing, rans, shared, simhash
+from barloom.llm import cascade, decontam, packing, rans, secrets, shared, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -24,6 +24,15 @@ def op2_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read_tokens(spark, path)
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", "item_id", "n_items", "similarity", F.col("first_word").cast("long"), F.col("n_words").cast("long"))
+
+
+def op4_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), radius=4, shingle=4)
 
@@ -40,6 +49,8 @@ def op10_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op2_rans_tokens": op2_rans_tokens,
+        "op3_benchmark_decontamination": op3_benchmark_decontamination,
+        "op4_secret_linking": op4_secret_linking,
         "op7_simhash_components": op7_simhash_components,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_quality_cascade": op10_quality_cascade,

@@ -16,9 +16,8 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from barloom.llm.shared import components, drop, save
 from barloom.llm.tokens import text_slices
@@ -47,16 +46,21 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
+    """doc_id, text_hash (64 bits, null for null), fp (the fingerprint as a signed long)."""
 
     def run(batches):
         for batch in batches:
             for first, n in text_slices(batch.column("text")):
                 part = batch.slice(first, n)
                 fps = np.array([fingerprint(x, shingle) for x in part.column("text").to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    few = docs.select(F.col("doc_id").cast("long"), _text_hash("text").alias("text_hash"), "text")
+    return few.mapInArrow(run, "doc_id long, text_hash long, fp long")
+
+
+def _text_hash(text: str) -> Column:
+    return F.when(F.col(text).isNotNull(), F.xxhash64(text))
 
 
 class BitPlanes:
@@ -247,18 +251,50 @@ def links(nodes: DataFrame, radius: int = 4, blocks: int = BLOCKS, tile: int = T
     return found
 
 
+def _classes(docs: DataFrame, radius: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """Saved tables: doc_id, text_hash, fp of every row; fp, label (of its component) of every fingerprint."""
+    fps = save(fingerprints(docs, shingle), "fingerprints")
+    nodes = save(fps.select("fp").distinct(), "nodes")
+    found = links(nodes, radius)
+    label = save(components(found, "a", "b"), "labels")
+    of_fp = save(nodes.join(label, nodes.fp == label.node, "left").select("fp", F.coalesce("label", "fp").alias("label")), "classes")
+    drop(nodes, found, label)
+    return fps, of_fp
+
+
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest doc_id that links reach, null if it has none).
 
     Null and blank texts have fingerprint zero and are linked like any other. Repeated rows give one result row each.
     Null doc_ids take part in links; an empty table gives an empty result; only doc_id and text are read.
     """
-    fps = save(fingerprints(docs, shingle), "fingerprints")
-    nodes = save(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    found = links(nodes.select("fp"), radius)
-    label = save(components(found, "a", "b"), "labels")
-    grouped = save(nodes.join(label, nodes.fp == label.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label")), "grouped")
-    least = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_fp = save(grouped.join(save(least, "least"), "label").select("fp", "component_id"), "components")
-    drop(nodes, found, label, grouped)
-    return fps.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    fps, of_fp = _classes(docs, radius, shingle)
+    least = save(fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(of_fp, "fp"), "least")
+    ids = save(least.groupBy("label").agg(F.min("least").alias("component_id")), "ids")
+    of_fp2 = save(least.join(ids, "label").select("fp", "component_id"), "components")
+    drop(of_fp, least, ids)
+    return fps.join(of_fp2, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
+    """docs with one row of each component: the one of the smallest doc_id, nulls last (then of the smallest text hash).
+
+    All columns stay as they are. Rows that repeat doc_id and text are copies, so one of them stays at most.
+    """
+    fps, of_fp = _classes(docs, radius, shingle)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("text_hash").isNull().alias("no_text"), "text_hash")
+    per_fp = save(fps.groupBy("fp").agg(F.min(first).alias("first"), F.count("*").alias("n")).join(of_fp, "fp"), "per_fp")
+    best = save(per_fp.groupBy("label").agg(F.min("first").alias("best")), "best")
+    marked = per_fp.join(best, "label").select("fp", "best")
+    rows = fps.groupBy("fp", "doc_id", "text_hash").agg(F.count("*").alias("n")).join(save(marked, "marked"), "fp")
+    kept = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & F.col("text_hash").eqNullSafe(F.col("best.text_hash"))
+    rows = save(rows.select("doc_id", "text_hash", kept.alias("kept"), "n").where("NOT kept OR n > 1"), "judged")
+    gone = rows.where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"))
+    again = rows.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & _text_hash("text").eqNullSafe(F.col("_h"))
+    out = docs.join(gone, same, "left_anti")
+    if not again.isEmpty():
+        copies = docs.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
+        out = out.join(again, same, "left_anti").unionByName(copies)
+    drop(of_fp, per_fp, best)
+    return out
