@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import cascade, decontam, packing, rans, secrets, shared, simhash
+from barloom.llm import cascade, decontam, packing, rans, secret_scan, shared, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -30,7 +30,7 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op4_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(_table(spark, sf_dir, "documents"))
+    return secret_scan.scan(_table(spark, sf_dir, "documents"))
 
 
 def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
