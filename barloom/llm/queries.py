@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import cascade, decontam, packing, rans, secret_scan, shared, simhash
+from barloom.llm import cascade, decontam, ebayes, lbl, licenses, packing, quotes, rans, secret_scan, shared, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -18,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotes(_table(spark, sf_dir, "conversations"))
+
+
 def op2_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared.new_path(spark, "rans")
     rans.write_tokens(_table(spark, sf_dir, "documents"), path, WORD_BPE, end_id=2)
@@ -33,10 +37,22 @@ def op4_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op5_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lbl.score(_table(spark, sf_dir, "documents"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), radius=4, shingle=4)
 
 
+def op8_empirical_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ebayes.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), WORD_BPE, end_id=1, capacity=4096)
 
@@ -48,10 +64,14 @@ def op10_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_quotation_linking": op1_quotation_linking,
         "op2_rans_tokens": op2_rans_tokens,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op4_secret_linking": op4_secret_linking,
+        "op5_log_bilinear": op5_log_bilinear,
+        "op6_license_scan": op6_license_scan,
         "op7_simhash_components": op7_simhash_components,
+        "op8_empirical_bayes": op8_empirical_bayes,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_quality_cascade": op10_quality_cascade,
     }

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from contextlib import suppress
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +29,18 @@ def read_back(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     return spark.read.schema(like.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500):
+    """While it holds, rows go to Python in batches of so many: whole texts can be long, and memory goes with the batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def save(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: later stages survive lost executors, and nothing is run twice."""
     spark = df.sparkSession

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.shared import components, drop, save
+from barloom.llm.shared import components, drop, save, small_batches
 from barloom.llm.tokens import text_slices
 
 BLOCKS, TILE = 6, 512
@@ -253,7 +253,8 @@ def links(nodes: DataFrame, radius: int = 4, blocks: int = BLOCKS, tile: int = T
 
 def _classes(docs: DataFrame, radius: int, shingle: int) -> tuple[DataFrame, DataFrame]:
     """Saved tables: doc_id, text_hash, fp of every row; fp, label (of its component) of every fingerprint."""
-    fps = save(fingerprints(docs, shingle), "fingerprints")
+    with small_batches(docs.sparkSession):
+        fps = save(fingerprints(docs, shingle), "fingerprints")
     nodes = save(fps.select("fp").distinct(), "nodes")
     found = links(nodes, radius)
     label = save(components(found, "a", "b"), "labels")

@@ -13,9 +13,21 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+SLICE_BYTES = 8 << 20  # of text that a task tokenizes at once
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def lowered(texts: pa.Array) -> pa.LargeStringArray:
+    """Texts (nulls count as empty) with A-Z in lower case; works on the bytes, as Arrow's own function errs on slices."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    n = len(texts)
+    if not n or texts.buffers()[2] is None:
+        return texts
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+    raw = texts.buffers()[2].slice(int(bounds[0]), int(bounds[-1] - bounds[0])).to_pybytes().lower()
+    return pa.LargeStringArray.from_buffers(n, pa.py_buffer((bounds - bounds[0]).tobytes()), pa.py_buffer(raw))
+
+
 def encoder(path: str) -> Encoder:
     """One per worker process and vocabulary file."""
     if path not in _ENCODERS:
@@ -25,85 +37,93 @@ def encoder(path: str) -> Encoder:
 
 class Encoder:
     MARK = "\x01"  # between chunks that are encoded in one call; chunks that hold it go alone
+    TAIL = ".,;:!?"  # marks that the tokenizer always splits off a word before them
 
-    def __init__(self, path: str, cache_chunks: int = 400_000):
+    def __init__(self, path: str, cache_chunks: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache_chunks = Tokenizer.from_file(path), cache_chunks
         self.tokenizer.no_truncation()
-        self.mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
-        self._clear()
-
-    def _clear(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.start, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
-        self.ids, self.used = np.zeros(1 << 16, np.int32), 0
+        self.mark = self._plain(self.MARK)
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        # the tokenizer lower-cases, and splits words from marks, if a few words come out alike both ways
+        self.lowers = all(self._plain(x) == self._plain(x.lower()) for x in ("THE", "Zq", "A"))
+        self.splits = all(self._plain(w + t) == self._plain(w) + self._plain(t) for w in ("the", "zqx", "\u00e9t\u00e9") for t in (".", ",", "?!", "..."))
+        self.young: dict[str, bytes] = {}  # ids of chunks, in two generations: what is not asked for again goes
+        self.old: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Lengths and concatenated ids."""
-        if len(self.mark) == 1:
-            joined = f" {self.MARK} "
-            parts, lengths = [], []
-            for at in range(0, len(chunks), 2000):
-                some = chunks[at : at + 2000]
-                text = joined.join(some)
-                if text.count(self.MARK) == len(some) - 1:
-                    ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
-                    cut = np.flatnonzero(ids == self.mark[0])
-                    if len(cut) == len(some) - 1:
-                        lengths.append(np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1)
-                        parts.append(np.delete(ids, cut))
-                        continue
-                alone = [np.array(self._plain(x), np.int32) for x in some]
-                lengths.append(np.array([len(x) for x in alone], np.int64))
-                parts.append(np.concatenate(alone))
-            return np.concatenate(lengths), np.concatenate(parts)
-        alone = [np.array(self._plain(x), np.int32) for x in chunks]
-        return np.array([len(x) for x in alone], np.int64), np.concatenate(alone)
-
-    def _slots(self, chunks: list[str]) -> np.ndarray:
-        if len(self.slot) > self.cache_chunks:
-            self._clear()
-        slot = self.slot
-        new = [x for x in chunks if x not in slot]
-        if new:
-            lengths, ids = self._encode_chunks(new)
-            n, need = len(slot), len(slot) + len(new)
-            if need > len(self.start):
-                self.start, self.length = (np.resize(x, 2 * need) for x in (self.start, self.length))
-            if self.used + len(ids) > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * (self.used + len(ids)))
-            self.length[n:need] = lengths
-            self.start[n:need] = self.used + np.cumsum(lengths) - lengths
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            slot.update(zip(new, range(n, need)))
-        return np.fromiter((slot[x] for x in chunks), np.int64, len(chunks))
+    def _encode(self, chunks: list[str]) -> list[bytes]:
+        out, joined, size = [], f" {self.MARK} ", self.kind.itemsize
+        for at in range(0, len(chunks), 2000):
+            some = chunks[at : at + 2000]
+            text = joined.join(some)
+            if len(self.mark) == 1 and text.count(self.MARK) == len(some) - 1:
+                ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+                cut = np.flatnonzero(ids == self.mark[0])
+                if len(cut) == len(some) - 1:
+                    raw, ends = ids.tobytes(), [*(cut * size).tolist(), len(ids) * size]
+                    out += [raw[a:b] for a, b in zip([0, *(x + size for x in ends)], ends)]
+                    continue
+            out += [np.array(self._plain(x), self.kind).tobytes() for x in some]
+        return out
+
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        if len(self.young) > self.cache_chunks:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        found = [young.get(x) for x in chunks]
+        new = []
+        for i, x in enumerate(found):
+            if x is None:
+                w = chunks[i]
+                if (ids := old.get(w)) is not None:
+                    found[i] = young[w] = ids
+                else:
+                    new.append(i)
+        stems = {}
+        if self.splits:
+            for i in new:
+                w = chunks[i]
+                stem = w.rstrip(self.TAIL)
+                if stem is not w and len(stem) < len(w) and stem and stem[-1].isalpha():
+                    stems[i] = (stem, w[len(stem) :])
+        want = dict.fromkeys(x for i in new for x in (stems[i] if i in stems else (chunks[i],)))
+        want = [x for x in want if x not in young]
+        young.update(zip(want, self._encode(want)))
+        for i in new:
+            found[i] = young[stems[i][0]] + young[stems[i][1]] if i in stems else young[chunks[i]]
+        return found
 
     def batch(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(bounds, ids): ids[bounds[i]:bounds[i + 1]] are text i's, end_id at the end; null texts count as empty."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        split = pc.ascii_split_whitespace(texts)
+        split = pc.ascii_split_whitespace(lowered(texts) if self.lowers else pc.fill_null(texts.cast(pa.large_string()), ""))
         words, offsets = split.flatten(), split.offsets.to_numpy()
         offsets = offsets - offsets[0]
         coded = words.dictionary_encode()
-        slots = self._slots(coded.dictionary.to_pylist()) if len(words) else np.zeros(0, np.int64)
-        at = slots[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else slots
-        n_each = self.length[at].astype(np.int64)
-        word_bounds = np.concatenate([[0], np.cumsum(n_each)])
-        flat = self.ids[np.repeat(self.start[at] - word_bounds[:-1], n_each) + np.arange(word_bounds[-1])]
-        bounds = word_bounds[offsets]
-        if end_id is None:
-            return bounds, flat
-        flat = np.insert(flat, bounds[1:], end_id)
-        return bounds + np.arange(len(bounds)), flat
-
-
-def text_slices(texts: pa.Array, most_bytes: int = 8 << 20):
+        each = self._ids(coded.dictionary.to_pylist())
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        n = len(offsets) - 1
+        if end_id is not None:  # one more word at the end of each text
+            each.append(np.array([end_id], self.kind).tobytes())
+            whole = np.full(len(at) + n, len(each) - 1, np.int32)
+            whole[np.arange(len(at)) + np.repeat(np.arange(n), np.diff(offsets))] = at
+            at, offsets = whole, offsets + np.arange(n + 1)
+        store, size = np.frombuffer(b"".join(each), self.kind), self.kind.itemsize
+        length = np.fromiter(map(len, each), np.int64, len(each)) // size
+        start = np.cumsum(length) - length
+        n_each = length[at]
+        word_bounds = np.zeros(len(at) + 1, np.int64)
+        np.cumsum(n_each, out=word_bounds[1:])
+        where = np.repeat(start[at] - word_bounds[:-1], n_each)
+        where += np.arange(len(where))
+        return word_bounds[offsets], store[where].astype(np.int32)
+
+
+def text_slices(texts: pa.Array, most_bytes: int = 4 << 20):
     """(first, n) of runs of rows of about most_bytes of text: bounded work memory whatever the lengths."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     first, total = 0, 0
@@ -114,3 +134,19 @@ def text_slices(texts: pa.Array, most_bytes: int = 8 << 20):
         total += int(size)
     if first < len(sizes):
         yield first, len(sizes) - first
+
+
+def regrouped(batches, column: str, most_bytes: int):
+    """The same rows in record batches of about most_bytes of a column's text, whatever sizes they come in."""
+    held, total = [], 0
+    for batch in batches:
+        for first, n in text_slices(batch.column(column), most_bytes):
+            part = batch.slice(first, n)
+            size = pc.sum(pc.binary_length(part.column(column))).as_py() or 0
+            if held and total + size > most_bytes:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, total = [], 0
+            held.append(part)
+            total += size
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
