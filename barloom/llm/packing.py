@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.shared import drop, save
-from barloom.llm.tokens import encoder, text_slices
+from barloom.llm.shared import drop, save, small_batches
+from barloom.llm.tokens import SLICE_BYTES, encoder, regrouped
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -106,23 +106,21 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) ->
 
     def run(batches):
         encode = encoder(tokenizer)
-        for batch in batches:
-            for first, n in text_slices(batch.column("text")):
-                part = batch.slice(first, n)
-                bounds, ids = encode.batch(part.column("text"), end_id)
-                ids = ids.astype("<u4")
-                lengths = np.diff(bounds)
-                n_each = -(-lengths // capacity)
-                doc = np.repeat(np.arange(n), n_each)
-                piece = np.arange(len(doc)) - np.repeat(np.cumsum(n_each) - n_each, n_each)
-                start = piece * capacity
-                length = np.minimum(lengths[doc] - start, capacity)
-                at = bounds[doc] + start
-                crc = [zlib.crc32(ids[a : a + m]) for a, m in zip(at.tolist(), length.tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                    ["doc_id", "piece", "start", "length", "ids_crc32"],
-                )
+        for part in regrouped(batches, "text", SLICE_BYTES):
+            bounds, ids = encode.batch(part.column("text"), end_id)
+            ids = ids.astype("<u4")
+            lengths = np.diff(bounds)
+            n_each = -(-lengths // capacity)
+            doc = np.repeat(np.arange(len(lengths)), n_each)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(n_each) - n_each, n_each)
+            start = piece * capacity
+            length = np.minimum(lengths[doc] - start, capacity)
+            at = bounds[doc] + start
+            crc = [zlib.crc32(ids[a : a + m]) for a, m in zip(at.tolist(), length.tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id").take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                ["doc_id", "piece", "start", "length", "ids_crc32"],
+            )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 
@@ -176,4 +174,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: i
     Null text counts as empty and is one end token; a null doc_id stays null; repeated rows are packed each; an empty
     table gives an empty result; only doc_id and text are read, so other columns never clash.
     """
-    return pack(token_pieces(docs, tokenizer, end_id, capacity), capacity)
+    with small_batches(docs.sparkSession):
+        pieces = save(token_pieces(docs, tokenizer, end_id, capacity), "tokens")
+    return pack(pieces, capacity)
