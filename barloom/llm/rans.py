@@ -17,7 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.tokens import encoder, text_slices
+from barloom.llm.shared import small_batches
+from barloom.llm.tokens import SLICE_BYTES, encoder, regrouped
 
 SCALE = 16  # of the frequency tables: they add up to 2**16, the low end of the states' range
 LANES, BLOCK_STEPS, CHECKPOINT_STEPS = 512, 256, 128
@@ -32,7 +33,9 @@ _NAMES = ["shard", "segment", "first", "doc_ids", "n_tokens", "symbols", "freqs"
 
 def frequency_table(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ids and their frequencies, 1 at least, adding up to 2**SCALE (ids: one at least)."""
-    symbols, counts = np.unique(ids, return_counts=True)
+    counts = np.bincount(ids)
+    symbols = np.flatnonzero(counts)
+    counts = counts[symbols]
     total = 1 << SCALE
     if len(symbols) > total:
         raise ValueError(f"{len(symbols)} distinct ids in a segment; {total} at most")
@@ -96,11 +99,13 @@ def encode_segment(ids: np.ndarray) -> tuple[bytes, bytes, list[dict]]:
     """(symbols, freqs, blocks) of a segment's ids; a last block's free places hold the table's first symbol."""
     symbols, freqs = frequency_table(ids)
     starts = np.cumsum(freqs) - freqs
-    index = np.searchsorted(symbols, ids)
+    place = np.zeros(int(symbols[-1]) + 1, np.int32)
+    place[symbols] = np.arange(len(symbols), dtype=np.int32)
+    index = place[ids]
     blocks, size, span = [], LANES * BLOCK_STEPS, LANES * CHECKPOINT_STEPS
     for a in range(0, len(ids), size):
         part = index[a : a + size]
-        full = np.concatenate([part, np.zeros(-len(part) % LANES, np.int64)])
+        full = np.concatenate([part, np.zeros(-len(part) % LANES, index.dtype)])
         words, states, at = encode_block(full, freqs, starts)
         some = ids[a : a + size].astype("<u4")
         blocks.append({"n": len(part), "words": words, "words_crc32": zlib.crc32(words), "states": states, "at": at, "ids_crc32": [zlib.crc32(some[b : b + span]) for b in range(0, len(some), span)]})
@@ -143,23 +148,22 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, se
         def row():
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((shard, segment, first, doc_ids, lengths, *encode_segment(np.concatenate(held))), _SEGMENT_TYPES)], _NAMES)
 
-        for batch in batches:
-            for a, m in text_slices(batch.column("text")):
-                part = batch.slice(a, m)
-                bounds, ids = encode.batch(part.column("text"), end_id)
-                doc_ids += part.column("doc_id").to_pylist()
-                lengths += np.diff(bounds).tolist()
-                held.append(ids)
-                n += len(ids)
-                if n >= segment_tokens:
-                    yield row()
-                    segment, first = segment + 1, first + n
-                    doc_ids, lengths, held, n = [], [], [], 0
+        for part in regrouped(batches, "text", SLICE_BYTES):
+            bounds, ids = encode.batch(part.column("text"), end_id)
+            doc_ids += part.column("doc_id").to_pylist()
+            lengths += np.diff(bounds).tolist()
+            held.append(ids)
+            n += len(ids)
+            if n >= segment_tokens:
+                yield row()
+                segment, first = segment + 1, first + n
+                doc_ids, lengths, held, n = [], [], [], 0
         if n:
             yield row()
 
     few = docs.select(F.col("doc_id").cast("long"), "text")
-    few.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SEGMENT).write.parquet(path)
+    with small_batches(docs.sparkSession):
+        few.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SEGMENT).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
