@@ -45,7 +45,7 @@ def cluster_bootstrap(clusters: DataFrame, replicates: int, order: str) -> DataF
     indexed = clusters.withColumn("_i", F.row_number().over(w) - 1)
     k = indexed.agg(F.count("*").alias("_k"))
     draws = indexed.select("_i").crossJoin(F.broadcast(k)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    draws = draws.select("rep", (lcg(F.col("rep") * 1000003 + F.col("_i") * 7919 + 12345) % F.col("_k")).alias("_i"))
+    draws = draws.select("rep", (lcg(F.col("rep").cast("long") * 1000003 + F.col("_i") * 7919 + 12345) % F.col("_k")).alias("_i"))
     return draws.join(indexed, "_i").groupBy("rep").agg((F.sum("s") / F.sum("n")).alias("mean"))
 
 
