@@ -1,0 +1,445 @@
+"""Corpus operators against plain Python, with nulls, empty and long texts, repeated rows, empty tables, extra columns."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from barloom.llm import cascade, decontam, ebayes, lbl, licenses, packing, quotes, rans, secret_scan, shared, simhash, tokens
+from barloom.llm.queries import WORD_BPE
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kind string, start long, kept boolean"
+OWN = 100_000  # ids of odd rows start here
+LONG = " ".join(f"w{i % 977}" for i in range(30_000))
+ODD = [
+    (1, "a b c d e f"), (2, None), (3, ""), (4, " \n\t "), (5, LONG), (5, LONG), (6, "É x <|endoftext|> \x01 é \U0001f600!"),
+    (None, "null id here"), (7, "same text of some words here"), (8, "same text of some words here"), (8, "same text of some words here"), (9, None),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame([(i and OWN + i, t, None, None, None, "x", 1, None) for i, t in ODD], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def plain_ids(text, end):
+    from tokenizers import Tokenizer
+
+    global _TOK
+    if "_TOK" not in globals():
+        _TOK = Tokenizer.from_file(WORD_BPE)
+    return [*_TOK.encode(text or "", add_special_tokens=False).ids, end]
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+# --- tokens, 2 and 9 -------------------------------------------------------------------------------------------------
+
+
+def test_chunkwise_ids_equal_the_tokenizers(docs):
+    import pyarrow as pa
+
+    texts = [t for _, t in ODD] + [r.text for r in docs.limit(60).collect()] + ["don't it's WE'RE x.y,z a. b, c!? ... 3.14 'S", "İstanbul ΣΑΣ ß"]
+    bounds, ids = tokens.Encoder(WORD_BPE, cache_chunks=50).batch(pa.array(texts), 2)
+    for i, t in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == plain_ids(t, 2), t
+
+
+@pytest.mark.parametrize("source", ["odd", "docs"])
+def test_token_files_hold_every_text_in_order(spark, request, tmp_path, source):
+    table = request.getfixturevalue(source)
+    rans.write_tokens(table, str(tmp_path / "t"), WORD_BPE, segment_tokens=5_000)
+    got = rans.read_tokens(spark, str(tmp_path / "t")).collect()
+    want = sorted(((r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or "") for r in table.select("doc_id", "text").collect()))
+    start, expected = 0, []
+    for known, doc_id, _, text in want:
+        ids = plain_ids(text, 2)
+        expected.append((doc_id if known else None, start, len(ids), crc(ids)))
+        start += len(ids)
+    assert sorted([(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got], key=lambda x: x[1]) == expected
+
+
+def test_an_empty_table_gives_an_empty_file_set(spark, docs, tmp_path):
+    rans.write_tokens(docs.limit(0), str(tmp_path / "t"), WORD_BPE)
+    assert rans.read_tokens(spark, str(tmp_path / "t")).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 511, 512, 70_000, 300_001])
+def test_blocks_decode_from_any_checkpoint(n):
+    ids = np.random.default_rng(n).zipf(1.3, n) % 49_000
+    symbols, freqs, blocks = rans.encode_segment(ids.astype(np.uint32))
+    reader, size, span = rans.SegmentReader(symbols, freqs), rans.LANES * rans.BLOCK_STEPS, rans.LANES * rans.CHECKPOINT_STEPS
+    for i, b in enumerate(blocks):
+        for k in range(len(b["at"])):
+            assert (reader.block(b, k) == ids[i * size : (i + 1) * size][k * span :]).all()
+    broken = {**blocks[0], "words": blocks[0]["words"][:-2] + b"zz"} if len(blocks[0]["words"]) > 1 else {**blocks[0], "ids_crc32": [0]}
+    with pytest.raises(ValueError):
+        reader.block(broken)
+
+
+def test_best_fit_decreasing_equals_one_by_one():
+    import bisect
+
+    for seed in range(150):
+        rng = random.Random(seed)
+        cap = rng.choice([7, 64, 100])
+        lengths = [rng.randint(1, cap) for _ in range(rng.randint(0, 200))]
+        open_: list[int] = []
+        for x in sorted(lengths, reverse=True):
+            i = bisect.bisect_left(open_, x)
+            bisect.insort(open_, (open_.pop(i) if i < len(open_) else cap) - x)
+        assert packing.best_fit_decreasing(collections.Counter(lengths), cap).sequences == len(open_)
+
+
+@pytest.mark.parametrize("source", ["odd", "docs"])
+def test_packing_places_every_piece_once(request, source):
+    table = request.getfixturevalue(source)
+    got = packing.pack_documents(table, WORD_BPE, 1, 512).collect()
+    want = collections.Counter()
+    for r in table.select("doc_id", "text").collect():
+        ids = plain_ids(r.text, 1)
+        for p in range(-(-len(ids) // 512)):
+            want[r.doc_id, p, p * 512, len(ids[p * 512 : p * 512 + 512]), crc(ids[p * 512 : p * 512 + 512])] += 1
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    seqs = collections.defaultdict(list)
+    for r in got:
+        seqs[r.sequence_id].append((r.offset, r.length))
+    for parts in seqs.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 512
+    assert len(seqs) <= 1.1 * sum(r.length for r in got) / 512 + 1
+    assert packing.pack_documents(table.limit(0), WORD_BPE).count() == 0
+
+
+# --- 7 ---------------------------------------------------------------------------------------------------------------
+
+
+def plain_fingerprint(text):
+    import xxhash
+
+    words = [w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for w in WORD.findall(text or "")]
+    shingles = [words[i : i + 4] for i in range(len(words) - 3)] if len(words) >= 4 else [words][: len(words)]
+    h = [xxhash.xxh64_intdigest(" ".join(s).encode(), 42) for s in shingles if s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def plain_components(fps):
+    up = list(range(len(fps)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 4:
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(fps))]
+
+
+@pytest.mark.parametrize("source", ["odd", "docs"])
+def test_near_duplicates_equal_all_pairs(request, source):
+    table = request.getfixturevalue(source)
+    rows = table.select("doc_id", "text").collect()
+    fps = [plain_fingerprint(r.text) for r in rows]
+    of = plain_components(fps)
+    least = {c: min((r.doc_id for r, o in zip(rows, of) if o == c and r.doc_id is not None), default=None) for c in of}
+    want = collections.Counter((r.doc_id, f"{f:016x}", least[c]) for r, f, c in zip(rows, fps, of))
+    assert collections.Counter(map(tuple, simhash.near_duplicates(table).collect())) == want
+    kept = simhash.keep_first(table)
+    assert kept.columns == table.columns and kept.count() == len(set(of))
+    assert simhash.near_duplicates(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("tile", [8, 64])
+def test_crowded_keys_lose_no_link(spark, tile):
+    rng = np.random.default_rng(tile)
+    base = rng.integers(0, 2**63, 6, dtype=np.uint64)
+    fps = {int(b) for b in base}
+    for _ in range(400):
+        x = int(base[rng.integers(6)])
+        for b in rng.integers(0, 64, rng.integers(0, 9)):
+            x ^= 1 << int(b)
+        fps.add(x)
+    fps = sorted(fps)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    nodes = shared.save(spark.createDataFrame([(f,) for f in signed], "fp long"), "t")
+    label = {r.node: r.label for r in shared.components(simhash.links(nodes, 4, tile=tile), "a", "b").collect()}
+    of = plain_components(fps)
+    want, got = collections.defaultdict(set), collections.defaultdict(set)
+    for s, c in zip(signed, of):
+        want[c].add(s)
+        got[label.get(s, s)].add(s)
+    assert sorted(map(sorted, want.values())) == sorted(map(sorted, got.values()))
+
+
+# --- 3 ---------------------------------------------------------------------------------------------------------------
+
+
+def leaks_by_hand(rows, items):
+    words = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower()) if w]
+    shingles = lambda w: collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    found = {}
+    for doc_id, text in rows:
+        w = words(text)
+        for item_id, item in items:
+            v = words(item)
+            if len(v) < 5:
+                continue
+            at = collections.defaultdict(list)
+            for p in range(len(v) - 4):
+                at[tuple(v[p : p + 5])].append(p)
+            starts = {min(max(i - p, 0), max(len(w) - len(v), 0)) for i in range(len(w) - 4) for p in at.get(tuple(w[i : i + 5]), ())}
+            for s in starts:
+                x, y = shingles(w[s : s + len(v)]), shingles(v)
+                sim = sum((x & y).values()) / sum((x | y).values())
+                if sim >= 0.8:
+                    found[doc_id, item_id] = max(found.get((doc_id, item_id), (0, 0)), (sim, -s))
+    return found
+
+
+def test_leaks_equal_brute_force(spark, docs):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    items = [(r.item_id, r.text) for r in bench.collect()]
+    text = items[3][1].split()
+    extra = [(900, " ".join(["lead", "in", *text, "tail"])), (901, " ".join(text[:-1] + ["changed"])), (902, " ".join(text[: len(text) // 3])), (903, None), (904, ""), (None, items[4][1].upper()), (905, items[5][1]), (905, items[5][1])]
+    table = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
+    want = leaks_by_hand([(r.doc_id, r.text) for r in table.collect()], items)
+    got = {(r.doc_id, r.item_id): (r.similarity, -r.first_word) for r in decontam.find_leaks(table, bench).collect()}
+    assert got == want and (900, 3) in got and (None, 4) in got and not {902, 903, 904} & {d for d, _ in got}
+    kept = {r.doc_id for r in decontam.without_leaks(table, bench).collect()}
+    assert kept == {r.doc_id for r in table.collect()} - {d for d, _ in want}
+
+
+def test_leaks_of_odd_and_empty_tables(spark, odd):
+    bench = spark.createDataFrame([(1, None), (2, "too few"), (3, "same text of some words here"), (4, "Same text, of some words here!")], "item_id long, text string")
+    got = [(r.doc_id, r.item_id, r.n_items, r.similarity) for r in decontam.find_leaks(odd, bench).orderBy("doc_id").collect()]
+    assert got == [(OWN + 7, 3, 2, 1.0), (OWN + 8, 3, 2, 1.0)]
+    assert decontam.find_leaks(odd.limit(0), bench).count() == 0 and decontam.find_leaks(odd, bench.limit(0)).count() == 0
+
+
+# --- 4 ---------------------------------------------------------------------------------------------------------------
+
+SECRETS = [
+    'token = "abcdef123" and deadbeef' + "0" * 20, "AKIA" + "A1" * 9 + " nearby secret: short1", "token:token:abcdef", "token=token=abcdef API-KEY: zzzzzz", "Api_Key='qwerty' é password : x",
+    "user: alice\nmixed Zz0" + "aB3" * 12, "see https://api.example.org/v1 only", "user: bob", "AKIASHORT AKIA" + "B" * 15, "x" * 5000 + " passwd=" + "y" * 9 + " " + "z" * 5000, "", None,
+]
+
+
+def base_spans(text):
+    t = text or ""
+    out = [(m.start(), 0, f"assign:{m.start()}:{m.end()}") for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 6]
+    out += [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    out += [(m.start(), 2, f"hex:{m.start()}:{m.end()}") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    return [s for _, _, s in sorted(out)]
+
+
+def test_base_spans_equal_plain_matching(spark, docs, odd):
+    made = spark.createDataFrame(list(enumerate(SECRETS, 5000)), "doc_id long, text string")
+    table = docs.select("doc_id", "text").union(odd.select("doc_id", "text")).union(made).union(made)
+    texts = {(r.doc_id): r.text for r in table.collect()}
+    got = secret_scan.scan(table).collect()
+    assert len(got) == table.count()
+    for r in got:
+        want = base_spans(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest(), (r.doc_id, want, r.spans)
+        assert set(want) <= set(r.spans.split(",")) | {""}
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(w.startswith(k) for w in want) for k in ("assign", "access", "hex"))
+
+
+def test_weak_parts_count_only_together(spark):
+    made = spark.createDataFrame(list(enumerate(SECRETS)), "doc_id long, text string")
+    kinds = {r.doc_id: {s.split(":")[0] for s in r.spans.split(",") if s} for r in secret_scan.scan(made).collect()}
+    assert kinds[5] == {"account", "mixed"} and not kinds[6] and not kinds[7]
+    masked = {r.doc_id: r.text for r in secret_scan.redact(made).collect()}
+    assert "abcdef123" not in masked[0] and masked[7] == "user: bob" and masked[11] is None
+    assert secret_scan.scan(made.limit(0)).count() == 0
+
+
+# --- 5 ---------------------------------------------------------------------------------------------------------------
+
+
+def test_language_model(spark, docs, odd):
+    table = docs.select("doc_id", "text").union(odd.select("doc_id", "text"))
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    texts = [(r.doc_id, [*WORD.findall((r.text or "").translate(lower)), None]) for r in table.collect()]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    count = collections.Counter(w for i, ws in texts for w in ws if not held(i))
+    n, v = sum(count.values()), len(count)
+    want = collections.defaultdict(list)
+    for i, ws in texts:
+        want[i].append((held(i), len(ws), sum(count[w] > 0 for w in ws), n, sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ws)))
+    got = lbl.score(table).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert any((r.held_out, r.n_tokens, r.n_known, r.train_tokens) == w[:4] and r.base_score == pytest.approx(w[4]) for w in want[r.doc_id])
+        assert r.score < 0
+    out = [r for r in got if r.held_out]
+    assert sum(r.score for r in out) > sum(r.base_score for r in out) * 1.02  # no worse than word counts
+    assert lbl.score(table.limit(0)).count() == 0
+
+
+def test_class_probabilities_add_up_and_training_learns():
+    rng = np.random.default_rng(0)
+    c2 = rng.integers(0, 20, 40_000)
+    c = (c2 * 7 + rng.integers(0, 2, 40_000)) % 20
+    by_class = np.bincount(c, minlength=lbl.CLASSES).astype(float)
+    t = lbl.Trainer(lbl.Model.start(by_class), by_class, 1)
+    for a in range(0, len(c), lbl.BATCH):
+        t.step(c2[a : a + lbl.BATCH], c2[a : a + lbl.BATCH], c[a : a + lbl.BATCH])
+    s1, s2, z = t.m.tables()
+    p = np.exp(s1[3] + s2[5] - z[3, 5])
+    assert p.sum() == pytest.approx(1, abs=1e-4)
+    assert (s1[c2, c] + s2[c2, c] - z[c2, c2]).mean() > -1.6  # uniform over 20 is -3.0, the best -0.7
+
+
+# --- 6 ---------------------------------------------------------------------------------------------------------------
+
+
+def test_license_places_equal_plain_search(spark, docs, odd):
+    made = spark.createDataFrame([(7001, "Under the MIT license; under the mit LICENSE under the Apache License, Version 2.0"), (7002, "SPDX-License-Identifier: (MIT OR GPL-3.0) AND Apache-2.0\nrest"), (7003, "cc by-nc cc-by nc")], "doc_id long, text string")
+    table = docs.select("doc_id", "text").union(odd.select("doc_id", "text")).union(made)
+    texts = {r.doc_id: r.text for r in table.collect()}
+    got = licenses.scan(table).collect()
+    assert len(got) == table.count()
+    for r in got:
+        low = (texts[r.doc_id] or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        hits = [(i, label) for phrase, label in licenses.BASE_PHRASES.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+        assert (r.n_words, r.n_base) == (len(words), len(hits))
+        assert (r.first_word, r.last_word) == ((min(hits)[0], max(hits)[0]) if hits else (None, None))
+        assert r.base_labels == ",".join(sorted({x for _, x in hits})) and 0 <= r.score <= 1
+    by_id = {r.doc_id: r for r in got}
+    assert by_id[7002].labels == "apache-2.0,gpl-3.0,mit" and by_id[7002].score == 1.0
+
+
+def test_license_expressions():
+    assert licenses.parse("MIT OR Apache-2.0 AND GPL-2.0 WITH x") == ["mit", "apache-2.0", "gpl-2.0", "x", "with", "and", "or"]
+    assert licenses.parse("(MIT") == [] and licenses.parse("MIT OR") == ["mit"] and licenses.parse("") == []
+    assert licenses.evaluate(licenses.parse("(MIT OR GPL-3.0) AND CC-BY-NC-4.0"))[0] == 0.2
+
+
+# --- 8 ---------------------------------------------------------------------------------------------------------------
+
+
+def test_classifier_on_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = ebayes.classify(docs, labels.where("doc_id % 3 <> 0")).join(labels.where("doc_id % 3 = 0"), "doc_id").collect()
+    clean = [r for r in got if r.quality == 1 and r.toxic == 0]
+    assert sum(r.kept for r in clean) >= 0.98 * len(clean)
+    assert sum((r.p_quality >= 0.5) == (r.quality == 1) for r in got) >= 0.95 * len(got)
+
+
+def test_classifier_of_odd_tables(spark, odd):
+    labels = spark.createDataFrame([(OWN + 1, 1, 0), (OWN + 1, 0, 0), (OWN + 2, None, 1), (None, 1, 1), (99, 0, 1)], "doc_id long, quality int, toxic int")
+    got = ebayes.classify(odd, labels).collect()
+    assert len(got) == odd.count() and all(0 <= r.p_quality <= 1 for r in got)
+    assert ebayes.classify(odd, labels.limit(0)).where("kept").count() == odd.count()
+    assert ebayes.classify(odd.limit(0), labels).count() == 0
+
+
+def test_sparse_hosts_shrink_toward_the_world(spark):
+    g = spark.createDataFrame([("big", 1000, 900.0), ("mid", 500, 100.0), ("one", 1, 1.0)], "host string, n long, quality_sum double")
+    rate = {r.host: r.quality_rate for r in ebayes.shrink(g, ["host"], "quality", F.lit(0.667)).collect()}
+    assert abs(rate["big"] - 0.9) < 0.02 and 0.667 < rate["one"] < 0.95
+
+
+# --- 10 --------------------------------------------------------------------------------------------------------------
+
+
+def plain_features(text):
+    t = text or ""
+    w = WORD.findall(t)
+    windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    n = collections.Counter(windows)
+    marked = {i + k for i, x in enumerate(windows) if n[x] > 1 for k in range(3)}
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(marked)
+
+
+@pytest.mark.parametrize("source", ["odd", "docs"])
+def test_quality_features_equal_plain_python(request, source):
+    table = request.getfixturevalue(source)
+    texts = {r.doc_id: r.text for r in table.collect()}
+    got = cascade.quality(table).collect()
+    assert len(got) == table.count()
+    for r in got:
+        want = plain_features(texts[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and not (r.base_failed and r.kept)
+    assert cascade.quality(table.limit(0)).count() == 0
+
+
+def test_the_order_of_rules_changes_no_verdict(spark, docs):
+    df = cascade.features(docs)
+    rules = cascade.default_rules()
+    a = df.withColumn("k", cascade.cascade(df, rules)).select("doc_id", "k")
+    b = df.withColumn("k", cascade.cascade(df, rules[::-1])).select("doc_id", "k")
+    assert a.exceptAll(b).count() == 0
+    assert len(cascade.order_rules(df.limit(50), rules)) == len(rules)
+
+
+# --- 1 ---------------------------------------------------------------------------------------------------------------
+
+
+def test_quotations(spark):
+    rows = [
+        (1, 0, "u", "Hello there.\nHow are you?\n\nSecond para."), (1, 1, "a", "On Mon, X wrote:\n> Hello there.\n> How are you?\n\nfine"),
+        (1, 2, "u", ">> Hello there.\n>> How are you?\n> fine\nok"), (1, 4, "u", "new topic"), (1, 3, "u", "> Second   PARA.\nyes"),
+        (2, 0, "u", "> fine"), (None, None, None, None), (3, 0, "u", ""), (3, 0, "u", ""),
+    ]
+    d = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, depth string")
+    got = {(r.conv_id, r.turn): r for r in quotes.link_quotes(d).collect()}
+    assert quotes.link_quotes(d).count() == len(rows)
+    assert got[1, 1].parent_turn == 0 and got[1, 1].body.strip() == "fine" and got[1, 1].depth == 1
+    assert got[1, 2].parent_turn == 1 and got[1, 2].root_turn == 0 and got[1, 2].depth == 2 and got[1, 2].n_linked == 2
+    assert got[1, 3].parent_turn == 0 and got[1, 4].root_turn == 4
+    assert [t for _, t in sorted((got[1, t].position, t) for t in range(5))] == [0, 1, 2, 3, 4]
+    assert got[2, 0].body == "" and got[2, 0].n_linked == 0
+    assert quotes.link_quotes(d.limit(0)).count() == 0
+
+
+def test_conversations_keep_every_message(spark):
+    c = spark.read.parquet(f"{SF}/conversations.parquet")
+    got = quotes.link_quotes(c)
+    assert got.count() == c.count()
+    assert got.groupBy("conv_id").agg((F.max("position") + 1).alias("a"), F.count("*").alias("b")).where("a <> b").count() == 0
+
+
+# --- pipeline --------------------------------------------------------------------------------------------------------
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        nxt = shared.save(stage(spark, kept, SF), name)
+        assert nxt.columns == docs.columns and nxt.count() <= kept.count()
+        kept = nxt
+    texts = {r.doc_id: r.text for r in kept.collect()}
+    assert not any(base_spans(t) for t in texts.values())
+    packed = corpus_pipeline.run(spark, SF).collect()
+    assert {r.doc_id for r in packed} == set(texts)
+    assert sum(r.length for r in packed) == sum(len(plain_ids(t, 1)) for t in texts.values())
