@@ -108,10 +108,14 @@ def scan_text(text: str | None) -> tuple:
     joined = b" %s " % b" ".join(words)
     spaced = joined.decode("latin-1")  # one character a byte: places in both are the same
     starts, base_labels, labels = [], set(), set()
+    at, blanks = 0, 0  # a place, and the blanks before it: each match counts on from the last one
     for end, (size, base, label) in phrases.iter(spaced):
         labels.add(label)
         if base:
-            starts.append(joined.count(b" ", 0, end - size + 2) - 1)
+            to = end - size + 2
+            blanks += joined.count(b" ", at, to) if to >= at else -joined.count(b" ", to, at)
+            at = to
+            starts.append(blanks - 1)
             base_labels.add(label)
     scores = [freedom(x) for x in labels]
     expressions = []
