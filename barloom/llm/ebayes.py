@@ -78,17 +78,17 @@ def logits(bounds: np.ndarray, hashes: np.ndarray, shapes: np.ndarray, weights:
     return np.clip(per + shapes @ weights[HASHES:], -30, 30)
 
 
-def fit(texts: pa.Array, labels: np.ndarray) -> np.ndarray:
+def fit(bounds: np.ndarray, hashes: np.ndarray, shapes: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """Weights (HASHES + SHAPES, heads) by AdaGrad on the whole sample; labels are 0 to 1, NaN where unknown.
 
-    A word takes part in a head if its rate of labels stands LEAST_Z standard errors off the mean rate; proportions are
-    put on one scale while fitting.
+    The sample comes as featurize() gives it. A word takes part in a head if its rate of labels stands LEAST_Z standard
+    errors off the mean rate; proportions are put on one scale while fitting.
     """
     w = np.zeros((HASHES + SHAPES, len(HEADS)), np.float32)
-    if not len(texts):
+    n_texts = len(bounds) - 1
+    if not n_texts:
         return w
-    bounds, hashes, shapes = featurize(texts)
-    doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    doc = np.repeat(np.arange(n_texts, dtype=np.int32), np.diff(bounds))
     known = ~np.isnan(labels)
     y, n = np.where(known, labels, 0), np.maximum(1, known.sum(axis=0))
     mean = y.sum(axis=0) / n
@@ -102,7 +102,7 @@ def fit(texts: pa.Array, labels: np.ndarray) -> np.ndarray:
     live = used.any(axis=1)
     keep = live[hashes]
     few, of = hashes[keep], doc[keep]
-    few_bounds = np.searchsorted(of, np.arange(len(texts) + 1))
+    few_bounds = np.searchsorted(of, np.arange(n_texts + 1))
     g2 = np.full(w.shape, 1e-6, np.float32)
     for _ in range(STEPS):
         p = 1 / (1 + np.exp(-logits(few_bounds, few, scaled, w)))
@@ -140,6 +140,33 @@ def shrink(groups: DataFrame, keys: list[str], head: str, prior: Column) -> Data
     return groups.withColumn(f"{head}_rate", (F.col(f"{head}_sum") + strength * prior) / (F.col("n") + strength))
 
 
+def fit_sample(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, int]:
+    """(weights, rows fitted) from a bounded sample (doc_id and one column per head); the tasks make the features.
+
+    The driver gets a few hundred small integers a sampled row, never its text.
+    """
+    kinds = [pa.list_(pa.int32()), pa.list_(pa.float32()), *[pa.float64()] * len(HEADS)]
+    names = ["hashes", "shapes", *HEADS]
+
+    def run(batches):
+        for part in regrouped(batches, "text", 4 << 20):
+            bounds, hashes, shapes = featurize(part.column("text"))
+            flat = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hashes.astype(np.int32)))
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(len(shapes) + 1) * SHAPES, pa.int32()), pa.array(shapes.ravel()))
+            yield pa.RecordBatch.from_arrays([x.cast(k) for x, k in zip((flat, rows, *(part.column(h) for h in HEADS)), kinds)], names)
+
+    few = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").select("text", *HEADS)
+    with small_batches(docs.sparkSession):
+        got = few.mapInArrow(run, "hashes array<int>, shapes array<float>, " + ", ".join(f"{h} double" for h in HEADS)).toArrow()
+    if not got.num_rows:
+        return fit(np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros((0, SHAPES), np.float32), np.zeros((0, len(HEADS)))), 0
+    bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(got.column("hashes")).to_numpy())])
+    hashes = pc.list_flatten(got.column("hashes")).to_numpy()
+    shapes = pc.list_flatten(got.column("shapes")).to_numpy().reshape(-1, SHAPES)
+    labels = np.stack([got.column(h).to_numpy() for h in HEADS], axis=1).astype(np.float64)
+    return fit(bounds, hashes, shapes, labels), got.num_rows
+
+
 def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> DataFrame:
     """One row per row of docs: doc_id, host, path, the text's own log odds, path rates, p_quality, p_toxic, kept.
 
@@ -149,9 +176,8 @@ def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Da
     """
     known = labels.groupBy("doc_id").agg(*[F.avg(F.col(h).cast("double")).alias(h) for h in HEADS]).where(F.col("doc_id").isNotNull())
     sample = save(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled), "sample")
-    few = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", *HEADS).toArrow()  # bounded by labelled
-    targets = np.stack([few.column(h).to_numpy() for h in HEADS], axis=1).astype(np.float64) if few.num_rows else np.zeros((0, len(HEADS)))
-    shared = docs.sparkSession.sparkContext.broadcast(fit(few.column("text").combine_chunks() if few.num_rows else pa.array([], pa.string()), targets))
+    weights, fitted = fit_sample(docs, sample)
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
     host, path = host_and_path(F.col("source"), F.col("lang"))
     schema = "doc_id long, host string, path string, quality_logit double, toxic_logit double"
 
@@ -180,6 +206,6 @@ def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Da
     for h in HEADS:
         odds = F.log(F.col(f"path_{h}") / (1 - F.col(f"path_{h}"))) - float(np.log(world[h] / (1 - world[h])))
         out = out.withColumn(f"p_{h}", 1 / (1 + F.exp(-(F.col(f"{h}_logit") + odds))))
-    out = out.withColumn("kept", (F.col("p_quality") >= 0.5) & ((F.col("p_toxic") < 0.5) | (F.lit(not few.num_rows))))
+    out = out.withColumn("kept", (F.col("p_quality") >= 0.5) & ((F.col("p_toxic") < 0.5) | (F.lit(not fitted))))
     drop(sample, paths, hosts)
     return out.select("doc_id", "host", "path", "quality_logit", "toxic_logit", *[f"{lvl}_{h}" for lvl in ("host", "path") for h in HEADS], "p_quality", "p_toxic", "kept")
