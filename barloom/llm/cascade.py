@@ -121,3 +121,13 @@ def quality(docs: DataFrame, rules: Sequence[Rule] | None = None, sample_rows: i
     ordered = [x[0] for x in order_rules(features(docs.select("text").limit(sample_rows)), rules)] if len(rules) > 1 else rules
     df = features(docs).withColumn("base_failed", F.expr(BASE_FAILED))
     return df.withColumn("kept", cascade(df, ordered, F.col("base_failed")))
+
+
+def passing(docs: DataFrame, rules: Sequence[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of docs that quality() keeps, with every column of docs as it is, whatever its name.
+
+    The filter also names a row number: without one it would be pushed below the features, each use of which would
+    then be written out in full, and the plan would grow beyond use.
+    """
+    judged = quality(docs.select("text", F.struct(*docs.columns).alias("row")), rules, sample_rows)
+    return judged.withColumn("at", F.monotonically_increasing_id()).where("kept AND at >= 0").select("row.*")
