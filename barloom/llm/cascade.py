@@ -113,7 +113,7 @@ def quality(docs: DataFrame, rules: Sequence[Rule] | None = None, sample_rows: i
 
     The order of the rules comes from at most sample_rows rows (a documented bound; an empty table keeps the given
     order); every row is then tested in full. Null text has no words and fails the base test. Columns that docs has
-    under the names added here are replaced. Repeated rows are judged each.
+    under the names added here are replaced. Repeated rows are judged each. To filter by kept, use passing().
     """
     rules = default_rules() if rules is None else list(rules)
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "base_failed", "kept"]

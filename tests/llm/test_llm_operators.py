@@ -390,6 +390,25 @@ def test_quality_features_equal_plain_python(request, source):
     assert cascade.quality(table.limit(0)).count() == 0
 
 
+def test_quality_equals_its_sql(spark):
+    import duckdb
+
+    from barloom.llm import queries
+
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    found = c.execute(queries.oracle_sql()["op10_quality_cascade"])
+    columns = [d[0] for d in found.description]
+    got = queries.queries()["op10_quality_cascade"](spark, SF).select(*columns).collect()
+    assert sorted(map(tuple, got)) == sorted(found.fetchall())
+
+
+def test_passing_rows_keep_their_columns(spark, docs):
+    odd_names = docs.withColumns({"kept": F.lit("x"), "_words": F.lit(1), "at": F.lit(2), "row": F.lit(3), "n_words": F.lit(None).cast("int")})
+    got = cascade.passing(odd_names)
+    assert got.columns == odd_names.columns and got.where("kept = 'x' AND at = 2 AND row = 3 AND n_words IS NULL").count() == sum(r.kept for r in cascade.quality(docs).select("kept").collect())
+
+
 def test_the_order_of_rules_changes_no_verdict(spark, docs):
     df = cascade.features(docs)
     rules = cascade.default_rules()
