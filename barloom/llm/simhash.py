@@ -26,20 +26,27 @@ BLOCKS, TILE = 6, 512
 _ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """Bit i is set if it is in over half the XXH64 (seed 42) hashes of the word shingles; 0 if there are no words."""
+def shingle_digests(text: str | None, shingle: int = 4) -> np.ndarray:
+    """XXH64 (seed 42) hashes of the word shingles in order; of fewer words, one of all of them; none if there are no words."""
     words = (text or "").encode("utf-8", "replace").translate(_ASCII_LOWER).split()  # bytes.split knows the six ASCII blanks
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     n = len(words) - shingle + 1
     if n <= 1:
-        return xxhash.xxh64_intdigest(joined, 42)
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist())), np.uint64, n)
-    votes = np.zeros(64, np.int64)
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist())), np.uint64, n)
+
+
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """Bit i is set if it is in over half the XXH64 (seed 42) hashes of the word shingles; 0 if there are no words."""
+    h = shingle_digests(text, shingle)
+    if len(h) <= 1:
+        return int(h[0]) if len(h) else 0
+    n, votes = len(h), np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
         votes += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * votes > n, bitorder="little").tobytes(), "little")
@@ -282,7 +289,11 @@ def keep_first(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
 
     All columns stay as they are. Rows that repeat doc_id and text are copies, so one of them stays at most.
     """
-    fps, of_fp = _classes(docs, radius, shingle)
+    return keep_labelled(docs, *_classes(docs, radius, shingle))
+
+
+def keep_labelled(docs: DataFrame, fps: DataFrame, of_fp: DataFrame) -> DataFrame:
+    """docs with one row of each label; tables as of _classes."""
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("text_hash").isNull().alias("no_text"), "text_hash")
     per_fp = save(fps.groupBy("fp").agg(F.min(first).alias("first"), F.count("*").alias("n")).join(of_fp, "fp"), "per_fp")
     best = save(per_fp.groupBy("label").agg(F.min("first").alias("best")), "best")

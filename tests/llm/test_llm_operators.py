@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.llm import cascade, decontam, ebayes, lbl, licenses, packing, quotes, rans, secret_scan, shared, simhash, tokens
+from barloom.llm import cascade, decontam, ebayes, lbl, licenses, near, packing, quotes, rans, secret_scan, shared, simhash, tokens
 from barloom.llm.queries import WORD_BPE
 
 SF = "/root/testdata/sf0.001"
@@ -445,6 +445,54 @@ def test_conversations_keep_every_message(spark):
     assert got.groupBy("conv_id").agg((F.max("position") + 1).alias("a"), F.count("*").alias("b")).where("a <> b").count() == 0
 
 
+# --- near-duplicates of the pipeline ---------------------------------------------------------------------------------
+
+
+def similarity_by_hand(x, y):
+    a, b = ({tuple(t.lower().split()[i : i + 5]) for i in range(max(len(t.split()) - 4, 1))} for t in (x, y))
+    return len(a & b) / len(a | b)
+
+
+def test_the_pipeline_drops_near_copies_from_similarity_08(spark):
+    import corpus_pipeline
+
+    rng, rows, gone = random.Random(3), [], set()
+    for n_words, edits in [(100, 1), (100, 2), (300, 2), (300, 6), (300, 5), (1000, 3), (1000, 20), (60, 1), (300, 8), (300, 12), (100, 4)] * 6:
+        words = [f"x{rng.randrange(10**6)}" for _ in range(n_words)]
+        copy = list(words)
+        for at in rng.sample(range(n_words), edits):
+            copy[at] = f"y{rng.randrange(10**6)}"
+        i = len(rows)
+        rows += [(i, " ".join(words)), (i + 1, " ".join(copy))]
+        if similarity_by_hand(rows[i][1], rows[i + 1][1]) >= 0.8:
+            gone.add(i + 1)
+    assert 30 < len(gone) < 60
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, table, SF).collect()} == set(range(len(rows))) - gone
+
+
+@pytest.mark.parametrize("tile", [2, 512])
+def test_near_components_equal_all_pairs(spark, odd, tile):
+    rng, rows = random.Random(tile), [(r.doc_id, r.text) for r in odd.where("length(text) < 1000 OR text IS NULL").collect()]
+    for base in range(3):
+        words = [f"b{base}_{i}" for i in range(80)]
+        for i in range(25):
+            at, k = rng.randrange(60), rng.choice([0, 1, 4, 8, 12])
+            rows.append((100 * base + i, " ".join(words[:at] + [f"z{rng.randrange(6)}"] * k + words[at + k :])))
+    up = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            x, y = rows[i][1] or "", rows[j][1] or ""
+            if (not x.split() and not y.split()) or (x.split() and y.split() and similarity_by_hand(x, y) >= 0.8):
+                a, b = up[i], up[j]
+                up = [min(a, b) if u in (a, b) else u for u in up]
+    want = {c: min((r[0] is None, r[0] or 0) for r, u in zip(rows, up) if u == c) for c in up}
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id is None, r.doc_id or 0) for r in near.keep_first(table, tile=tile).collect())
+    assert got == sorted(want.values())
+    assert near.keep_first(table.limit(0)).count() == 0
+
+
 # --- pipeline --------------------------------------------------------------------------------------------------------
 
 
