@@ -1,8 +1,8 @@
 """Benchmark decontamination: item-sized windows, SimHash, multi-index Hamming blocks, exact weighted-shingle similarity.
 
-DataFrame functions only. A window can be as similar as asked only if it shares a shingle with the item, so windows are
-laid where a shingle of the benchmark stands in a document, one for each distinct alignment with an item. Each window
-and item gets a 64-bit SimHash of its shingles. Within one word count, fingerprints that differ in at most ``radius``
+DataFrame functions only. Moving a window to the left loses a shared shingle only at its right end, so of all windows of
+the best similarity the first ends with a shingle of an item of its word count, or is the document's first. Windows are
+laid at these places, in whatever order an item's parts stand, if enough of their shingles are such. Each window and item gets a 64-bit SimHash of its shingles. Within one word count, fingerprints that differ in at most ``radius``
 bits agree in at least one of ``radius + 1`` bit blocks, so an equi-join on (words, block, value) meets every such pair;
 those within the radius are compared exactly, by shingles weighted with their counts.
 """
@@ -63,14 +63,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, similari
     items = benchmark.select("item_id", alnum_words(F.col("text")).alias("words")).where(F.size("words") >= shingle)
     items = items.groupBy("words").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n_items"))
     items = save(items.select("item_id", "n_items", F.size("words").alias("w"), shingle_hashes("words", shingle).alias("sh")), "items")
-    marks = save(items.select("item_id", "w", F.posexplode("sh").alias("at", "h")).groupBy("h", "w").agg(F.collect_set("at").alias("ats")), "marks")
+    marks = save(items.select("w", F.explode("sh").alias("h")).distinct(), "marks")
     few = marks.count() <= BROADCAST_SHINGLES
     keyed = _keyed(docs).withColumn("words", alnum_words(F.col("text")))
     found = keyed.select("_id", "_h", F.size("words").alias("n"), F.posexplode(shingle_hashes("words", shingle)).alias("pos", "h"))
-    hits = found.join(F.broadcast(marks) if few else marks, "h")
-    start = F.least(F.greatest(F.col("pos") - F.col("at"), F.lit(0)), F.greatest(F.col("n") - F.col("w"), F.lit(0)))
-    spots = hits.select("_id", "_h", "n", "w", "pos", F.explode("ats").alias("at")).select("_id", "_h", "w", start.alias("start"))
-    spots = save(spots.distinct(), "spots")
+    hits = found.join(F.broadcast(marks) if few else marks, "h").groupBy("_id", "_h", "n", "w").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    # so many places of a window must be hits, as a window and an item together have w - shingle + 1 shingles at least
+    need = F.greatest(F.ceil(F.lit(similarity) * (F.col("w") - (shingle - 1)) - 1e-6), F.lit(1)).cast("int")
+    start = lambda p: F.greatest(p - (F.col("w") - shingle), F.lit(0))  # noqa: E731  the window whose last shingle is at p
+    starts = F.transform(F.filter("at", lambda p, i: F.get("at", i - need + 1) >= start(p)), start)
+    spots = save(hits.select("_id", "_h", "w", F.explode(F.array_distinct(starts)).alias("start")), "spots")
     # only documents with a shared shingle are read again
     some = spots.select("_id", "_h").distinct()
     again = _keyed(docs).join(some, ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"])

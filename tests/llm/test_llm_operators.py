@@ -238,6 +238,41 @@ def test_leaks_of_odd_and_empty_tables(spark, odd):
     assert decontam.find_leaks(odd.limit(0), bench).count() == 0 and decontam.find_leaks(odd, bench.limit(0)).count() == 0
 
 
+def best_windows(rows, items):
+    """As leaks_by_hand, over every start."""
+    words = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower()) if w]
+    shingles = lambda w: collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    found = {}
+    for doc_id, text in rows:
+        w = words(text)
+        for item_id, item in items:
+            v, y = words(item), shingles(words(item))
+            for s in range(max(len(w) - len(v), 0) + 1):
+                x = shingles(w[s : s + len(v)])
+                sim = sum((x & y).values()) / max(sum((x | y).values()), 1)
+                if y and sim >= 0.8:
+                    found[doc_id, item_id] = max(found.get((doc_id, item_id), (0, 0)), (sim, -s))
+    return found
+
+
+def test_leaks_stand_in_any_order(spark):
+    rng = random.Random(5)
+    item = [f"i{k}" for k in range(50)]
+    loop = [f"r{k % 6}" for k in range(30)]
+    items = [(1, " ".join(item)), (2, " ".join(loop)), (3, "five words and no more"), (4, " ".join(item[:49] + ["else"]))]
+    lead, tail = ([f"{c}{k}" for k in range(40)] for c in "lt")
+    rows = [(1, lead + item[25:] + item[:25] + tail), (2, lead + item[17:34] + item[:17] + item[34:] + tail), (3, item[10:] + item[:10]), (4, lead + loop[4:] + loop[:10] + tail), (5, lead + item[1:] + tail), (6, item[:46])]
+    for i in range(40):
+        cut, skip = rng.randrange(50), rng.randrange(8)
+        rows.append((10 + i, lead[: rng.randrange(40)] + item[cut:] + item[: max(cut - skip, 0)] + tail[: rng.randrange(40)]))
+    rows = [(i, " ".join(w)) for i, w in rows]
+    want = best_windows(rows, items)
+    table, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, -r.first_word) for r in decontam.find_leaks(table, bench).collect()}
+    assert got == want and got[1, 1] == (0.84, -40)
+    assert decontam.without_leaks(table.where("doc_id = 1"), bench).count() == 0
+
+
 # --- 4 ---------------------------------------------------------------------------------------------------------------
 
 SECRETS = [
