@@ -1,16 +1,14 @@
-"""Benchmark decontamination: item-sized windows, SimHash, multi-index Hamming blocks, exact weighted-shingle similarity.
+"""Benchmark decontamination: item-sized windows, exact similarity of shingles weighted with their counts.
 
 DataFrame functions only. Moving a window to the left loses a shared shingle only at its right end, so of all windows of
 the best similarity the first ends with a shingle of an item of its word count, or is the document's first. Windows are
-laid at these places, in whatever order an item's parts stand, if enough of their shingles are such. Each window and item gets a 64-bit SimHash of its shingles. Within one word count, fingerprints that differ in at most ``radius``
-bits agree in at least one of ``radius + 1`` bit blocks, so an equi-join on (words, block, value) meets every such pair;
-those within the radius are compared exactly, by shingles weighted with their counts.
+laid at these places, in whatever order an item's parts stand, if enough of their shingles are such. A join on
+(shingle, word count) then adds up what each window shares with each item, so similarity is exact for every pair that
+shares anything, and no fingerprint comes before it.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,26 +30,11 @@ def shingle_hashes(words: str, shingle: int) -> Column:
     return F.transform(tail, lambda w, i: F.xxhash64(*[F.get(words, i + k) for k in range(shingle - 1)], w))
 
 
-def simhash_of(rows: DataFrame, key: str, hashes: str) -> DataFrame:
-    """(key, fp): bit b of fp is set if it is set in over half of the row's hashes."""
-    bits = [F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1).cast("long"))).alias(f"b{b}") for b in range(64)]
-    votes = rows.select(key, F.explode(hashes).alias("h")).groupBy(key).agg(F.count("*").alias("n"), *bits)
-    each = [F.when(F.col(f"b{b}") * 2 > F.col("n"), F.lit(1 << b if b < 63 else _NO_ID)).otherwise(F.lit(0)).cast("long") for b in range(64)]
-    return votes.select(key, reduce(lambda x, y: x.bitwiseOR(y), each).alias("fp"))
-
-
-def hamming_blocks(fp: str, radius: int) -> Column:
-    """Array of (block, value): radius + 1 bit ranges that cover the fingerprint."""
-    cut = [round(i * 64 / (radius + 1)) for i in range(radius + 2)]
-    parts = [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")) for a, b in zip(cut, cut[1:])]
-    return F.array(*[F.struct(F.lit(i).alias("block"), x.alias("value")) for i, x in enumerate(parts)])
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"), "text")
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 16) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per document and benchmark text it holds: doc_id, item_id, n_items, similarity, first_word, n_words.
 
     Items of equal words are one text: item_id is the smallest, n_items their number. similarity is the best window's:
@@ -79,21 +62,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, similari
     windows = again.join(spots, ["_id", "_h"]).withColumn("words", F.slice(alnum_words(F.col("text")), F.col("start") + 1, F.col("w")))
     windows = windows.select("doc_id", "_id", "_h", "w", "start", shingle_hashes("words", shingle).alias("sh"), F.monotonically_increasing_id().alias("window"))
     windows = save(windows, "windows")
-    marked = simhash_of(windows, "window", "sh").join(windows.select("window", "w"), "window")
-    targets = simhash_of(items, "item_id", "sh").join(items.select("item_id", "w"), "item_id").withColumnRenamed("fp", "fp2")
-    left = marked.select("window", "w", "fp", F.inline(hamming_blocks("fp", radius)))
-    right = targets.select("item_id", "w", "fp2", F.inline(hamming_blocks("fp2", radius)))
-    near = left.join(right, ["w", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius)
-    pairs = save(near.select("window", "item_id").distinct(), "pairs")
-    counts = pairs.join(windows.select("window", "sh"), "window").select("window", "item_id", F.explode("sh").alias("h"), F.lit(1).alias("x"), F.lit(0).alias("y"))
-    counts = counts.unionByName(pairs.join(items.select("item_id", "sh"), "item_id").select("window", "item_id", F.explode("sh").alias("h"), F.lit(0).alias("x"), F.lit(1).alias("y")))
-    counts = counts.groupBy("window", "item_id", "h").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    scored = counts.groupBy("window", "item_id").agg((F.sum(F.least("x", "y")) / F.sum(F.greatest("x", "y"))).alias("similarity"))
-    kept = scored.where(F.col("similarity") >= similarity).join(windows.select("window", "doc_id", "_id", "_h", "start", "w"), "window")
+    # shared is the sum of the lesser counts, so windows meet items on the shingles they share only
+    in_items = save(items.select("item_id", "w", F.explode("sh").alias("h")).groupBy("h", "w", "item_id").agg(F.count("*").alias("y")), "in_items")
+    counts = windows.select("window", "w", F.explode("sh").alias("h")).groupBy("window", "w", "h").agg(F.count("*").alias("x"))
+    shared = counts.join(F.broadcast(in_items) if in_items.count() <= BROADCAST_SHINGLES else in_items, ["h", "w"]).groupBy("window", "item_id").agg(F.sum(F.least("x", "y")).alias("shared"))
+    sized = shared.join(windows.select("window", "doc_id", "_id", "_h", "start", "w", F.size("sh").alias("in_window")), "window")
+    both = F.col("in_window") + F.col("w") - (shingle - 1) - F.col("shared")
+    kept = sized.withColumn("similarity", F.col("shared") / both).where(F.col("similarity") >= similarity)
     best = kept.groupBy("doc_id", "_id", "_h", "item_id", "w").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
     out = best.join(items.select("item_id", "n_items"), "item_id")
     leaks = save(out.select("doc_id", "item_id", "n_items", F.col("best.similarity").alias("similarity"), (-F.col("best.back")).alias("first_word"), F.col("w").alias("n_words"), "_id", "_h"), "leaks")
-    drop(items, marks, spots, windows, pairs)
+    drop(items, marks, in_items, spots, windows)
     return leaks
 
 

@@ -273,6 +273,17 @@ def test_leaks_stand_in_any_order(spark):
     assert decontam.without_leaks(table.where("doc_id = 1"), bench).count() == 0
 
 
+def test_no_leak_at_the_least_similarity_is_lost(spark):
+    rows, items = [], []
+    for i in range(600):
+        words = [f"q{i}x{k}" for k in range(49)]  # 45 shingles, of which a word five from the end changes five: 40 / 50
+        items.append((i, " ".join(words)))
+        rows.append((i, " ".join([f"lead{i}", *words[:-5], "changed", *words[-4:], "tail"])))
+    table, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.find_leaks(table, bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.similarity) for r in got) == [(i, i, 0.8) for i in range(600)]
+
+
 # --- 4 ---------------------------------------------------------------------------------------------------------------
 
 SECRETS = [
