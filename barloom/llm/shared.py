@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import uuid
-from contextlib import contextmanager, suppress
+import warnings
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,13 +15,28 @@ from pyspark.sql import functions as F
 BLANKS = r"[\x20\x09-\x0D]+"
 NOT_ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: Where intermediate tables go if the session names no shared folder (tests on one machine).
+#: Where intermediate tables go if a session on one machine names no shared folder.
 LOCAL_DIR = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or LOCAL_DIR if that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DIR).rstrip("/")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; on a local master LOCAL_DIR if that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or LOCAL_DIR).rstrip("/")
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """A column name for each wanted one that df does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
@@ -57,8 +75,10 @@ def drop(*tables: DataFrame) -> None:
         if path := getattr(df, "_barloom_path", None):
             spark = df.sparkSession
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            with suppress(Exception):  # a file left over costs disk, not rows
+            try:
                 where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            except Py4JJavaError as e:  # a file left over costs disk, not rows
+                warnings.warn(f"{path} was not deleted: {e.java_exception}", stacklevel=2)
 
 
 def words_of(text: Column) -> Column:
@@ -66,6 +86,19 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS, -1), lambda w: w != "")
 
 
+def radius_for(similarity: float, miss: float = 1e-8) -> int:
+    """The least number of 64 SimHash bits that a pair of the similarity exceeds with probability miss at most.
+
+    Sets of similarity s have a cosine of 2s / (1 + s) if they are equally large; each bit differs with the angle over pi.
+    """
+    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    tail, r = 1.0, -1
+    while tail > miss and r < 64:
+        r += 1
+        tail -= math.comb(64, r) * p**r * (1 - p) ** (64 - r)
+    return r
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of an edge list of longs: (node, label), label the smallest node reachable.
 

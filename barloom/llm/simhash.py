@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.shared import components, drop, save, small_batches
+from barloom.llm.shared import components, drop, free_names, save, small_batches
 from barloom.llm.tokens import text_slices
 
 BLOCKS, TILE = 6, 512
@@ -301,9 +301,10 @@ def keep_labelled(docs: DataFrame, fps: DataFrame, of_fp: DataFrame) -> DataFram
     rows = fps.groupBy("fp", "doc_id", "text_hash").agg(F.count("*").alias("n")).join(save(marked, "marked"), "fp")
     kept = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & F.col("text_hash").eqNullSafe(F.col("best.text_hash"))
     rows = save(rows.select("doc_id", "text_hash", kept.alias("kept"), "n").where("NOT kept OR n > 1"), "judged")
-    gone = rows.where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"))
-    again = rows.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & _text_hash("text").eqNullSafe(F.col("_h"))
+    a, b = free_names(docs, "gone_id", "gone_hash")
+    gone = rows.where("NOT kept").select(F.col("doc_id").alias(a), F.col("text_hash").alias(b))
+    again = rows.where("kept").select(F.col("doc_id").alias(a), F.col("text_hash").alias(b))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(a)) & _text_hash("text").eqNullSafe(F.col(b))
     out = docs.join(gone, same, "left_anti")
     if not again.isEmpty():
         copies = docs.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
