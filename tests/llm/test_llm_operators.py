@@ -232,9 +232,9 @@ def test_leaks_equal_brute_force(spark, docs):
 
 
 def test_leaks_of_odd_and_empty_tables(spark, odd):
-    bench = spark.createDataFrame([(1, None), (2, "too few"), (3, "same text of some words here"), (4, "Same text, of some words here!")], "item_id long, text string")
-    got = [(r.doc_id, r.item_id, r.n_items, r.similarity) for r in decontam.find_leaks(odd, bench).orderBy("doc_id").collect()]
-    assert got == [(OWN + 7, 3, 2, 1.0), (OWN + 8, 3, 2, 1.0)]
+    bench = spark.createDataFrame([(1, None), (2, "too few"), (3, "same text of some words here"), (4, "Same text, of some words here!"), (5, "Null id"), (6, "w975 w976 w0")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_items, r.similarity, r.first_word) for r in decontam.find_leaks(odd, bench).collect()}
+    assert got == {(OWN + 7, 3, 2, 1.0, 0), (OWN + 8, 3, 2, 1.0, 0), (None, 5, 1, 1.0, 0), (OWN + 5, 6, 1, 1.0, 975)}
     assert decontam.find_leaks(odd.limit(0), bench).count() == 0 and decontam.find_leaks(odd, bench.limit(0)).count() == 0
 
 
@@ -284,6 +284,29 @@ def test_no_leak_at_the_least_similarity_is_lost(spark):
     assert sorted((r.doc_id, r.item_id, r.similarity) for r in got) == [(i, i, 0.8) for i in range(600)]
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_blocks_meet_all_fingerprints_within_the_radius(spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    rng = random.Random(7)
+    items = [(rng.choice([20, 30]), i, rng.getrandbits(64) - (1 << 63)) for i in range(60)]
+    windows = [(w, i, fp ^ sum(1 << b for b in rng.sample(range(63), rng.randrange(14)))) for w, i, fp in items] + [(rng.choice([20, 30]), 100 + i, rng.getrandbits(64) - (1 << 63)) for i in range(60)]
+    apart = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
+    a = spark.createDataFrame(windows, "w int, window int, fp long")
+    b = spark.createDataFrame(items, "w int, item int, fp long")
+    for radius in (4, 28):
+        want = sorted((i, j) for w, i, x in windows for v, j, y in items if v == w and apart(x, y) <= radius)
+        assert sorted((r.window, r.item) for r in decontam.within_radius(a, b, radius).collect()) == want and want
+
+
+def test_simhash_of_shingles(spark):
+    rng = random.Random(8)
+    lists = [[rng.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (1, 2, 7, 40)] + [[]]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in lists], "sh array<long>").select(decontam.simhash("sh")).collect()]
+    plain = lambda x: sum((2 * sum((h >> b) & 1 for h in x) > len(x)) << b for b in range(64))
+    assert [g & (2**64 - 1) for g in got] == [plain(x) for x in lists]
+
+
 # --- 4 ---------------------------------------------------------------------------------------------------------------
 
 SECRETS = [
@@ -456,12 +479,32 @@ def test_passing_rows_keep_their_columns(spark, docs):
 
 
 def test_the_order_of_rules_changes_no_verdict(spark, docs):
-    df = cascade.features(docs)
-    rules = cascade.default_rules()
-    a = df.withColumn("k", cascade.cascade(df, rules)).select("doc_id", "k")
-    b = df.withColumn("k", cascade.cascade(df, rules[::-1])).select("doc_id", "k")
-    assert a.exceptAll(b).count() == 0
-    assert len(cascade.order_rules(df.limit(50), rules)) == len(rules)
+    rules = [*cascade.base_rules(), *cascade.default_rules()]
+    text, words = F.coalesce("text", F.lit("")), shared.words_of(F.col("text"))
+    verdict = lambda some: docs.select("doc_id", cascade.let(words, lambda w: cascade.cascade(text, w, some)).alias("k"))
+    a = verdict(rules)
+    assert a.exceptAll(verdict(rules[::-1])).count() == 0
+    assert a.exceptAll(cascade.quality(docs).select("doc_id", "kept")).count() == 0
+
+
+def test_rules_go_by_rejections_per_cost(spark):
+    texts = ["# " * 60] * 30 + ["plain words " * 400] * 70
+    slow = cascade.Rule("slow", lambda text, words: cascade.n_symbols(text) + cascade.n_repeat_words(words) * 0 > 20)
+    cheap, never = cascade.Rule("cheap", lambda text, words: F.length(text) < 200), cascade.Rule("never", lambda text, words: F.size(words) < 0)
+    found = cascade.order_rules(spark, texts, [never, slow, cheap])
+    assert [r.name for r, _, _ in found] == ["cheap", "slow", "never"] and [round(x, 6) for _, x, _ in found] == [0.3, 0.3, 0.0]
+    assert [r.name for r, _, _ in cascade.order_rules(spark, [], [never, slow])] == ["never", "slow"]
+
+
+def test_the_sample_is_bounded(spark, odd):
+    assert len(cascade.sample_of(odd, 3)) == 3 and max(map(len, cascade.sample_of(odd, 100, 50))) <= 50
+
+
+def test_a_rejected_text_is_spared_later_rules(spark):
+    table = spark.createDataFrame([("short",), ("word " * 60,)], "text string")
+    fails = cascade.Rule("fails", lambda text, words: F.when(F.size(words) < 50, F.raise_error(F.lit("asked"))).otherwise(F.lit(False)))
+    both = [cascade.base_rules()[0], fails]
+    assert table.where(cascade.let(shared.words_of(F.col("text")), lambda w: cascade.cascade(F.col("text"), w, both))).count() == 1
 
 
 # --- 1 ---------------------------------------------------------------------------------------------------------------
