@@ -1,20 +1,24 @@
 """Log-bilinear language model trained with noise-contrastive estimation in numpy; counts and scores over all texts.
 
 Counts. Texts are cut into chunks of bounded size; a chunk keeps its distinct words once, its tokens as places in that
-list. Word counts are summed over chunks by a shuffle, and come back to each chunk by a join on the word, so no
-vocabulary is ever held whole anywhere.
-
-Model. A token's class is itself for the TOP most frequent words, the end mark, or one of BUCKETS classes of rarer words
-by their first two letters; within a bucket a word has its share of the counts, add one. The class is predicted from the
-two classes before it: score = R1[c1] . Q[c] + R2[c2] . Q[c] + b[c] (Mnih and Hinton, 2007), trained with noise from the
-unigram distribution (Mnih and Teh, 2012). Each task trains on its own texts from the same start, all texts once; the
-parameters are averaged, weighted by tokens. Probabilities are normalised: log Z of every pair of classes comes from
-matrix products, so a token costs four look-ups.
+list. Word counts are summed over chunks by a shuffle, and come back to each chunk by a join on the word (of the TOP
+words by a broadcast), so the whole vocabulary is never held anywhere.
+
+Model. Symbols are the TOP most frequent words, the end mark, and BUCKETS shares of all rarer words by their first two
+letters; in a share, a word has its part of the counts, add one. Every symbol has a vector for each of the two places
+before a token (R1, R2). h = R1[w1] + R2[w2] scores units (GROUP words of neighbouring ranks, the end, a share) and
+then the words of the unit: log p = log softmax(Q h + b)[unit] + log softmax(q h + c)[word in its unit] (Mnih and
+Hinton, 2007 and 2009). Both softmaxes are normalised exactly, by matrix products over batches of tokens.
+
+Training. Noise-contrastive estimation (Mnih and Teh, 2012) at both levels, from units by their frequency and words of
+a unit alike. In each of ROUNDS rounds every task trains on its own part of that round's texts, from the parameters of
+the round before; then Spark averages each vector over the tasks, weighted by how often a task used it. All training
+texts are learnt from once.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +30,11 @@ from pyspark.sql import functions as F
 from barloom.llm.shared import drop, save, small_batches
 from barloom.llm.tokens import lowered, regrouped, text_slices
 
-TOP, BUCKETS = 383, 128
-CLASSES, END = TOP + 1 + BUCKETS, TOP
-DIM, NOISE, BATCH, RATE, SEED = 16, 32, 1024, 0.1, 11
+GROUP, UNITS_OF_WORDS, BUCKETS = 128, 128, 64
+TOP = GROUP * UNITS_OF_WORDS
+SYMBOLS, END = TOP + 1 + BUCKETS, TOP
+UNITS = UNITS_OF_WORDS + 1 + BUCKETS
+DIM, NOISE, IN_UNIT, BATCH, RATE, ROUNDS, SEED = 16, 32, 4, 8192, 0.1, 3, 11
 CHUNK_BYTES = 10 << 20
 
 CHUNKS = "chunk long, doc_ids array<long>, held array<boolean>, lengths array<int>, codes binary, words array<string>, counts array<long>"
@@ -74,33 +80,36 @@ def _bucket(word: str) -> Column:
 
 @dataclass
 class Counts:
-    """Totals of the training texts, by class; all bounded by the number of classes."""
+    """Totals of the training texts, by symbol; all bounded by the number of symbols."""
 
     tokens: int
     distinct: int
     ends: int
-    by_class: np.ndarray  # tokens of each class
-    mass: np.ndarray  # sum of count + 1 over the words of each class
+    by_class: np.ndarray  # tokens of each symbol
+    mass: np.ndarray  # sum of count + 1 over the words of each symbol
 
 
-def code_texts(docs: DataFrame) -> tuple[DataFrame, Counts]:
-    """Saved table (CODED) of every row's counts, base score, share within buckets, and classes; and the totals."""
+def code_texts(docs: DataFrame) -> tuple[DataFrame, Counts, int]:
+    """Saved table (CODED) of every row's counts, base score, part within shares, and symbols; the totals; how many words have a symbol of their own."""
     with small_batches(docs.sparkSession):
         chunks = save(chunks_of(docs), "chunks")
     pairs = chunks.select(F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n")))).where("n > 0")
     sums = save(pairs.groupBy("word").agg(F.sum("n").alias("c")), "sums")
-    ranked = sums.orderBy(F.desc("c"), "word").limit(TOP).select("word").collect()  # TOP rows at most
-    top = docs.sparkSession.createDataFrame([(r["word"], i) for i, r in enumerate(ranked)], "word string, top int")
-    vocab = save(sums.join(F.broadcast(top), "word", "left").select("word", "c", F.coalesce("top", _bucket("word")).alias("class")), "vocab")
-    by_class, mass = np.zeros(CLASSES), np.zeros(CLASSES)
+    ranked = sums.orderBy(F.desc("c"), "word").limit(TOP).collect()  # TOP rows at most
+    top = F.broadcast(docs.sparkSession.createDataFrame([(r["word"], r["c"], i) for i, r in enumerate(ranked)], "word string, c long, class int"))
+    rare = save(sums.join(top, "word", "left_anti").select("word", "c", _bucket("word").alias("class")), "rare")
+    by_class, mass = np.zeros(SYMBOLS), np.zeros(SYMBOLS)
     distinct = 0
-    for r in vocab.groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():  # CLASSES rows at most
+    for r in rare.unionByName(top).groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():  # SYMBOLS rows at most
         by_class[r["class"]], mass[r["class"]], distinct = r["c"], r["c"] + r["n"], distinct + r["n"]
     ends = chunks.agg(F.sum(F.size(F.filter("held", lambda x: ~x)))).first()[0] or 0
     by_class[END] = ends
     totals = Counts(int(by_class.sum()), distinct + (ends > 0), ends, by_class, mass)
     asked = chunks.select("chunk", F.posexplode("words").alias("at", "word"))
-    found = asked.join(vocab, "word", "left").select("chunk", "at", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("class", _bucket("word")).alias("class"))
+    # a frequent word is in every chunk: those are looked up where they stand, only the rarer ones are shuffled
+    few = asked.join(top, "word", "left_anti").join(rare, "word", "left")
+    few = few.select("chunk", "at", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("class", _bucket("word")).alias("class"))
+    found = few.unionByName(asked.join(top, "word").select("chunk", "at", "c", "class"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         at = right.column("at").to_numpy()
@@ -129,8 +138,8 @@ def code_texts(docs: DataFrame) -> tuple[DataFrame, Counts]:
 
     body = chunks.select(F.col("chunk").alias("of"), "doc_ids", "held", "lengths", "codes")
     coded = save(body.groupBy("of").cogroup(found.groupBy("chunk")).applyInArrow(run, CODED), "coded")
-    drop(chunks, sums, vocab)
-    return coded, totals
+    drop(chunks, sums, rare)
+    return coded, totals, len(ranked)
 
 
 def _summed(values: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -142,80 +151,128 @@ def _summed(values: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> np.nda
     return out
 
 
+UNIT_OF = np.concatenate([np.arange(TOP) // GROUP, np.arange(UNITS_OF_WORDS, UNITS)]).astype(np.int64)
+#: Parameters by kind: rows of DIM numbers and a bias. Those of contexts have no bias.
+ROWS_OF = {"r1": SYMBOLS, "r2": SYMBOLS, "q": UNITS, "words": TOP}
+
+
 @dataclass
 class Model:
+    """r1, r2 (contexts), q (units), words: arrays of ROWS_OF rows; the last column is the bias. live: words that exist."""
+
     r1: np.ndarray
     r2: np.ndarray
     q: np.ndarray
-    b: np.ndarray
+    words: np.ndarray
+    live: np.ndarray
+    unit_p: np.ndarray
+    sizes: np.ndarray = field(init=False)  # words that exist, by unit
+
+    def __post_init__(self):
+        self.sizes = self.live.reshape(UNITS_OF_WORDS, GROUP).sum(axis=1)
 
     @staticmethod
-    def start(by_class: np.ndarray) -> Model:
+    def start(by_class: np.ndarray, n_words: int) -> Model:
+        """Random vectors, and biases that give each symbol its share of the counts."""
         rng = np.random.default_rng(SEED)
-        small = lambda: (rng.standard_normal((CLASSES, DIM)) * 0.1).astype(np.float32)
-        p = (by_class + 0.5) / (by_class + 0.5).sum()
-        return Model(small(), small(), small(), np.log(p).astype(np.float32))
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.r1, self.r2, self.q, self.b)])
+        params = {k: (rng.standard_normal((n, DIM + 1)) * 0.1).astype(np.float32) for k, n in ROWS_OF.items()}
+        live = np.arange(TOP) < n_words
+        mass = by_class + 0.5
+        mass[:TOP][~live] = 0
+        per_unit = np.bincount(UNIT_OF, mass, UNITS)
+        with np.errstate(divide="ignore"):
+            params["q"][:, DIM] = np.maximum(np.log(per_unit / per_unit.sum()), -1e9)
+            params["words"][:, DIM] = np.maximum(np.log(mass[:TOP] / np.maximum(per_unit[UNIT_OF[:TOP]], 0.5)), -1e9)
+        return Model(**params, live=live, unit_p=per_unit / per_unit.sum())
+
+    def copy(self) -> Model:
+        return Model(*(getattr(self, k).copy() for k in ROWS_OF), live=self.live, unit_p=self.unit_p)
+
+    def log_probs(self, w1: np.ndarray, w2: np.ndarray, w: np.ndarray, block: int = 2048) -> np.ndarray:
+        """Natural log probabilities of symbols after two symbols, normalised over all symbols."""
+        out = np.empty(len(w))
+        h = self.r1[w1, :DIM] + self.r2[w2, :DIM]
+        unit = UNIT_OF[w]
+        self._level(out, h, np.arange(len(w)), unit, self.q, block)
+        inside = np.flatnonzero(w < TOP)
+        order = inside[np.argsort(unit[inside].astype(np.uint16), kind="stable")]
+        cut = np.searchsorted(unit[order], np.arange(UNITS_OF_WORDS + 1))
+        more = np.zeros(len(w))
+        for u in np.flatnonzero(np.diff(cut)):
+            at = order[cut[u] : cut[u + 1]]
+            self._level(more, h, at, w[at].astype(np.int64) - u * GROUP, self.words[u * GROUP : (u + 1) * GROUP], block)
+        return out + more
 
     @staticmethod
-    def of_flat(x: np.ndarray) -> Model:
-        n = CLASSES * DIM
-        return Model(*(x[i * n : (i + 1) * n].reshape(CLASSES, DIM).astype(np.float32) for i in range(3)), x[3 * n :].astype(np.float32))
-
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """S1, S2 (with the bias), log Z by (c1, c2): log p(c | c1, c2) = S1[c1, c] + S2[c2, c] - log Z[c1, c2]."""
-        s1, s2 = self.r1 @ self.q.T, self.r2 @ self.q.T + self.b
-        log_z = np.empty((CLASSES, CLASSES), np.float64)
-        for c1 in range(CLASSES):
-            s = s1[c1] + s2
-            most = s.max(axis=1, keepdims=True)
-            log_z[c1] = most[:, 0] + np.log(np.exp(s - most).sum(axis=1, dtype=np.float64))
-        return s1, s2, log_z
+    def _level(out: np.ndarray, h: np.ndarray, at: np.ndarray, choice: np.ndarray, rows: np.ndarray, block: int) -> None:
+        """out[at]: log softmax of rows at the choice; a batched matrix product makes all scores of a block of tokens."""
+        vectors, bias = np.ascontiguousarray(rows[:, :DIM].T), rows[:, DIM]
+        ones = np.ones(len(rows), np.float32)
+        for a in range(0, len(at), block):
+            some = at[a : a + block]
+            scores = h[some] @ vectors
+            scores += bias
+            np.minimum(scores, 80, out=scores)  # exp stays finite
+            chosen = scores[np.arange(len(some)), choice[a : a + block]].astype(np.float64)
+            np.exp(scores, out=scores)
+            out[some] = chosen - np.log((scores @ ones).astype(np.float64))
 
 
 class Trainer:
-    """Noise-contrastive estimation by AdaGrad on batches of (c1, c2, c); the noise of a batch is shared by its tokens."""
-
-    def __init__(self, model: Model, by_class: np.ndarray, seed: int):
-        self.m, self.rng = model, np.random.default_rng(seed)
-        p = (by_class + 0.5) / (by_class + 0.5).sum()
-        self.log_kq, self.steps = np.log(NOISE * p).astype(np.float32), np.cumsum(p)
-        self.g2 = [np.full(x.shape, 1e-8, np.float32) for x in (model.r1, model.r2, model.q, model.b)]
-
-    def _apply(self, i: int, x: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
-        self.g2[i][rows] += grad * grad
-        x[rows] += RATE * grad / np.sqrt(self.g2[i][rows])
-
-    @staticmethod
-    def _by(rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Noise-contrastive estimation by AdaGrad on batches of (w1, w2, w); the noise units of a batch are shared by its tokens."""
+
+    def __init__(self, model: Model, rate: float, seed: int):
+        self.m, self.rate, self.rng = model, rate, np.random.default_rng(seed)
+        self.steps = np.cumsum(model.unit_p)
+        with np.errstate(divide="ignore"):
+            self.log_kp = np.maximum(np.log(NOISE * model.unit_p), -1e9).astype(np.float32)
+            self.log_kw = np.log(np.maximum(IN_UNIT / np.maximum(model.sizes, 1), 1e-9)).astype(np.float32)
+        self.g2 = {k: np.full((n, DIM + 1), 1e-8, np.float32) for k, n in ROWS_OF.items()}
+        self.used = {k: np.zeros(n, np.int64) for k, n in ROWS_OF.items()}
+
+    def _apply(self, kind: str, rows: np.ndarray, grad: np.ndarray, n: int) -> None:
+        """One step for the sums of the gradients of equal rows (uint16)."""
         order = np.argsort(rows, kind="stable")
         keys = rows[order]
         first = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
-        return keys[first], np.add.reduceat(grad[order], first, axis=0)
-
-    def step(self, c1: np.ndarray, c2: np.ndarray, c: np.ndarray) -> None:
-        m, n = self.m, len(c)
-        noise = np.minimum(np.searchsorted(self.steps, self.rng.random(NOISE)), CLASSES - 1)
-        h = m.r1[c1] + m.r2[c2]
-        q, qn = m.q[c], m.q[noise]
-        up = 1 / (1 + np.exp(np.einsum("ij,ij->i", h, q) + m.b[c] - self.log_kq[c]))  # 1 - P(data)
-        down = -1 / (1 + np.exp(-(h @ qn.T + m.b[noise] - self.log_kq[noise])))  # - P(data) of the noise
+        g = np.add.reduceat(grad[order], first, axis=0) / np.float32(n)
+        at = keys[first]
+        width = g.shape[1]
+        self.used[kind][at] += np.diff(np.append(first, len(keys)))
+        g2 = self.g2[kind]
+        g2[at, :width] += g * g
+        getattr(self.m, kind)[at, :width] += self.rate * g / np.sqrt(g2[at, :width])
+
+    def step(self, w1: np.ndarray, w2: np.ndarray, w: np.ndarray) -> None:
+        m, n, sigmoid = self.m, len(w), lambda x: 1 / (1 + np.exp(-x))
+        h = np.empty((n, DIM + 1), np.float32)
+        h[:, :DIM] = m.r1[w1, :DIM] + m.r2[w2, :DIM]
+        h[:, DIM] = 1  # of the bias
+        unit = UNIT_OF[w]
+        noise = np.minimum(np.searchsorted(self.steps, self.rng.random(NOISE)), UNITS - 1)
+        q, qn = m.q[unit], m.q[noise]
+        up = 1 - sigmoid(np.einsum("ij,ij->i", h, q) - self.log_kp[unit])  # 1 - P(data)
+        down = -sigmoid(h @ qn.T - self.log_kp[noise])  # - P(data) of the noise
         dh = up[:, None] * q + down @ qn
-        for i, x, rows in ((0, m.r1, c1), (1, m.r2, c2)):
-            self._apply(i, x, *(lambda k, g: (k, g / n))(*self._by(rows, dh)))
-        dq, db = np.zeros_like(m.q), np.bincount(c, up, CLASSES).astype(np.float32)
-        rows, g = self._by(c, up[:, None] * h)
-        dq[rows] = g
-        np.add.at(dq, noise, down.T @ h)
-        np.add.at(db, noise, down.sum(axis=0))
-        self._apply(2, m.q, np.arange(CLASSES), dq / n)
-        self._apply(3, m.b, np.arange(CLASSES), db / n)
+        rows, grads = np.concatenate([unit, noise]).astype(np.uint16), np.concatenate([up[:, None] * h, down.T @ h])
+        inside = np.flatnonzero(w < TOP)
+        if len(inside):
+            hi, u = h[inside], unit[inside]
+            other = u[:, None] * GROUP + (self.rng.random((len(inside), IN_UNIT), np.float32) * m.sizes[u][:, None]).astype(np.int64)
+            t, v = m.words[w[inside]], m.words[other]
+            up2 = 1 - sigmoid(np.einsum("ij,ij->i", hi, t) - self.log_kw[u])
+            down2 = -sigmoid(np.einsum("ij,ikj->ik", hi, v) - self.log_kw[u][:, None])
+            dh[inside] += up2[:, None] * t + np.einsum("ik,ikj->ij", down2, v)
+            each = np.concatenate([w[inside], other.ravel()]).astype(np.uint16)
+            push = np.concatenate([up2[:, None] * hi, (down2[:, :, None] * hi[:, None, :]).reshape(-1, DIM + 1)])
+            self._apply("words", each, push, n)
+        self._apply("q", rows, grads, n)
+        self._apply("r1", w1.astype(np.uint16), dh[:, :DIM], n)
+        self._apply("r2", w2.astype(np.uint16), dh[:, :DIM], n)
 
 
 def contexts(classes: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bounds, c1, c2, c) of a batch of texts: classes and the end mark, after two end marks as a start."""
+    """(bounds, w1, w2, w) of a batch of texts: symbols and the end mark, after two end marks as a start."""
     raw = [np.frombuffer(x, "<u2") for x in classes.to_pylist()]
     n = np.array([len(x) + 1 for x in raw], np.int64)
     end = np.array([END], np.uint16)
@@ -225,55 +282,67 @@ def contexts(classes: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return bounds, padded[at - 2], padded[at - 1], padded[at]
 
 
-def train(coded: DataFrame, totals: Counts) -> Model:
-    """One pass over the training texts in each task, then the average of the tasks' parameters, weighted by tokens.
+def train(coded: DataFrame, totals: Counts, n_words: int, rounds: int = ROUNDS) -> Model:
+    """Rounds over parts of the training texts, each text once; tasks' vectors are averaged by Spark after each round.
 
-    The result is as large as the model: its parameters are rows that Spark sums.
+    A task returns the vectors it used, so what is summed has as many rows as the model times the tasks.
     """
-    by_class, start = totals.by_class, Model.start(totals.by_class)
-
-    def run(batches):
-        model, seen = Model.of_flat(start.flat()), 0
-        trainer = Trainer(model, by_class, SEED + TaskContext.get().partitionId())
-        for batch in batches:
-            for first, n in text_slices(batch.column("classes"), 4 << 20):
-                _, c1, c2, c = contexts(batch.column("classes").slice(first, n))
-                order = trainer.rng.permutation(len(c))
-                for a in range(0, len(c), BATCH):
-                    some = order[a : a + BATCH]
-                    trainer.step(c1[some], c2[some], c[some])
-                seen += len(c)
-        if seen:
-            flat = model.flat().astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * seen), pa.array(np.full(len(flat), seen))], ["at", "x", "n"])
-
-    rows = coded.where("NOT held_out").select("classes").mapInArrow(run, "at long, x double, n long")
-    mean = rows.groupBy("at").agg((F.sum("x") / F.sum("n")).alias("x")).collect()  # 3 * CLASSES * DIM + CLASSES rows
-    if not mean:
-        return start
-    flat = np.zeros(3 * CLASSES * DIM + CLASSES)
-    flat[[r["at"] for r in mean]] = [r["x"] for r in mean]
-    return Model.of_flat(flat)
+    model = Model.start(totals.by_class, n_words)
+    spark = coded.sparkSession
+    names = [f"x{i}" for i in range(DIM + 1)]
+    schema = "kind string, row int, n long, " + ", ".join(f"{x} float" for x in names)
+    for k in range(rounds):
+        sent, rate = spark.sparkContext.broadcast(model), RATE / (k + 1)
+
+        def run(batches, sent=sent, rate=rate, k=k):
+            trainer = Trainer(sent.value.copy(), rate, SEED + 1000 * k + TaskContext.get().partitionId())
+            for batch in batches:
+                for first, n in text_slices(batch.column("classes"), 4 << 20):
+                    _, w1, w2, w = contexts(batch.column("classes").slice(first, n))
+                    order = trainer.rng.permutation(len(w))
+                    for a in range(0, len(w), BATCH):
+                        some = order[a : a + BATCH]
+                        trainer.step(w1[some], w2[some], w[some])
+            for kind in ROWS_OF:
+                at = np.flatnonzero(trainer.used[kind])
+                if len(at):
+                    x = getattr(trainer.m, kind)[at]
+                    cols = [pa.array([kind] * len(at)), pa.array(at.astype(np.int32)), pa.array(trainer.used[kind][at])]
+                    yield pa.RecordBatch.from_arrays([*cols, *(pa.array(x[:, i]) for i in range(DIM + 1))], ["kind", "row", "n", *names])
+
+        part = coded.where("NOT held_out").where(F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(rounds)) == k)
+        rows = part.select("classes").mapInArrow(run, schema)
+        mean = rows.groupBy("kind", "row").agg(*[(F.sum(F.col("n") * F.col(x).cast("double")) / F.sum("n")).alias(x) for x in names])
+        got = mean.toArrow()  # a row for each vector of the model at most
+        model = model.copy()
+        kinds, at = np.array(got.column("kind").to_pylist(), object), got.column("row").to_numpy()
+        x = np.stack([got.column(c).to_numpy() for c in names], axis=1).astype(np.float32)
+        for kind in ROWS_OF:
+            some = kinds == kind
+            getattr(model, kind)[at[some]] = x[some]
+        sent.destroy()
+    return model
 
 
 def score(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     Null text is one end mark; a null id counts as empty text for the split; repeated rows are scored (and learnt from)
-    each; with no training text the base score is 0 a token and the classes are equally likely. Only doc_id and text are read.
+    each; with no training text the base score is 0 a token and all units are equally likely. Texts are taken whole, however
+    long; an empty table gives an empty result. Only doc_id and text are read, whatever else is there.
     """
-    coded, totals = code_texts(docs)
-    held = train(coded, totals).tables()
-    shared = docs.sparkSession.sparkContext.broadcast(held)
+    coded, totals, n_words = code_texts(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(train(coded, totals, n_words))
+    out = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(batches):
-        s1, s2, log_z = shared.value
+        model = shared.value
         for batch in batches:
-            for first, n in text_slices(batch.column("classes"), 4 << 20):
+            for first, n in text_slices(batch.column("classes"), 1 << 20):
                 part = batch.slice(first, n)
-                bounds, c1, c2, c = contexts(part.column("classes"))
-                log_p = (s1[c1, c] + s2[c2, c] - log_z[c1, c2]) / np.log(10)
-                total = np.add.reduceat(log_p, bounds[:-1]) + part.column("within").to_numpy()
-                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in ("doc_id", "held_out", "n_tokens", "n_known")), pa.array(np.full(n, totals.tokens)), part.column("base_score"), pa.array(total)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                bounds, w1, w2, w = contexts(part.column("classes"))
+                total = np.add.reduceat(model.log_probs(w1, w2, w) / np.log(10), bounds[:-1]) + part.column("within").to_numpy()
+                kept = [part.column(x) for x in ("doc_id", "held_out", "n_tokens", "n_known")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.full(n, totals.tokens)), part.column("base_score"), pa.array(total)], out)
 
     return coded.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
