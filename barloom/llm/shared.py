@@ -125,3 +125,25 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         now = nxt
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with a column of 0, 1, ... in the order of columns, which must be a total one; no task gathers more than its share.
+
+    Rows are dealt by range and written, a task numbers its own; the driver sees one count a task. drop() the result
+    when it has been read.
+    """
+    (at,) = free_names(df, "dealt_at")
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
+    dealt = save(dealt, "dealt")
+    task = F.shiftright(at, 33)
+    counts = dealt.groupBy(task.alias("task")).agg(F.count("*").alias("n")).orderBy("task").collect()  # a row per task
+    base, before = [], 0
+    for r in counts:
+        base.append((r["task"], before))
+        before += r["n"]
+    bases = df.sparkSession.createDataFrame(base, f"{at}_task long, {at}_base long")
+    both = dealt.join(F.broadcast(bases), task == F.col(f"{at}_task"))
+    out = both.withColumn(name, F.col(f"{at}_base") + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).select(*df.columns, name)
+    out._barloom_path = dealt._barloom_path
+    return out

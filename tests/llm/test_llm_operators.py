@@ -368,18 +368,44 @@ def test_language_model(spark, docs, odd):
     assert lbl.score(table.limit(0)).count() == 0
 
 
-def test_class_probabilities_add_up_and_training_learns():
+def test_probabilities_add_up_and_training_learns():
     rng = np.random.default_rng(0)
-    c2 = rng.integers(0, 20, 40_000)
-    c = (c2 * 7 + rng.integers(0, 2, 40_000)) % 20
-    by_class = np.bincount(c, minlength=lbl.CLASSES).astype(float)
-    t = lbl.Trainer(lbl.Model.start(by_class), by_class, 1)
-    for a in range(0, len(c), lbl.BATCH):
-        t.step(c2[a : a + lbl.BATCH], c2[a : a + lbl.BATCH], c[a : a + lbl.BATCH])
-    s1, s2, z = t.m.tables()
-    p = np.exp(s1[3] + s2[5] - z[3, 5])
-    assert p.sum() == pytest.approx(1, abs=1e-4)
-    assert (s1[c2, c] + s2[c2, c] - z[c2, c2]).mean() > -1.6  # uniform over 20 is -3.0, the best -0.7
+    n_words = 300  # three units, the last one partly filled
+    w2 = rng.integers(0, n_words, 200_000).astype(np.uint16)
+    w = ((w2.astype(int) * 7 + rng.integers(0, 2, len(w2))) % n_words).astype(np.uint16)
+    w[::50] = lbl.END
+    by_class = np.bincount(w, minlength=lbl.SYMBOLS).astype(float)
+    start = lbl.Model.start(by_class, n_words)
+    t = lbl.Trainer(start.copy(), 0.1, 1)
+    for _ in range(3):
+        for a in range(0, len(w), 2048):
+            t.step(w2[a : a + 2048], w2[a : a + 2048], w[a : a + 2048])
+    every = np.array([x for x in range(lbl.SYMBOLS) if x < n_words or x >= lbl.END], np.uint16)
+    for m in (start, t.m):
+        for a, b in ((3, 5), (299, lbl.END), (lbl.END + 4, 128)):
+            p = m.log_probs(np.full(len(every), a), np.full(len(every), b), every)
+            assert np.exp(p).sum() == pytest.approx(1, abs=1e-4)
+            # by hand: exp of each score over the sum of all, unit by unit
+            h = m.r1[a, : lbl.DIM].astype(float) + m.r2[b, : lbl.DIM]
+            units = m.q[:, : lbl.DIM] @ h + m.q[:, lbl.DIM]
+            words = m.words[:, : lbl.DIM] @ h + m.words[:, lbl.DIM]
+            for i, x in enumerate(every.tolist()):
+                u = lbl.UNIT_OF[x]
+                want = units[u] - np.log(np.exp(units).sum())
+                if x < lbl.TOP:
+                    want += words[x] - np.log(np.exp(words[u * lbl.GROUP : (u + 1) * lbl.GROUP]).sum())
+                assert p[i] == pytest.approx(want, abs=2e-3)
+    before, after = (m.log_probs(w2, w2, w).mean() for m in (start, t.m))
+    assert after > before + 1.5  # the best is 5.0 above
+
+
+def test_scores_hold_under_another_partitioning(spark, docs):
+    few = docs.select("doc_id", "text")
+    a, b = ({r.doc_id: (r.base_score, r.score, r.n_tokens) for r in lbl.score(few.repartition(n, "doc_id")).collect()} for n in (1, 3))
+    assert all(a[i][0] == pytest.approx(b[i][0]) for i in a)
+    tokens = sum(x[2] for x in a.values())
+    assert abs(sum(x[1] for x in a.values()) - sum(x[1] for x in b.values())) / tokens < 0.05  # log10 a token
+    assert sum(x[1] for x in b.values()) > sum(x[0] for x in b.values())
 
 
 # --- 6 ---------------------------------------------------------------------------------------------------------------
@@ -523,10 +549,96 @@ def test_quotations(spark):
     assert got[1, 2].parent_turn == 1 and got[1, 2].root_turn == 0 and got[1, 2].depth == 2 and got[1, 2].n_linked == 2
     assert got[1, 3].parent_turn == 0 and got[1, 4].root_turn == 4
     assert [t for _, t in sorted((got[1, t].position, t) for t in range(5))] == [0, 1, 2, 3, 4]
-    assert got[2, 0].body == "" and got[2, 0].n_linked == 0
+    assert got[2, 0].body == "" and got[2, 0].n_linked == 0  # one word is too few for another conversation
     assert quotes.link_quotes(d.limit(0)).count() == 0
 
 
+def conversations_by_hand(rows):
+    """{row number: (position, root turn, depth, parent (conversation, turn), n_linked)} by plain loops over parsed messages."""
+    parsed = [quotes.parse(r[3]) for r in rows]
+    up, linked, away = {}, {}, {}
+    for i, (conv, turn, _, _) in enumerate(rows):
+        found = []
+        for q, (level, asked) in enumerate(parsed[i][2]):
+            best = []
+            for unit, (kind, n, h) in enumerate(asked):
+                has = [(rows[j][0], rows[j][1], j) for j in range(len(rows)) if h in parsed[j][1]]
+                inside = [x for x in has if x[0] == conv and x[1] < turn]
+                if inside:
+                    best.append((0, kind, unit, min(inside)))
+                if n >= quotes.FEWEST and has:
+                    ends = [x for x in (min(has), max((c, *min((t, j) for d, t, j in has if d == c)) for c, _, _ in has)) if x[0] != conv]
+                    if ends:
+                        best.append((1, kind, unit, ends[0]))
+            if best:
+                b = min(best)
+                found.append((b[0], level, q, b[3]))
+        if found:
+            b = min(found)
+            linked[i] = (len(found), b[3])
+            (up if b[0] == 0 else away)[i] = b[3][2]
+    kids = collections.defaultdict(list)
+    for i, p in up.items():
+        kids[p].append(i)
+    out, per = {}, collections.defaultdict(list)
+    for i, r in enumerate(rows):
+        if i not in up:
+            per[r[0]].append((r[1], i))
+    for conv, roots in per.items():
+        at = 0
+        # trees of two or more and single messages alike go by the root's turn, then by the message
+        for turn, root in sorted(roots):
+            stack = [(root, 0)]
+            while stack:
+                i, depth = stack.pop()
+                out[i] = (at, turn, depth, linked[i][1][:2] if i in linked else (None, None), linked[i][0] if i in linked else 0)
+                at += 1
+                stack += [(k, depth + 1) for k in sorted(kids[i], key=lambda k: (rows[k][1], k), reverse=True)]
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_conversations_equal_plain_loops(spark, seed):
+    rng = random.Random(seed)
+    sentence = lambda: " ".join(f"w{rng.randrange(400)}" for _ in range(rng.randrange(3, 14))).capitalize() + rng.choice(".!?")
+    rows = []
+    for conv in range(4):
+        said = []
+        for turn in range(18):
+            own = "\n\n".join(" ".join(sentence() for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(1, 3)))
+            text = own
+            past = said if rng.random() < 0.8 else [t for _, _, _, t in rows]
+            if past and rng.random() < 0.7:
+                other = rng.choice(past).split(" ")
+                cut = sorted(rng.sample(range(len(other) + 1), 2)) if rng.random() < 0.6 else [0, len(other)]
+                width = rng.choice([5, 12, 10**6])
+                piece = " ".join(other[cut[0] : cut[1]]).split("\n")
+                lines = [" ".join(x.split(" ")[i : i + width]) for x in piece for i in range(0, max(len(x.split(" ")), 1), width)]
+                text = rng.choice(["", "On Mon, 3 May,\nX <x@example.org> wrote:\n"]) + "\n".join("> " + x for x in lines) + "\n\n" + own
+            said.append(text)
+            rows.append((conv, turn // 2 if conv == 3 else turn, "u", text))
+    rows += [rows[5], rows[40], (1, 30, "a", "> nothing known here at all, never said"), (1, 31, "a", "")]
+    want = conversations_by_hand(rows)
+    table = spark.createDataFrame([(*r, f"{r[0]}-{i}") for i, r in enumerate(rows)], "conv_id long, turn long, role string, text string, msg string").coalesce(1)
+    got = collections.Counter((r.conv_id, r.turn, r.position, r.root_turn, r.depth, (r.parent_conv_id, r.parent_turn), r.n_linked) for r in quotes.link_quotes(table).collect())
+    assert got == collections.Counter((rows[i][0], rows[i][1], *x) for i, x in want.items())
+    assert sum(x[2] > 1 for x in want.values()) > 5 and sum(x[3][0] not in (None, rows[i][0]) for i, x in want.items()) > 0
+
+
+def test_an_introduction_may_be_long_and_wrapped():
+    intro = "On Monday, " + "x" * 500 + ",\nSomebody\n<a@example.org> wrote:"
+    body, own, found = quotes.parse(f"Text.\n\n{intro}\n> quoted words")
+    assert body == "Text." and len(found) == 1
+    assert quotes.parse("On the whole\nno.\n> quoted words")[0] == "On the whole\nno."
+
+
+def test_a_quote_of_fifteen_words_finds_its_original(spark):
+    words = [f"v{i}" for i in range(200)]
+    rows = [(1, 0, "u", " ".join(words)), (1, 1, "u", "> " + "\n> ".join([" ".join(words[61:66]), " ".join(words[66:76])])), (1, 2, "u", "> " + " ".join(f"v{i % 5}" for i in range(5)))]
+    got = {r.turn: r for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1].parent_turn == 0 and got[2].parent_turn is None
+
+
 def test_conversations_keep_every_message(spark):
     c = spark.read.parquet(f"{SF}/conversations.parquet")
     got = quotes.link_quotes(c)
