@@ -27,7 +27,7 @@ STRONG = [
 WEAK = [
     ("account", r"""(?i:(user|username|login|client_?id|account_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]+)""", 2, 3, "identifier", ["secret"]),
     ("mixed", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}", 0, 32, "secret", ["identifier", "endpoint"]),
-    ("endpoint", r"""[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\x20\x09-\x0D"'<>]+""", 0, 6, "endpoint", ["secret"]),
+    ("endpoint", r"""(?<![A-Za-z0-9+.-])[0-9+.-]*+[A-Za-z][A-Za-z0-9+.-]*+://[^\x20\x09-\x0D"'<>]+""", 0, 6, "endpoint", ["secret"]),
 ]
 KINDS = [k[0] for k in STRONG + WEAK]
 #: Of texts that may have a strong finding; the patterns with the least lengths built in.
@@ -115,7 +115,9 @@ def _outside(parts: DataFrame, others: DataFrame, tag: str, reach: int) -> DataF
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """One row per row of docs: doc_id, n_<kind> of every kind, base_sha256 (of the strong spans), spans (all of them).
 
-    Spans are written kind:start:end, by start, then kind in the order of KINDS, joined by commas.
+    Spans are written kind:start:end, by start, then kind in the order of KINDS, joined by commas. Null texts are empty;
+    repeated rows are scanned each; texts are taken whole; an empty table gives an empty result. Only doc_id and text
+    are read, whatever else is there.
     """
     spans = find_spans(docs, scope)
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
@@ -135,16 +137,28 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 
 def redact(docs: DataFrame, scope: int = SCOPE, mask: str = "[SECRET]") -> DataFrame:
-    """docs with every span's characters replaced by mask (overlapping spans once); other columns stay, n_chars is set anew if there."""
-    merged = _scopes(find_spans(docs, scope), ["_id", "_h"], 0).select("_id", "_h", "lo", "hi").distinct()
+    """docs with every span's characters replaced by mask (overlapping spans once); n_chars is set anew where text changes.
+
+    All other columns stay, whatever their names. Null texts stay null; repeated rows are masked each; texts are taken
+    whole, however long; an empty table gives an empty result.
+    """
+    merged = _scopes(find_spans(docs.select("doc_id", "text"), scope), ["_id", "_h"], 0).select("_id", "_h", "lo", "hi").distinct()
     cuts = merged.groupBy("_id", "_h").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("_cuts"))
     cuts = save(cuts, "cuts").withColumnsRenamed({"_id": "_id2", "_h": "_h2"})
-    keyed = _keyed(docs)
+    keyed = _keyed(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")))
     both = keyed.join(cuts, (keyed["_id"] == cuts["_id2"]) & (keyed["_h"] == cuts["_h2"]), "left")
-    kept = F.transform("_cuts", lambda c, i: F.substring("_text", F.when(i > 0, F.get("_cuts", i - 1)["hi"]).otherwise(0).cast("int") + 1, (c["lo"] - F.when(i > 0, F.get("_cuts", i - 1)["hi"]).otherwise(0)).cast("int")))
+
+    def piece(c: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.get("_cuts", i - 1)["hi"]).otherwise(0)
+        return F.substring("_text", before.cast("int") + 1, (c["lo"] - before).cast("int"))
+
     rest = F.substring("_text", F.element_at("_cuts", -1)["hi"].cast("int") + 1, F.length("_text"))
-    new = F.when(F.col("_cuts").isNotNull(), F.concat(F.array_join(kept, mask), F.lit(mask), rest)).otherwise(F.col("text"))
-    out = both.withColumn("text", new)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_cuts").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    found = F.col("_cuts").isNotNull()
+    new = F.when(found, F.concat(F.array_join(F.transform("_cuts", piece), mask), F.lit(mask), rest)).otherwise(F.col("text"))
+
+    def column(c: str) -> Column:
+        old = F.col("_row").getField(c)
+        changed = {"text": F.col("_new"), "n_chars": F.length("_new").cast("long")}.get(c.lower())
+        return (old if changed is None else F.when(found, changed).otherwise(old)).alias(c)
+
+    return both.withColumn("_new", new).select(*[column(c) for c in docs.columns])
