@@ -13,26 +13,52 @@ from barloom.llm.tokens import text_slices
 
 #: The base phrases and their labels.
 BASE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Phrases that add labels.
+#: Phrases of notices that add labels.
 MORE_PHRASES = {
-    "mit license": "mit", "licensed under the apache license": "apache-2", "gnu general public license": "gpl",
-    "gnu general public license version 2": "gpl-2", "gnu general public license version 3": "gpl-3",
-    "gnu lesser general public license": "lgpl", "gnu affero general public license": "agpl",
-    "mozilla public license": "mpl", "bsd 3 clause": "bsd-3-clause", "bsd 2 clause": "bsd-2-clause", "isc license": "isc",
-    "cc by sa": "cc-by-sa", "cc by nd": "cc-by-nd", "cc by 4": "cc-by", "cc0 1": "cc0", "released into the public domain": "public-domain",
-    "all rights reserved": "proprietary", "eclipse public license": "epl", "boost software license": "bsl-1",
+    "mit license": "mit", "permission is hereby granted free of charge to any person obtaining a copy": "mit",
+    "licensed under the apache license": "apache-2", "apache license 2": "apache-2", "apache 2 license": "apache-2",
+    "gnu general public license": "gpl", "gnu general public license version 2": "gpl-2", "gnu gpl version 2": "gpl-2",
+    "gnu general public license version 3": "gpl-3", "gnu gpl version 3": "gpl-3", "gnu gplv2": "gpl-2", "gnu gplv3": "gpl-3",
+    "gnu lesser general public license": "lgpl", "gnu library general public license": "lgpl", "gnu affero general public license": "agpl",
+    "mozilla public license": "mpl", "mozilla public license version 2": "mpl-2", "bsd license": "bsd",
+    "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
+    "neither the name of": "bsd-3-clause", "bsd 3 clause": "bsd-3-clause", "bsd 2 clause": "bsd-2-clause",
+    "isc license": "isc", "permission to use copy modify and or distribute this software for any purpose": "isc",
+    "creative commons attribution": "cc-by", "cc by 4": "cc-by", "creative commons attribution sharealike": "cc-by-sa", "cc by sa": "cc-by-sa",
+    "creative commons attribution noderivatives": "cc-by-nd", "cc by nd": "cc-by-nd", "creative commons attribution noncommercial": "cc-by-nc",
+    "cc0 1": "cc0", "creative commons zero": "cc0", "dedicated to the public domain": "public-domain", "released into the public domain": "public-domain",
+    "this is free and unencumbered software": "unlicense", "do what the fuck you want to public license": "wtfpl",
+    "all rights reserved": "proprietary", "proprietary and confidential": "proprietary", "unauthorized copying of this file": "proprietary",
+    "eclipse public license": "epl", "boost software license": "bsl-1", "zlib license": "zlib", "artistic license": "artistic",
+    "european union public licence": "eupl", "common development and distribution license": "cddl", "sil open font license": "ofl",
+    "python software foundation license": "psf", "academic free license": "afl", "open database license": "odbl",
 }
 #: How freely a text under a label can be reused, 0 to 1, by the label's longest known prefix.
 FREEDOM = {
-    "mit": 1.0, "apache": 1.0, "bsd": 1.0, "isc": 1.0, "bsl": 1.0, "cc0": 1.0, "public-domain": 1.0, "unlicense": 1.0,
-    "cc-by": 0.9, "mpl": 0.7, "epl": 0.7, "cc-by-sa": 0.6, "lgpl": 0.6, "gpl": 0.4, "agpl": 0.3, "cc-by-nd": 0.3,
-    "cc-by-nc": 0.2, "proprietary": 0.0,
+    "mit": 1.0, "apache": 1.0, "bsd": 1.0, "isc": 1.0, "bsl": 1.0, "cc0": 1.0, "public-domain": 1.0, "unlicense": 1.0, "0bsd": 1.0,
+    "zlib": 1.0, "wtfpl": 1.0, "psf": 1.0, "python": 1.0, "ncsa": 1.0, "postgresql": 1.0, "x11": 1.0, "afl": 0.9, "artistic": 0.8, "ofl": 0.8,
+    "cc-by": 0.9, "mpl": 0.7, "epl": 0.7, "eupl": 0.6, "cddl": 0.7, "cc-by-sa": 0.6, "odbl": 0.6, "lgpl": 0.6, "gpl": 0.4, "agpl": 0.3,
+    "cc-by-nd": 0.3, "cc-by-nc": 0.2, "busl": 0.1, "sspl": 0.1, "proprietary": 0.0,
 }
+#: License identifiers that an expression may name, in lower case; any may end with a plus sign, and
+#: those that start with licenseref- are the author's own.
+IDENTIFIERS = """
+    0bsd afl-2.1 afl-3.0 agpl-3.0 agpl-3.0-only agpl-3.0-or-later apache-1.1 apache-2.0 artistic-1.0 artistic-2.0 bsd-1-clause bsd-2-clause
+    bsd-3-clause bsd-3-clause-clear bsd-4-clause bsl-1.0 busl-1.1 cc-by-1.0 cc-by-2.0 cc-by-3.0 cc-by-4.0 cc-by-nc-2.0 cc-by-nc-3.0 cc-by-nc-4.0
+    cc-by-nc-nd-4.0 cc-by-nc-sa-4.0 cc-by-nd-4.0 cc-by-sa-2.0 cc-by-sa-3.0 cc-by-sa-4.0 cc0-1.0 cddl-1.0 cddl-1.1 epl-1.0 epl-2.0 eupl-1.1 eupl-1.2
+    gpl-1.0-only gpl-1.0-or-later gpl-2.0 gpl-2.0-only gpl-2.0-or-later gpl-3.0 gpl-3.0-only gpl-3.0-or-later isc lgpl-2.0-only lgpl-2.0-or-later
+    lgpl-2.1 lgpl-2.1-only lgpl-2.1-or-later lgpl-3.0 lgpl-3.0-only lgpl-3.0-or-later mit mit-0 mpl-1.1 mpl-2.0 ncsa odbl-1.0 ofl-1.1 postgresql
+    psf-2.0 python-2.0 sspl-1.0 unlicense wtfpl x11 zlib
+""".split()
+#: Exceptions that may follow ``with``.
+EXCEPTIONS = "autoconf-exception-3.0 bison-exception-2.2 classpath-exception-2.0 font-exception-2.0 gcc-exception-3.1 linux-syscall-note llvm-exception openjdk-assembly-exception-1.0".split()
+#: What a license expression follows.
+TAGS = ["spdx-license-identifier:", "license-expression:", "license:"]
 UNKNOWN, EXCEPTION_GAIN = 0.5, 0.2
-TAG = "spdx-license-identifier:"
 
 _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
-_TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
+_TOKEN = re.compile(r"[\x20\x09]*([()]|[A-Za-z0-9.+:-]+)")
+_KNOWN, _EASES = frozenset(IDENTIFIERS), frozenset(EXCEPTIONS)
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
 
@@ -41,28 +67,38 @@ def freedom(label: str) -> float:
     return FREEDOM[max(known, key=len)] if known else UNKNOWN
 
 
+def is_operand(token: str, after_with: bool) -> bool:
+    """An exception after ``with``, else a license identifier, which may end with a plus sign, or the author's own."""
+    return token in _EASES if after_with else token.removesuffix("+") in _KNOWN or token.startswith(("licenseref-", "documentref-"))
+
+
 def parse(expression: str) -> list[str]:
-    """Postfix tokens of the longest well-formed start of an and/or/with expression (shunting-yard); empty if there is none."""
+    """Postfix tokens of the longest well-formed start of an and/or/with expression (shunting-yard); empty if there is none.
+
+    Whatever is no operand, operator or bracket ends it: a comma, the end of a comment, a word of prose.
+    """
     out: list[str] = []
     ops: list[str] = []
     good: list[str] = []
-    operand = True  # what is wanted next
-    for found in _TOKEN.finditer(expression):
-        token = found[0]
-        op = token.lower()
-        if token == "(" and operand:
+    operand, at = True, 0  # whether an operand is wanted next; the place
+    while found := _TOKEN.match(expression, at):
+        token, at = found[1].lower(), found.end()
+        eases = bool(ops) and ops[-1] == "with"
+        if token == "(" and operand and not eases:
             ops.append(token)
         elif token == ")" and not operand and "(" in ops:
             while ops[-1] != "(":
                 out.append(ops.pop())
             ops.pop()
-        elif op in _BINDS and not operand:
-            while ops and ops[-1] != "(" and _BINDS[ops[-1]] >= _BINDS[op]:
+        elif token in _BINDS and not operand:
+            if token == "with" and (not out or out[-1] in _BINDS):
+                break  # an exception eases one license
+            while ops and ops[-1] != "(" and _BINDS[ops[-1]] >= _BINDS[token]:
                 out.append(ops.pop())
-            ops.append(op)
+            ops.append(token)
             operand = True
-        elif op not in _BINDS and token not in "()" and operand:
-            out.append(op)
+        elif operand and is_operand(token, eases):
+            out.append(token)
             operand = False
         else:
             break
@@ -94,7 +130,8 @@ def _automata():
     for base, table in ((False, MORE_PHRASES), (True, BASE_PHRASES)):
         for phrase, label in table.items():
             phrases.add_word(f" {phrase} ", (len(phrase) + 2, base, label))
-    tags.add_word(TAG, TAG)
+    for tag in TAGS:
+        tags.add_word(tag, tag)
     phrases.make_automaton()
     tags.make_automaton()
     return phrases, tags
@@ -120,10 +157,10 @@ def scan_text(text: str | None) -> tuple:
     scores = [freedom(x) for x in labels]
     expressions = []
     plain = low.decode("latin-1")
-    if TAG[:4] in plain:
+    if "license" in plain:
         for end, _ in tags.iter(plain):
             stop = plain.find("\n", end)
-            postfix = parse(plain[end + 1 : stop if stop >= 0 else len(plain)])
+            postfix = parse(plain[end + 1 : stop if stop >= 0 else len(plain)].lstrip(" \"'"))
             if postfix:
                 score, found = evaluate(postfix)
                 scores.append(score)
@@ -139,8 +176,9 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row per row of docs: word counts, base places, labels, and a score.
 
     score is how freely the text can be reused: the strictest of its notices and tag expressions, 0 if it has none.
-    A tag's expression ends with its line at most.
-    Null text has no words; repeated rows are scanned each; an empty table gives an empty result. No shuffle.
+    A tag's expression ends with its line at most; operands that are no known identifiers end it, too.
+    Null text has no words; repeated rows are scanned each; texts are taken whole, however long; an empty table gives an
+    empty result. Only doc_id and text are read, whatever else is there. No shuffle.
     """
     names = [x.strip().split()[0] for x in SCHEMA.split(",")]
     types = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64(), pa.string()]
