@@ -122,7 +122,7 @@ def host_and_path(source: Column, otherwise: Column) -> tuple[Column, Column]:
 
 
 def shrink(groups: DataFrame, keys: list[str], head: str, prior: Column) -> DataFrame:
-    """Adds <head>_rate: (sum + strength * prior) / (n + strength), strength by moments over the groups (one number).
+    """Adds <head>_rate: (sum + strength * prior) / (n + strength), and <head>_strength, by moments over the groups (one number).
 
     groups has n and <head>_sum. The spread of the groups' rates beyond what their sizes explain gives the variance of
     the true rates; the strength is mean * (1 - mean) / variance - 1, from 1 to 10,000.
@@ -137,7 +137,8 @@ def shrink(groups: DataFrame, keys: list[str], head: str, prior: Column) -> Data
         var = (m["between"] - (m["k"] - 1) * m["binomial"] / m["n"]) / max(1e-9, m["n"] - m["n2"] / m["n"])
         if var > 0:
             strength = float(np.clip(m["binomial"] / m["n"] / var - 1, 1, 10_000))
-    return groups.withColumn(f"{head}_rate", (F.col(f"{head}_sum") + strength * prior) / (F.col("n") + strength))
+    rate = (F.col(f"{head}_sum") + strength * prior) / (F.col("n") + strength)
+    return groups.withColumns({f"{head}_rate": rate, f"{head}_strength": F.lit(strength)})
 
 
 def fit_sample(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, int]:
@@ -170,9 +171,11 @@ def fit_sample(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, int]:
 def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> DataFrame:
     """One row per row of docs: doc_id, host, path, the text's own log odds, path rates, p_quality, p_toxic, kept.
 
-    kept: p_quality is 0.5 or more and p_toxic below 0.5. Null texts are empty; null sources and languages are empty
+    p adds to a text's own log odds those of its path over the global ones, from the evidence of the path's other texts
+    (its host's rate holds its own). kept: p_quality is 0.5 or more and p_toxic below 0.5. Null texts are empty; null sources and languages are empty
     names; several labels of a document count as their mean, null labels as none; without labels every probability is
-    0.5 and all is kept. Repeated rows are judged each; an empty table gives an empty result.
+    0.5 and all is kept. Repeated rows are judged each; texts are taken whole, however long; an empty table gives an
+    empty result. Only doc_id, text, source and lang are read, whatever else is there.
     """
     known = labels.groupBy("doc_id").agg(*[F.avg(F.col(h).cast("double")).alias(h) for h in HEADS]).where(F.col("doc_id").isNotNull())
     sample = save(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled), "sample")
@@ -190,7 +193,9 @@ def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Da
     with small_batches(docs.sparkSession):
         scored = save(docs.select(F.col("doc_id").cast("long"), host.alias("host"), path.alias("path"), "text").mapInArrow(run, schema), "scored")
     soft = {h: 1 / (1 + F.exp(-F.col(f"{h}_logit"))) for h in HEADS}
-    evidence = scored.join(known, "doc_id", "left").select("host", "path", *[F.coalesce(h, soft[h]).alias(h) for h in HEADS])
+    own = [F.coalesce(h, soft[h]).alias(h) for h in HEADS]
+    evidence = scored.join(known, "doc_id", "left")
+    evidence = save(evidence.select("doc_id", "host", "path", *[f"{h}_logit" for h in HEADS], *own), "evidence")
     paths = save(evidence.groupBy("host", "path").agg(F.count("*").alias("n"), *[F.sum(h).alias(f"{h}_sum") for h in HEADS]), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), *[F.sum(f"{h}_sum").alias(f"{h}_sum") for h in HEADS])
     total = paths.agg(F.sum("n").alias("n"), *[F.sum(f"{h}_sum").alias(h) for h in HEADS]).first()
@@ -201,11 +206,16 @@ def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Da
     levels = paths.join(hosts, "host")
     for h in HEADS:
         levels = shrink(levels, ["host", "path"], h, F.col(f"host_{h}"))
-    levels = save(levels.select("host", "path", *[f"host_{h}" for h in HEADS], *[F.col(f"{h}_rate").alias(f"path_{h}") for h in HEADS]), "levels")
-    out = scored.join(levels, ["host", "path"])
+    kept = [f"{h}_{x}" for h in HEADS for x in ("sum", "strength")]
+    paths_of = levels.select("host", "path", "n", *kept, *[f"host_{h}" for h in HEADS], *[F.col(f"{h}_rate").alias(f"path_{h}") for h in HEADS])
+    levels = save(paths_of, "levels")
+    out = evidence.join(levels, ["host", "path"])
     for h in HEADS:
-        odds = F.log(F.col(f"path_{h}") / (1 - F.col(f"path_{h}"))) - float(np.log(world[h] / (1 - world[h])))
+        # what the others of the path say: a text's own evidence is counted once, as its own
+        others = F.col(f"{h}_sum") - F.col(h) + F.col(f"{h}_strength") * F.col(f"host_{h}")
+        rate = F.greatest(F.least(others / (F.col("n") - 1 + F.col(f"{h}_strength")), F.lit(1 - 1e-6)), F.lit(1e-6))
+        odds = F.log(rate / (1 - rate)) - float(np.log(world[h] / (1 - world[h])))
         out = out.withColumn(f"p_{h}", 1 / (1 + F.exp(-(F.col(f"{h}_logit") + odds))))
     out = out.withColumn("kept", (F.col("p_quality") >= 0.5) & ((F.col("p_toxic") < 0.5) | (F.lit(not fitted))))
-    drop(sample, paths, hosts)
+    drop(sample, scored, paths, hosts)
     return out.select("doc_id", "host", "path", "quality_logit", "toxic_logit", *[f"{lvl}_{h}" for lvl in ("host", "path") for h in HEADS], "p_quality", "p_toxic", "kept")

@@ -345,6 +345,20 @@ def test_weak_parts_count_only_together(spark):
     assert secret_scan.scan(made.limit(0)).count() == 0
 
 
+def test_masked_rows_keep_their_columns(spark):
+    rows = [(i, t, 7, "keep", "x", "y", len(t or "")) for i, t in enumerate([*SECRETS, SECRETS[0], "password: " + "z" * 50_000 + "q"])]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _id int, _h string, _text string, _row string, n_chars long")
+    got = secret_scan.redact(d)
+    assert got.columns == d.columns and got.where("_id = 7 AND _h = 'keep' AND _text = 'x' AND _row = 'y'").count() == len(rows)
+    assert all(r.n_chars == len(r.text or "") for r in got.collect()) and secret_scan.redact(d.limit(0)).count() == 0
+
+
+def test_an_endpoint_may_have_a_long_scheme(spark):
+    text = "password: abcdef1 " + "s" * 40 + "://host/path and 9ab://x/y " + "w" * 200_000
+    spans = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().spans.split(",")
+    assert [s.split(":")[0] for s in spans] == ["assign", "endpoint", "endpoint"]
+
+
 # --- 5 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -429,14 +443,139 @@ def test_license_places_equal_plain_search(spark, docs, odd):
 
 
 def test_license_expressions():
-    assert licenses.parse("MIT OR Apache-2.0 AND GPL-2.0 WITH x") == ["mit", "apache-2.0", "gpl-2.0", "x", "with", "and", "or"]
+    eased = licenses.parse("MIT OR Apache-2.0 AND GPL-2.0+ WITH Classpath-exception-2.0 */")
+    assert eased == ["mit", "apache-2.0", "gpl-2.0+", "classpath-exception-2.0", "with", "and", "or"]
+    assert licenses.parse("MIT, Apache-2.0") == ["mit"] and licenses.parse("see the file") == [] and licenses.parse("MIT; OR ISC") == ["mit"]
+    assert licenses.parse("LicenseRef-own AND MIT WITH MIT") == ["licenseref-own", "mit", "and"]
     assert licenses.parse("(MIT") == [] and licenses.parse("MIT OR") == ["mit"] and licenses.parse("") == []
     assert licenses.evaluate(licenses.parse("(MIT OR GPL-3.0) AND CC-BY-NC-4.0"))[0] == 0.2
 
 
+class Descent:
+    """Recursive descent over the same grammar: or of and of terms; a term is a license, one with an exception, or in brackets."""
+
+    def __init__(self, tokens):
+        self.tokens, self.at = tokens, 0
+
+    def peek(self):
+        return self.tokens[self.at] if self.at < len(self.tokens) else ""
+
+    def take(self):
+        self.at += 1
+        return self.tokens[self.at - 1]
+
+    def level(self, word, lower, pick):
+        value, names = lower()
+        while self.peek() == word:
+            self.take()
+            v, n = lower()
+            value, names = pick(value, v), names | n
+        return value, names
+
+    def either(self):
+        return self.level("or", self.both, max)
+
+    def both(self):
+        return self.level("and", self.term, min)
+
+    def term(self):
+        if self.peek() == "(":
+            self.take()
+            found = self.either()
+            self.take()
+            return found
+        name = self.take()
+        value = licenses.freedom(name)
+        if self.peek() == "with":
+            self.take(), self.take()
+            value = min(1.0, value + licenses.EXCEPTION_GAIN)
+        return value, {name}
+
+
+def test_expressions_equal_recursive_descent():
+    rng = random.Random(4)
+
+    def made(depth):
+        kind = rng.random()
+        if depth == 0 or kind < 0.3:
+            name = [rng.choice(licenses.IDENTIFIERS) + rng.choice(["", "", "+"])]
+            return name + (["with", rng.choice(licenses.EXCEPTIONS)] if rng.random() < 0.2 else [])
+        if kind < 0.5:
+            return ["(", *made(depth - 1), ")"]
+        return [*made(depth - 1), rng.choice(["and", "or"]), *made(depth - 1)]
+
+    for _ in range(500):
+        tokens = made(4)
+        text = " ".join(x.upper() if rng.random() < 0.5 else x for x in tokens).replace("( ", "(").replace(" )", ")")
+        assert licenses.evaluate(licenses.parse(text)) == Descent(tokens).either(), text
+        row = licenses.scan_text(f"# SPDX-License-Identifier: {text} -->\nmore")
+        value, names = Descent(tokens).either()
+        more = set(row[5].split(",")) - names  # phrases that an expression happens to hold, such as bsd-3-clause
+        assert names <= set(row[5].split(",")) and row[6] == min([value, *map(licenses.freedom, more)])
+
+
+def test_labels_equal_plain_search():
+    rng = random.Random(6)
+    table = {**licenses.MORE_PHRASES, **licenses.BASE_PHRASES}
+    for _ in range(300):
+        parts = [rng.choice([*table, "plain", "license", "the gnu", "under"]) for _ in range(6)]
+        text = rng.choice([" ", ", ", "\n* "]).join(parts).title()
+        words = re.findall("[0-9a-z]+", text.lower())
+        want = {label for phrase, label in table.items() if any(words[i : i + len(phrase.split())] == phrase.split() for i in range(len(words)))}
+        row = licenses.scan_text(text)
+        assert set(filter(None, row[5].split(","))) == want
+        assert row[6] == min((licenses.freedom(x) for x in want), default=0.0)
+
+
 # --- 8 ---------------------------------------------------------------------------------------------------------------
 
 
+def posteriors_by_hand(rows, labels):
+    """{row number: (p_quality, p_toxic)} from each row's host, path and log odds, by plain loops."""
+    known = collections.defaultdict(list)
+    for r in labels:
+        known[r.doc_id].append(r)
+    odds, out = (lambda p: math.log(p / (1 - p))), collections.defaultdict(dict)
+    for h in ("quality", "toxic"):
+        mean = {i: [float(r[h]) for r in some if r[h] is not None] for i, some in known.items() if i is not None}
+        own = [sum(mean[r.doc_id]) / len(mean[r.doc_id]) if mean.get(r.doc_id) else 1 / (1 + math.exp(-r[f"{h}_logit"])) for r in rows]
+        world = min(max(sum(own) / len(own), 1e-6), 1 - 1e-6)
+
+        def shrunk(groups, prior):  # {key: evidence}, {key: prior}
+            n = {k: len(v) for k, v in groups.items()}
+            total, n2 = sum(n.values()), sum(x * x for x in n.values())
+            between = sum(n[k] * (sum(v) / n[k] - prior[k]) ** 2 for k, v in groups.items())
+            binomial = sum(n[k] * prior[k] * (1 - prior[k]) for k in groups)
+            strength = 10_000.0
+            if len(n) > 1 and binomial:
+                var = (between - (len(n) - 1) * binomial / total) / max(1e-9, total - n2 / total)
+                strength = min(max(binomial / total / var - 1, 1), 10_000) if var > 0 else strength
+            return strength, {k: (sum(v) + strength * prior[k]) / (n[k] + strength) for k, v in groups.items()}
+
+        hosts, paths = collections.defaultdict(list), collections.defaultdict(list)
+        for r, e in zip(rows, own):
+            hosts[r.host].append(e)
+            paths[r.host, r.path].append(e)
+        _, host = shrunk(hosts, dict.fromkeys(hosts, world))
+        strength, _ = shrunk(paths, {k: host[k[0]] for k in paths})
+        for i, (r, e) in enumerate(zip(rows, own)):
+            v = paths[r.host, r.path]
+            rate = min(max((sum(v) - e + strength * host[r.host]) / (len(v) - 1 + strength), 1e-6), 1 - 1e-6)
+            out[i][h] = 1 / (1 + math.exp(-(r[f"{h}_logit"] + odds(rate) - odds(world))))
+    return out
+
+
+@pytest.mark.parametrize("source", ["docs", "odd"])
+def test_posteriors_equal_plain_loops(spark, request, source):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    if source == "odd":
+        labels = spark.createDataFrame([(OWN + 1, 1, 0), (OWN + 1, 0, 0), (OWN + 2, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    rows = ebayes.classify(request.getfixturevalue(source), labels).collect()
+    want = posteriors_by_hand(rows, labels.collect())
+    for i, r in enumerate(rows):
+        assert (r.p_quality, r.p_toxic) == pytest.approx((want[i]["quality"], want[i]["toxic"]), rel=1e-6)
+
+
 def test_classifier_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = ebayes.classify(docs, labels.where("doc_id % 3 <> 0")).join(labels.where("doc_id % 3 = 0"), "doc_id").collect()
@@ -694,6 +833,13 @@ def test_near_components_equal_all_pairs(spark, odd, tile):
     assert near.keep_first(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dedup", [near.keep_first, simhash.keep_first])
+def test_kept_rows_keep_their_columns(spark, dedup):
+    d = spark.createDataFrame([(1, "a b c d e f g", 5, "h", None, 2), (2, "a b c d e f g", 5, "h", None, 2), (None, None, 5, "h", None, 2)], "doc_id long, text string, _id int, _h string, fp string, gone_id int")
+    got = dedup(d)
+    assert got.columns == d.columns and got.where("_id = 5 AND _h = 'h' AND gone_id = 2").count() == 2 == got.count()
+
+
 # --- pipeline --------------------------------------------------------------------------------------------------------
 
 
