@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions import lattice as L
@@ -23,16 +26,33 @@ def touched(size: Column, pct: Column) -> Column:
 def dedup(events: DataFrame, keys: list[str], gap: int, pos: str = "pos") -> DataFrame:
     """Greedy: the first event of each key stays, then each that is at least gap after the last one kept.
 
-    An event at least gap after the one before it is kept whatever came earlier, so it starts an island of its own;
-    only within islands is there a fold, over an array of that island's positions.
+    A task streams the sorted positions of its keys and keeps one number, the last position kept: linear in the events,
+    whatever the length of a run. Rows of equal key and position stay or go together; keys and positions are not null.
     """
-    w = Window.partitionBy(*keys).orderBy(pos)
-    apart = F.col(pos) - F.lag(pos).over(w)
-    marked = events.withColumn("_new", F.when(apart < gap, 0).otherwise(1)).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    lone = marked.groupBy(*keys, "_island").agg(F.array_sort(F.collect_set(pos)).alias("_all"))
-    kept = F.aggregate("_all", F.slice("_all", 1, 1), lambda acc, p: F.when(p >= F.element_at(acc, -1) + gap, F.array_append(acc, p)).otherwise(acc))
-    picks = lone.select(*keys, F.explode(kept).alias(pos))
-    return events.join(picks, [*keys, pos], "left_semi")
+    names = [*keys, pos]
+    few = events.select(*names).distinct()
+
+    def run(batches):
+        known, last = None, 0
+        for batch in batches:
+            at = batch.column(len(keys)).to_numpy()
+            cuts = np.zeros(len(at), bool)
+            for c in batch.columns[:-1]:
+                cuts[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+            starts = [*np.flatnonzero(cuts).tolist()]
+            picks = []
+            for a, b in zip([0, *starts], [*starts, len(at)]):
+                key = tuple(c[a].as_py() for c in batch.columns[:-1]) if b > a else known
+                i = a if key != known else a + int(np.searchsorted(at[a:b], last + gap))
+                while i < b:
+                    picks.append(i)
+                    last = int(at[i])
+                    i += int(np.searchsorted(at[i:b], last + gap))
+                known = key
+            yield batch.take(pa.array(picks, pa.int64()))
+
+    picked = few.repartition(*keys).sortWithinPartitions(*names).mapInArrow(run, few.schema)
+    return events.join(picked, names, "left_semi")
 
 
 def arrivals(bars: DataFrame, size: float, away: float, atr: str = "atr", pcts: list[float] | None = None, lookback: int = 60) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,20 +83,23 @@ def simple_atr(bars: DataFrame, n: int = 20) -> DataFrame:
 def wilder_atr(bars: DataFrame, n: int = 14) -> DataFrame:
     """atr: (atr * (n - 1) + tr) / n from the mean of the first n true ranges on; null before position n - 1.
 
-    A first-order recursion: chunks of a series forget their start as (1 - 1/n)**k, so each chunk starts WARM bars
-    early from a plain mean and is exact to double precision; the first chunk starts at the seed itself.
+    The recursion is a sum of true ranges with weights (1 - 1/n) ** age. In blocks of 8 n bars it is a running sum, each
+    block's last value is carried on with its weight, and after CARRIED blocks the weight is below 1e-26: every frame is
+    finite, and the work is linear in the bars.
     """
-    warm = 60 * n  # (1 - 1/n)**(60 n) is below 1e-26
-    df = with_halo(bars.select("series_id", "pos", "h", "l", "c"), warm, 0).withColumn("_tr", true_range(ordered()))
-    folded = df.groupBy("series_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("pos", "_tr", "core"))).alias("rows"))
-    seed = F.aggregate(F.slice("rows", 1, n), F.lit(0.0), lambda a, r: a + r["_tr"]) / n
-    step = F.aggregate(
-        F.slice("rows", n + 1, F.greatest(F.size("rows") - n, F.lit(0))),
-        F.array(F.struct(F.element_at("rows", n)["pos"].alias("pos"), seed.alias("atr"), F.element_at("rows", n)["core"].alias("core"))),
-        lambda acc, r: F.array_append(acc, F.struct(r["pos"].alias("pos"), ((F.element_at(acc, -1)["atr"] * (n - 1) + r["_tr"]) / n).alias("atr"), r["core"].alias("core"))),
-    )
-    out = folded.where(F.size("rows") >= n).select("series_id", F.explode(step).alias("x")).where("x.core").select("series_id", "x.pos", F.col("x.atr").alias("atr"))
-    return bars.join(out, ["series_id", "pos"], "left")
+    block, carried, keep = 8 * n, 8, 1 - 1 / n
+    df = with_halo(bars.select("series_id", "pos", "h", "l", "c"), n + 1, 0).withColumn("_tr", true_range(ordered()))
+    seed = F.when(F.col("pos") == n - 1, F.sum("_tr").over(frame(-(n - 1), 0)))
+    x = core(df.withColumn("_x", F.coalesce(seed, F.when(F.col("pos") >= n, F.col("_tr")), F.lit(0.0))))
+    x = x.select("series_id", "pos", "_x", F.floor(F.col("pos") / block).alias("_b"), (F.col("pos") % block).alias("_k"))
+    run = Window.partitionBy("series_id", "_b").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    local = F.sum(F.col("_x") * F.pow(F.lit(keep), -F.col("_k"))).over(run) * F.pow(F.lit(keep), "_k") / n
+    ends = x.groupBy("series_id", F.col("_b").alias("pos")).agg((F.sum(F.col("_x") * F.pow(F.lit(keep), F.lit(block - 1) - F.col("_k"))) / n).alias("_end"))
+    older = [F.coalesce(F.lag("_end", m).over(ordered()), F.lit(0.0)) * keep ** (block * (m - 1)) for m in range(1, carried + 1)]
+    carry = core(with_halo(ends, carried, 0).withColumn("_carry", sum(older[1:], older[0]))).select("series_id", F.col("pos").alias("_b"), "_carry")
+    out = x.withColumn("_local", local).join(carry, ["series_id", "_b"])
+    atr = F.when(F.col("pos") >= n - 1, F.col("_local") + F.pow(F.lit(keep), F.col("_k") + 1) * F.col("_carry"))
+    return bars.join(out.select("series_id", "pos", atr.alias("atr")), ["series_id", "pos"], "left")
 
 
 def volume_features(bars: DataFrame, w: int = 20, climax: int = 20, near: int = 16) -> DataFrame:
@@ -152,33 +156,30 @@ def changes(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     return kept.withColumn("step", F.row_number().over(w) - 1).drop("_was")
 
 
-def zigzag(bars: DataFrame, reversal: float, column: str = "c") -> DataFrame:
-    """Turning points of at least ``reversal`` (a fraction) of a column, per series, in position order.
+def zigzag(bars: DataFrame, reversal: float) -> DataFrame:
+    """Confirmed turning points: pos of the confirming bar, ext_pos and px of the extreme, is_high.
 
-    A state machine over the whole series: one task per series streams its sorted rows in Arrow batches and keeps a
-    few numbers, never the series.
+    A leg starts upwards from the first high. Upwards, a higher high moves the extreme; otherwise a low more than
+    ``reversal`` (a fraction) below it confirms it as a swing high and turns the leg downwards from that low; downwards
+    likewise. Each leg depends on the one before, so a task streams its series' sorted rows and keeps three numbers.
     """
-    import pandas as pd
 
     def run(batches):
-        state = {}
-
-        def feed(key, pos, x):
-            s = state.setdefault(key, {"dir": 0, "hi": (x, pos), "lo": (x, pos)})
-            out = None
-            if s["dir"] >= 0 and x > s["hi"][0]:
-                s["hi"] = (x, pos)
-            if s["dir"] <= 0 and x < s["lo"][0]:
-                s["lo"] = (x, pos)
-            if s["dir"] >= 0 and x <= s["hi"][0] * (1 - reversal):
-                out, s["dir"], s["lo"] = (key, s["hi"][1], s["hi"][0], True), -1, (x, pos)
-            elif s["dir"] <= 0 and x >= s["lo"][0] * (1 + reversal):
-                out, s["dir"], s["hi"] = (key, s["lo"][1], s["lo"][0], False), 1, (x, pos)
-            return out
-
-        for pdf in batches:
-            found = [f for key, pos, x in zip(pdf["series_id"], pdf["pos"], pdf["x"]) if (f := feed(key, pos, x))]
-            yield pd.DataFrame(found, columns=["series_id", "pos", "px", "is_high"])
-
-    few = bars.select("series_id", "pos", F.col(column).alias("x"))
-    return few.repartition("series_id").sortWithinPartitions("series_id", "pos").mapInPandas(run, "series_id string, pos long, px double, is_high boolean")
+        series, up, ext, at = None, True, 0.0, 0
+        for batch in batches:
+            found = []
+            for key, pos, h, low in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != series:
+                    series, up, ext, at = key, True, h, pos
+                elif up and h > ext or not up and low < ext:
+                    ext, at = (h if up else low), pos
+                elif up and low < ext * (1 - reversal) or not up and h > ext * (1 + reversal):
+                    found.append((key, pos, at, ext, up))
+                    ext, at, up = (low if up else h), pos, not up
+            cols = list(zip(*found)) or [()] * 5
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["series_id", "pos", "ext_pos", "px", "is_high"])
+
+    few = bars.select(F.col("series_id").cast("string"), F.col("pos").cast("long"), F.col("h").cast("double"), F.col("l").cast("double"))
+    dealt = few.repartition("series_id").sortWithinPartitions("series_id", "pos")
+    return dealt.mapInArrow(run, "series_id string, pos long, ext_pos long, px double, is_high boolean")

@@ -215,6 +215,17 @@ def candle_run_start(spark, sf_dir):
     return df.select("series_id", "pos", F.max(F.when(F.col("_new"), F.col("pos"))).over(w).alias("run_start"))
 
 
-@query()
+_ZIG = ORD + """, s0 AS (SELECT series_id, pos, h, l FROM bars),
+z AS (SELECT series_id, pos, true AS up, h AS ext, pos AS spot, CAST(NULL AS DOUBLE) AS px, CAST(NULL AS BIGINT) AS ext_pos, CAST(NULL AS BOOLEAN) AS is_high FROM s0 WHERE pos = 0
+UNION ALL SELECT s.series_id, s.pos, CASE WHEN turned THEN NOT up ELSE up END, CASE WHEN moved THEN best WHEN turned THEN other ELSE ext END,
+CASE WHEN moved OR turned THEN s.pos ELSE spot END, CASE WHEN turned THEN ext END, CASE WHEN turned THEN spot END, CASE WHEN turned THEN up END
+FROM (SELECT z.up, z.ext, z.spot, b.*, CASE WHEN up THEN b.h ELSE b.l END AS best, CASE WHEN up THEN b.l ELSE b.h END AS other,
+CASE WHEN up THEN b.h > ext ELSE b.l < ext END AS moved,
+CASE WHEN up THEN b.h <= ext AND b.l < ext * (1 - 0.02) ELSE b.l >= ext AND b.h > ext * (1 + 0.02) END AS turned
+FROM z JOIN s0 b ON b.series_id = z.series_id AND b.pos = z.pos + 1) s)
+SELECT series_id, pos, ext_pos, px, is_high FROM z WHERE is_high IS NOT NULL"""
+
+
+@query(_ZIG)
 def zigzag_swings(spark, sf_dir):
     return X.zigzag(bars_ord(spark, sf_dir), 0.02)

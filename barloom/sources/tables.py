@@ -12,7 +12,11 @@ _KEPT: dict[tuple[str, str, str], str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DIR).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir; on a local master LOCAL_DIR if that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or LOCAL_DIR).rstrip("/")
 
 
 def save(df: DataFrame, tag: str) -> DataFrame:

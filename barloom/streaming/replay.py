@@ -12,22 +12,29 @@ from barloom.sources.tables import shared_dir
 
 
 def replay(table: DataFrame, order: str, query: Callable[[DataFrame], DataFrame], parts: int = 3, finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Feed table in ``parts`` files by ranges of a column, one a trigger, through query; read what its sink got.
+    """Feed table in ``parts`` slices by ranges of a column, one a micro-batch, through query; read what its sink got.
 
-    finish makes one more last file: rows that move the watermark past all windows.
+    A slice is written by as many tasks as the table has; then the query runs until it has taken the slice in, and goes
+    on from its own checkpoint with the next. Rows without an order come first. finish makes one more last slice: rows
+    that move the watermark past all windows.
     """
     spark = table.sparkSession
     root = f"{shared_dir(spark)}/barloom/replay-{uuid.uuid4().hex}"
-    cuts = table.select(F.percentile(F.col(order).cast("double"), [i / parts for i in range(1, parts)]).alias("c")).first()["c"]
-    edges = [None, *(cuts or []), None]
     x = F.col(order).cast("double")
-    for i, (a, b) in enumerate(zip(edges, edges[1:])):
-        part = table.where((F.lit(True) if a is None else x > a) & (F.lit(True) if b is None else x <= b))
-        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    cuts = table.select(F.percentile(x, [i / parts for i in range(1, parts)]).alias("c")).first()["c"]
+    edges = [None, *(cuts or []), None]
+    out = None
+
+    def feed(slice_: DataFrame) -> DataFrame:
+        slice_.write.mode("append").parquet(f"{root}/in")
+        made = query(spark.readStream.schema(table.schema).parquet(f"{root}/in"))
+        sink = made.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state")
+        sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        return made
+
+    for a, b in zip(edges, edges[1:]):
+        known = (F.lit(True) if a is None else x > a) & (F.lit(True) if b is None else x <= b)
+        out = feed(table.where(known if a is not None else F.coalesce(known, F.lit(True))))
     if finish:
-        finish(table).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    out = query(stream)
-    run = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
+        out = feed(finish(table))
     return spark.read.schema(out.schema).parquet(f"{root}/out")
