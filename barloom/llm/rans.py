@@ -134,10 +134,12 @@ class SegmentReader:
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, segment_tokens: int = SEGMENT_TOKENS) -> None:
-    """Write every document's ids and end_id to path, in ascending order of doc_id (nulls first, equal ids by text).
+    """Write every document's ids and end_id to path, in ascending order of doc_id (nulls first, equal ids by the texts' hashes).
 
     Null text is empty, so only its end id is written; an empty table writes an empty file set. One shuffle deals the
-    texts out by range of doc_id; each task then holds one segment and a slice of texts at a time.
+    texts out by range of doc_id; each task then holds one segment and a slice of texts at a time. Texts are taken whole,
+    however long: a document is one part of one segment. A segment may have 65,536 distinct ids at most, so a larger
+    vocabulary asks for smaller segments; beyond that it raises. Only doc_id and text are read, whatever else is there.
     """
 
     def run(batches):
@@ -163,7 +165,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, se
 
     few = docs.select(F.col("doc_id").cast("long"), "text")
     with small_batches(docs.sparkSession):
-        few.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SEGMENT).write.parquet(path)
+        # rows of one id, or without one, are dealt by their texts' hashes
+        order = [F.col("doc_id"), F.xxhash64("text")]
+        few.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, SEGMENT).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
