@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 #: The levels of a block in percent (100 is 0 of the next block).
 LEVELS = [0, 3, 7, 11, 17, 23, 29, 35, 41, 47, 50, 53, 59, 65, 71, 77, 83, 89, 93, 97]
-#: Layers and zones as half-open percent ranges.
-LAYERS = {"liquidity_lo": (0, 11), "flow_lo": (23, 35), "rebalance": (41, 59), "flow_hi": (65, 77), "liquidity_hi": (89, 100)}
+#: The edges of the layers, and zones as half-open percent ranges.
 LAYER_EDGES = [0, 11, 23, 41, 59, 77, 89, 100]
 ZONES = {"EXT": [(0, 3), (97, 100)], "EQ": [(47, 53)], "FV": [(27.5, 30.5), (69.5, 72.5)], "GIP": [(15.5, 18.5), (81.5, 84.5)]}
 PO3 = [81, 243, 729, 2187, 6561]

@@ -53,7 +53,7 @@ def touch_reaction(spark, sf_dir):
     return t.groupBy(F.col("pct").cast("int").alias("level")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("reject").cast("double")), 6).alias("reject_rate"))
 
 
-@query(EVT + ", " + _TOUCHES.replace("{phases}", "[0.0, 12.5, 25.0, 37.5, 50.0, 62.5, 75.0, 87.5]") + """, p AS (SELECT phase, avg(CASE WHEN reject THEN 1.0 ELSE 0.0 END) AS rate, count(*) AS n FROM r GROUP BY phase)
+@query(EVT + ", " + _TOUCHES.replace("{phases}", str([100.0 * i / 60 for i in range(60)]) + "::DOUBLE[]") + """, p AS (SELECT phase, avg(CASE WHEN reject THEN 1.0 ELSE 0.0 END) AS rate, count(*) AS n FROM r GROUP BY phase)
 SELECT CAST(max(CASE WHEN phase = 0 THEN n END) AS BIGINT) AS n, round(max(CASE WHEN phase = 0 THEN rate END), 6) AS rate, round(avg(CASE WHEN phase > 0 THEN rate END), 6) AS null_mean,
 round(stddev_samp(CASE WHEN phase > 0 THEN rate END), 6) AS null_sd, round((max(CASE WHEN phase = 0 THEN rate END) - avg(CASE WHEN phase > 0 THEN rate END)) / stddev_samp(CASE WHEN phase > 0 THEN rate END), 4) AS z,
 CAST(count(*) FILTER (phase > 0 AND rate >= (SELECT rate FROM p WHERE phase = 0)) + 1 AS BIGINT) AS rank FROM p""")
@@ -61,7 +61,7 @@ def touch_reaction_phase_null(spark, sf_dir):
     """Phase is a column: one plan scores the true lattice and its shifts."""
     from barloom.operators.stats import score_against_phases
 
-    t = touch_outcomes(bars_evt(spark, sf_dir), F.array(*[F.lit(12.5 * i) for i in range(8)]))
+    t = touch_outcomes(bars_evt(spark, sf_dir), F.array(*[F.lit(100.0 * i / 60) for i in range(60)]))
     return score_against_phases(t.groupBy("phase").agg(F.avg(F.col("reject").cast("double")).alias("rate"), F.count("*").alias("n")))
 
 
@@ -94,17 +94,18 @@ def penetration_hold(spark, sf_dir):
     return e.groupBy("series_id").agg(F.count("*").alias("n"), F.round(F.percentile(pen, 0.5), 6).alias("med_pen"), F.round(F.avg((pen <= 0.02).cast("double")), 6).alias("hold_rate"))
 
 
-# arrivals at the edges and the middle: the line is fixed by the previous close; away by half a simple ATR within 60 closes
+# arrivals at all levels: the line is fixed by the previous close; away by half a simple ATR within 60 closes
 _ARR = """, t AS (SELECT *, lag(c) OVER w AS c1, greatest(h - l, coalesce(abs(h - lag(c) OVER w), 0), coalesce(abs(l - lag(c) OVER w), 0)) AS tr,
 min(c) OVER (w ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) AS lo60, max(c) OVER (w ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) AS hi60 FROM bars WINDOW w AS (PARTITION BY series_id ORDER BY pos)),
 a AS (SELECT *, CASE WHEN pos >= 20 THEN avg(tr) OVER (PARTITION BY series_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END AS atr FROM t),
-q AS (SELECT a.*, p.pct, (floor(c1 / 243 - p.pct / 100) + 1 + p.pct / 100) * 243 AS up, (ceil(c1 / 243 - p.pct / 100) - 1 + p.pct / 100) * 243 AS dn FROM a, (SELECT unnest([0.0, 50.0]) AS pct) p WHERE c1 IS NOT NULL),
+q AS (SELECT a.*, p.pct, (floor(c1 / 243 - p.pct / 100) + 1 + p.pct / 100) * 243 AS up, (ceil(c1 / 243 - p.pct / 100) - 1 + p.pct / 100) * 243 AS dn FROM a, (SELECT unnest({pcts}) AS pct) p WHERE c1 IS NOT NULL),
 ev AS (SELECT series_id, pos, pct, up AS lv, true AS above, atr FROM q WHERE h >= up AND up - lo60 >= 0.5 * atr UNION ALL
-SELECT series_id, pos, pct, dn AS lv, false AS above, atr FROM q WHERE l <= dn AND hi60 - dn >= 0.5 * atr)"""
+SELECT series_id, pos, pct, dn AS lv, false AS above, atr FROM q WHERE l <= dn AND hi60 - dn >= 0.5 * atr)""".replace("{pcts}", str([float(x) for x in L.LEVELS]))
 
 
 def edge_arrivals(bars):
-    return V.arrivals(X.simple_atr(bars, 20), SIZE, 0.5, pcts=[0.0, 50.0]).select("series_id", "pos", "pct", F.col("line").alias("lv"), "above", "atr")
+    """Arrivals at all twenty levels."""
+    return V.arrivals(X.simple_atr(bars, 20), SIZE, 0.5).select("series_id", "pos", "pct", F.col("line").alias("lv"), "above", "atr")
 
 
 @query(EVT + _ARR + " SELECT series_id, pos, CAST(pct AS INT) AS pct, round(lv, 6) AS lv, above FROM ev")
@@ -234,13 +235,13 @@ def symmetric_race(spark, sf_dir):
     return O.race(e, bars, ["series_id", "pos"], 96, F.col("bh") >= F.col("c") + 24.3, F.col("bl") <= F.col("c") - 24.3, tie="drop").select("series_id", "pos", "outcome")
 
 
-@query(EVT + _CROSS + """, q AS (SELECT e.series_id, e.pos, e.up, b.c FROM e JOIN bars b USING (series_id, pos)), m AS (SELECT q.*, f, CASE WHEN up THEN c + f * 24.3 ELSE c - f * 24.3 END AS tg, CASE WHEN up THEN c - f * 24.3 ELSE c + f * 24.3 END AS sp FROM q, (SELECT unnest([0.5, 1.0, 2.0]) AS f))
+@query(EVT + _CROSS + """, q AS (SELECT e.series_id, e.pos, e.up, b.c FROM e JOIN bars b USING (series_id, pos)), m AS (SELECT q.*, f, CASE WHEN up THEN c + f * 24.3 ELSE c - f * 24.3 END AS tg, CASE WHEN up THEN c - f * 24.3 ELSE c + f * 24.3 END AS sp FROM q, (SELECT unnest([0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0]) AS f))
 SELECT m.series_id, m.pos, CAST(m.f AS DOUBLE) AS f, min(b.pos - m.pos) FILTER (b.pos > m.pos AND CASE WHEN up THEN b.h >= tg ELSE b.l <= tg END) AS tf, min(b.pos - m.pos) FILTER (CASE WHEN up THEN b.l <= sp ELSE b.h >= sp END) AS ta
 FROM m JOIN bars b ON b.series_id = m.series_id AND b.pos BETWEEN m.pos AND m.pos + 24 GROUP BY m.series_id, m.pos, m.f""")
 def hit_times(spark, sf_dir):
     """First bars that reach favourable (from the next bar) and adverse (from the event bar) thresholds."""
     bars = bars_evt(spark, sf_dir)
-    e = V.close_crosses(bars, SIZE).select("series_id", "pos", "up", "c", F.explode(F.array(F.lit(0.5), F.lit(1.0), F.lit(2.0))).alias("f"))
+    e = V.close_crosses(bars, SIZE).select("series_id", "pos", "up", "c", F.explode(F.array(*map(F.lit, (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)))).alias("f"))
     far = F.col("f") * 24.3
     fav = F.when(F.col("up"), F.col("bh") >= F.col("c") + far).otherwise(F.col("bl") <= F.col("c") - far)
     adv = F.when(F.col("up"), F.col("bl") <= F.col("c") - far).otherwise(F.col("bh") >= F.col("c") + far)

@@ -4,7 +4,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.functions import lattice as L
-from barloom.operators import outcomes as O
 from barloom.operators import stats as S
 from barloom.operators.bars import daily
 from barloom.operators.features import changes, fractal_swings
@@ -30,17 +29,22 @@ def sessions(bars):
     return bars.join(d, ["series_id", "date"])
 
 
-def resolve_in_session(entries, bars):
-    """Trades from entries (edge, tg, sp, is_long, z, lc; the entry bar counts, a tie is a stop) to the session's end."""
-    day = bars.groupBy("series_id", "date").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
-    inside = F.col("pos") + F.col("w") <= F.col("z")
-    hit_t = inside & F.when(F.col("is_long"), F.col("bh") >= F.col("tg")).otherwise(F.col("bl") <= F.col("tg"))
-    hit_s = inside & F.when(F.col("is_long"), F.col("bl") <= F.col("sp")).otherwise(F.col("bh") >= F.col("sp"))
-    keys = ["series_id", "date", "pos", "edge", "tg", "sp", "is_long", "lc"]
-    t = O.race(entries.select(*keys, "z"), bars, keys, day, hit_t, hit_s, start=0)
-    price = F.when(F.col("outcome") == -1, F.col("sp")).when(F.col("outcome") == 1, F.col("tg")).otherwise(F.col("lc"))
-    how = F.when(F.col("outcome") == -1, "stop").when(F.col("outcome") == 1, "target").otherwise("timeout")
-    return t.withColumns({"how": how, "pnl": F.when(F.col("is_long"), price - F.col("edge")).otherwise(F.col("edge") - price) - COST})
+def resolve_in_session(entries, bars, more=()):
+    """Trades from entries (edge, tg, sp, is_long, z, lc; the entry bar counts, a tie is a stop) to the session's end, z.
+
+    A session's bars are matched by its date, so no horizon is needed; ``more`` names further columns of an entry.
+    """
+    keys = ["series_id", "date", "pos", "edge", "tg", "sp", "is_long", "lc", *more]
+    b = bars.select("series_id", "date", F.col("pos").alias("_p"), F.col("h").alias("bh"), F.col("l").alias("bl"))
+    rows = entries.select(*keys).join(b, ["series_id", "date"]).where(F.col("_p") >= F.col("pos"))
+    hit_t = F.when(F.col("is_long"), F.col("bh") >= F.col("tg")).otherwise(F.col("bl") <= F.col("tg"))
+    hit_s = F.when(F.col("is_long"), F.col("bl") <= F.col("sp")).otherwise(F.col("bh") >= F.col("sp"))
+    t = rows.groupBy(*keys).agg(F.min(F.when(hit_t, F.col("_p"))).alias("_t"), F.min(F.when(hit_s, F.col("_p"))).alias("_s"))
+    stopped = F.col("_s").isNotNull() & (F.col("_t").isNull() | (F.col("_s") <= F.col("_t")))
+    how = F.when(stopped, "stop").when(F.col("_t").isNotNull(), "target").otherwise("timeout")
+    price = F.when(F.col("how") == "stop", F.col("sp")).when(F.col("how") == "target", F.col("tg")).otherwise(F.col("lc"))
+    pnl = F.when(F.col("is_long"), price - F.col("edge")).otherwise(F.col("edge") - price) - COST
+    return t.withColumn("how", how).withColumn("pnl", pnl).drop("_t", "_s")
 
 
 def s1_trades(bars):
@@ -269,24 +273,24 @@ def weighted_trend(spark, sf_dir):
 _LCG = "((({x}) * 16807 % 2147483647) * 16807 % 2147483647)"
 
 
-@query(EVT + ", d AS (SELECT date, sum(c - o) AS s, count(*) AS n, row_number() OVER (ORDER BY date) - 1 AS i FROM bars GROUP BY date), k AS (SELECT count(*) AS k FROM d), g AS (SELECT rep, " + _LCG.replace("{x}", "rep * 1000003 + i * 7919 + 12345") + " % k AS j FROM d, k, (SELECT unnest(range(0, 200)) AS rep)), m AS (SELECT rep, sum(s) / sum(n) AS m FROM g JOIN d ON d.i = g.j GROUP BY rep) SELECT round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.5), 6) AS mid, round(quantile_cont(m, 0.975), 6) AS hi FROM m")
+@query(EVT + ", d AS (SELECT date, sum(c - o) AS s, count(*) AS n, row_number() OVER (ORDER BY date) - 1 AS i FROM bars GROUP BY date), k AS (SELECT count(*) AS k FROM d), g AS (SELECT rep, " + _LCG.replace("{x}", "rep * 1000003 + i * 7919 + 12345") + " % k AS j FROM d, k, (SELECT unnest(range(0, 2000)) AS rep)), m AS (SELECT rep, sum(s) / sum(n) AS m FROM g JOIN d ON d.i = g.j GROUP BY rep) SELECT round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.5), 6) AS mid, round(quantile_cont(m, 0.975), 6) AS hi FROM m")
 def day_bootstrap_ci(spark, sf_dir):
     """Interval of the mean bar body, days drawn with replacement."""
     days = bars_evt(spark, sf_dir).groupBy("date").agg(F.sum(F.col("c") - F.col("o")).alias("s"), F.count("*").alias("n"))
-    m = S.cluster_bootstrap(days, 200, "date")
+    m = S.cluster_bootstrap(days, 2000, "date")
     return m.agg(*[F.round(F.percentile("mean", q), 6).alias(name) for name, q in (("lo", 0.025), ("mid", 0.5), ("hi", 0.975))])
 
 
-_PERM = ", b AS (SELECT date, series_id, pos, c - o AS y, row_number() OVER (PARTITION BY date ORDER BY series_id, pos) AS r FROM bars), p AS (SELECT rep, date, series_id, row_number() OVER (PARTITION BY rep, date ORDER BY " + _LCG.replace("{x}", "rep * 7368787 + date % 100000 * 104729 + r * 15485863 + 1") + ", r) AS r FROM b, (SELECT unnest(range(0, 50)) AS rep)), m AS (SELECT rep, p.series_id, avg(b.y) AS m FROM p JOIN b USING (date, r) GROUP BY ALL), sp AS (SELECT rep, max(m) - min(m) AS spread FROM m GROUP BY rep), tr AS (SELECT max(m) - min(m) AS t FROM (SELECT series_id, avg(y) AS m FROM b GROUP BY series_id))"
+_PERM = ", b AS (SELECT date, series_id, pos, c - o AS y, row_number() OVER (PARTITION BY date ORDER BY series_id, pos) AS r FROM bars), p AS (SELECT rep, date, series_id, row_number() OVER (PARTITION BY rep, date ORDER BY " + _LCG.replace("{x}", "rep * 7368787 + date % 100000 * 104729 + r * 15485863 + 1") + ", r) AS r FROM b, (SELECT unnest(range(0, 2000)) AS rep)), m AS (SELECT rep, p.series_id, avg(b.y) AS m FROM p JOIN b USING (date, r) GROUP BY ALL), sp AS (SELECT rep, max(m) - min(m) AS spread FROM m GROUP BY rep), tr AS (SELECT max(m) - min(m) AS t FROM (SELECT series_id, avg(y) AS m FROM b GROUP BY series_id))"
 
 
 @query(EVT + _PERM + " SELECT round(t, 6) AS spread, round((SELECT avg(spread) FROM sp), 6) AS null_mean, CAST((SELECT count(*) FROM sp WHERE spread >= t) AS BIGINT) AS as_high FROM tr")
 def within_day_permutation(spark, sf_dir):
-    """Spread of the series' mean bodies, against labels permuted within each day (50 times)."""
+    """Spread of the series' mean bodies, against labels permuted within each day (2,000 times)."""
     w = Window.partitionBy("date").orderBy("series_id", "pos")
     b = bars_evt(spark, sf_dir).select("date", "series_id", "pos", (F.col("c") - F.col("o")).alias("y")).withColumn("r", F.row_number().over(w))
-    rep = b.select("date", "series_id", "r", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("rep"))
-    seed = S.lcg(F.col("rep") * 7368787 + F.col("date") % 100000 * 104729 + F.col("r") * 15485863 + 1)
+    rep = b.select("date", "series_id", "r", F.explode(F.sequence(F.lit(0), F.lit(1999))).alias("rep"))
+    seed = S.lcg(F.col("rep").cast("long") * 7368787 + F.col("date") % 100000 * 104729 + F.col("r") * 15485863 + 1)
     p = rep.withColumn("to", F.row_number().over(Window.partitionBy("rep", "date").orderBy(seed, "r"))).select("rep", "date", "series_id", F.col("to").alias("r"))
     m = p.join(b.select("date", "r", "y"), ["date", "r"]).groupBy("rep", "series_id").agg(F.avg("y").alias("m"))
     spread = m.groupBy("rep").agg((F.max("m") - F.min("m")).alias("spread"))

@@ -33,3 +33,8 @@ def cached(spark: SparkSession, name: str, source: str, make: Callable[[], DataF
         make().write.option("compression", "zstd").parquet(path)
         _KEPT[key] = path
     return spark.read.parquet(_KEPT[key])
+
+
+def forget() -> None:
+    """From here on every artifact is made anew (the files stay)."""
+    _KEPT.clear()

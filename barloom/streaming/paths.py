@@ -13,7 +13,8 @@ from barloom.functions import clock as C
 from barloom.operators.features import fractal_swings
 
 DEPTH = 8  # swings that a path looks back on
-EVIDENCE, MARGIN, MOST_SKIP = 2, 2, 3
+#: Steps that lock a path, points it must lead by, nodes a step may skip to, minutes before a node is due.
+EVIDENCE, MARGIN, MOST_SKIP, SOON = 2, 2, 3, 5
 #: Points for a step to the next node, for one that skips, for one the wrong way; by read code its quality.
 STEP, SKIP, WRONG = 6, 3, -3
 QUALITY = [0, 3, 2, 1, 1]
@@ -38,23 +39,33 @@ def stream_lut(spark: SparkSession) -> DataFrame:
     return day.join(each, "mod", "left").na.fill(-1, ["a1", "a2"]).na.fill(0, ["q1", "q2"])
 
 
-def path_state(history: Column) -> dict[str, Column]:
-    """Scores, evidence and status of a history (array of SWING, oldest first)."""
+def path_state(history: Column, alternate: bool = True) -> dict[str, Column]:
+    """Scores, evidence and the last node of each chain (-1: none) of a history (array of SWING, oldest first).
+
+    With alternate, only steps between a high and a low count.
+    """
     out = {}
     for algo, sign in ((1, 1), (2, -1)):
-        each = F.transform(history, _step(history, f"a{algo}", f"q{algo}", sign))
+        each = F.transform(history, _step(history, f"a{algo}", f"q{algo}", sign, alternate))
+        out[f"last{algo}"] = _last(history, f"a{algo}")
         out[f"score{algo}"] = F.aggregate(each, F.lit(0), lambda a, x: a + x["score"])
         out[f"evidence{algo}"] = F.aggregate(each, F.lit(0), lambda a, x: a + x["good"])
     return out
 
 
-def _step(history: Column, node: str, quality: str, sign: int):
+def _last(history: Column, node: str) -> Column:
+    """The latest swing's node that is there; -1 if none is."""
+    return F.coalesce(F.try_element_at(F.filter(history, lambda x: x[node] >= 0), F.lit(-1))[node], F.lit(-1))
+
+
+def _step(history: Column, node: str, quality: str, sign: int, alternate: bool):
     """Score of the step from a swing to the next one of the other side; sign is the chain's direction."""
 
     def step(p: Column, i: Column) -> Column:
         n = F.get(history, i + 1)
         move = (n[node] - p[node]) * sign
-        known = (i + 1 < F.size(history)) & (p["is_high"] != n["is_high"]) & (p[node] >= 0) & (n[node] >= 0)
+        turned = p["is_high"] != n["is_high"] if alternate else F.lit(True)
+        known = (i + 1 < F.size(history)) & turned & (p[node] >= 0) & (n[node] >= 0)
         good = known & (move > 0) & (move <= MOST_SKIP)
         score = F.when(good, F.when(move == 1, STEP).otherwise(SKIP) + p[quality] + n[quality]).when(known & (move < 0), WRONG).otherwise(0)
         return F.struct(score.alias("score"), F.when(good, 1).otherwise(0).alias("good"))
@@ -63,19 +74,19 @@ def _step(history: Column, node: str, quality: str, sign: int):
 
 
 def status() -> Column:
-    """Status of rows that have history and the columns of path_state."""
+    """Status of rows that have history and the columns of path_state; waiting before the first swing that has a node."""
     s1, s2, e1, e2 = (F.col(c) for c in ("score1", "score2", "evidence1", "evidence2"))
     last = F.element_at("history", -1)
     end = ((e1 >= EVIDENCE) & (last["a1"] == 5) & (s1 >= s2)) | ((e2 >= EVIDENCE) & (last["a2"] == 0) & (s2 >= s1))
     return (
-        F.when(end, "terminal").when((e1 >= EVIDENCE) & (s1 >= s2 + MARGIN), "locked 1").when((e2 >= EVIDENCE) & (s2 >= s1 + MARGIN), "locked 2")
+        F.when(F.size("history") == 0, "waiting").when(end, "terminal").when((e1 >= EVIDENCE) & (s1 >= s2 + MARGIN), "locked 1").when((e2 >= EVIDENCE) & (s2 >= s1 + MARGIN), "locked 2")
         .when((e1 >= EVIDENCE) & (e2 >= EVIDENCE), "ambiguous").when(e1 > e2, "leaning 1").when(e2 > e1, "leaning 2").otherwise("unlocked")
     )
 
 
 def scored(swings: DataFrame) -> DataFrame:
     """series_id, pos, is_high and the path's state at each swing that has a node."""
-    return swings.withColumns(path_state(F.col("history"))).withColumn("status", status()).select("series_id", "pos", "is_high", "score1", "evidence1", "score2", "evidence2", "status")
+    return swings.withColumns(path_state(F.col("history"))).withColumn("status", status()).select("series_id", "pos", "is_high", "score1", "evidence1", "score2", "evidence2", "last1", "last2", "status")
 
 
 def batch_paths(bars: DataFrame, k: int) -> DataFrame:
@@ -115,6 +126,36 @@ def stream_paths(bars: DataFrame, k: int) -> DataFrame:
     return scored(few.groupBy("series_id").applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.NoTimeout))
 
 
+def stream_hits(spark: SparkSession) -> DataFrame:
+    """mod, algo, idx of all nodes that a read of the minute hits, with the tolerances of the scorer."""
+    day = spark.range(1440).select(F.col("id").cast("int").alias("mod"))
+    read = day.select("mod", F.inline(C.reads(F.floor(F.col("mod") / 60).cast("int"), (F.col("mod") % 60).cast("int"))))
+    tol = F.create_map(*[x for k, v in C.STREAM_TOL.items() for x in (F.lit(k), F.lit(v))])[F.col("method")]
+    return read.join(F.broadcast(C.nodes(spark)), F.abs(F.col("value") - F.col("target")) <= tol).select("mod", "algo", "idx").distinct()
+
+
+def candidates(paths: DataFrame, soon: int = SOON) -> DataFrame:
+    """Adds to rows of scored() with their minute, mod: each chain's next node and the minutes until it, the primary one of
+    both (that of a locked path, else the nearer, the first chain's of equals), and whether it is soon or due.
+
+    The tables joined have a row a minute, chain and node at most, so this is a projection with lookups for streams, too.
+    """
+    spark = paths.sparkSession
+    hits = stream_hits(spark).withColumnRenamed("mod", "to")
+    ahead = spark.range(1440).select(F.col("id").cast("int").alias("mod"), F.explode(F.sequence(F.lit(1), F.lit(720))).alias("step"))
+    first = ahead.withColumn("to", (F.col("mod") + F.col("step")) % 1440).join(F.broadcast(hits), "to").groupBy("mod", "algo", "idx").agg(F.min("step").alias("step"))
+    out = paths
+    for algo, move in ((1, 1), (2, -1)):
+        nxt = F.when((F.col(f"last{algo}") >= 0) & (F.col(f"last{algo}") + move).between(0, len(C.CHAINS[algo]) - 1), F.col(f"last{algo}") + move)
+        table = first.where(F.col("algo") == algo).select("mod", F.col("idx").alias(f"next{algo}"), F.col("step").alias(f"step{algo}"))
+        out = out.withColumn(f"next{algo}", nxt).join(F.broadcast(table), ["mod", f"next{algo}"], "left")
+    far = F.lit(999_999)
+    s1, s2 = F.coalesce("step1", far), F.coalesce("step2", far)
+    primary = F.when(F.col("status") == "locked 1", 1).when(F.col("status") == "locked 2", 2).when(s1 <= s2, 1).otherwise(2)
+    out = out.withColumn("primary", primary).withColumn("primary_step", F.when(F.col("primary") == 1, F.col("step1")).otherwise(F.col("step2")))
+    return out.withColumns({"soon": F.coalesce(F.col("primary_step") == soon, F.lit(False)), "due": F.coalesce(F.col("primary_step") == 1, F.lit(False))})
+
+
 def minute_bars(ticks: DataFrame, ts: str, price: str, order: str, keys: list[str], late: str = "10 minutes", width: str = "1 minute") -> DataFrame:
     """Tumbling OHLCV bars of a stream; rows later than the watermark are dropped."""
     t = ticks.withWatermark(ts, late)

@@ -34,6 +34,59 @@ def test_dedup_equals_a_plain_loop(spark, gap):
     assert sorted(r.pos for r in events.dedup(e, ["k"], gap).collect()) == kept
 
 
+def test_dedup_is_linear_and_keeps_keys_apart(spark):
+    import time
+
+    e = spark.range(200_000).selectExpr("CAST(id % 2 AS DOUBLE) AS k", "IF(id % 2 = 0, 'a', 'b') AS name", "id DIV 2 AS pos").coalesce(1)
+    began = time.perf_counter()
+    got = events.dedup(e, ["k", "name"], 12).groupBy("k").agg(F.count("*").alias("n"), F.max("pos").alias("last")).collect()
+    assert time.perf_counter() - began < 60
+    assert sorted(tuple(r) for r in got) == [(0.0, 8334, 99996), (1.0, 8334, 99996)]  # one run of 100,000 positions each
+
+
+def zigzag_by_hand(rows, reversal):
+    up, ext, at, out = True, rows[0][0], 0, []
+    for i, (h, low) in enumerate(rows[1:], 1):
+        if up:
+            if h > ext:
+                ext, at = h, i
+            elif low < ext * (1 - reversal):
+                out.append((i, at, ext, True))
+                up, ext, at = False, low, i
+        elif low < ext:
+            ext, at = low, i
+        elif h > ext * (1 + reversal):
+            out.append((i, at, ext, False))
+            up, ext, at = True, h, i
+    return out
+
+
+def test_zigzag_equals_a_plain_loop(spark):
+    import random
+
+    rng = random.Random(2)
+    series = {}
+    for name in ("x", "y", "z"):
+        px, rows = 100.0, []
+        for _ in range(300):
+            px *= 1 + rng.gauss(0, 0.01)
+            rows.append((px * (1 + rng.random() * 0.01), px * (1 - rng.random() * 0.01)))
+        series[name] = rows
+    d = spark.createDataFrame([(n, i, h, low) for n, rows in series.items() for i, (h, low) in enumerate(rows)], "series_id string, pos long, h double, l double")
+    got = {}
+    for r in features.zigzag(d.repartition(3), 0.02).orderBy("series_id", "pos").collect():
+        got.setdefault(r.series_id, []).append((r.pos, r.ext_pos, r.px, r.is_high))
+    assert got == {n: zigzag_by_hand(rows, 0.02) for n, rows in series.items()}
+    assert features.zigzag(d.limit(0), 0.02).count() == 0
+
+
+def test_a_replay_feeds_rows_in_order_and_those_without_one(spark):
+    from barloom.streaming.replay import replay
+
+    d = spark.createDataFrame([(i, i * 2) for i in range(50)] + [(None, 7)], "k long, v long")
+    assert sorted(map(tuple, replay(d, "k", lambda s: s.select("k", "v"), finish=lambda t: t.limit(0)).collect()), key=str) == sorted(map(tuple, d.collect()), key=str)
+
+
 def test_a_tie_loses_or_is_dropped(spark):
     b = bars(spark, [(10, 10, 10), (12, 8, 10), (13, 7, 10)])
     e = b.where("pos = 0").select("series_id", "pos")
@@ -93,6 +146,20 @@ def test_wilder_atr_of_chunks_equals_the_recursion(spark, monkeypatch):
         assert got[i] == pytest.approx(atr, rel=1e-12)
 
 
+def test_wilder_atr_is_linear(spark):
+    import time
+
+    b = spark.range(200_000).selectExpr("'s' AS series_id", "id AS pos", "CAST(id * 37 % 101 + 5 AS DOUBLE) AS h", "CAST(id * 37 % 101 - 5 AS DOUBLE) AS l", "CAST(id * 37 % 101 AS DOUBLE) AS c")
+    began = time.perf_counter()
+    got = features.wilder_atr(b).agg(F.count("atr").alias("n"), F.max(F.when(F.col("pos") == 199_999, F.col("atr"))).alias("last")).first()
+    assert time.perf_counter() - began < 90
+    rows = [(i * 37 % 101) for i in range(200_000)]
+    atr = 0.0
+    for i in range(150_000, 200_000):  # long after the seed is forgotten
+        atr = (atr * 13 + max(10, abs(rows[i] + 5 - rows[i - 1]), abs(rows[i] - 5 - rows[i - 1]))) / 14
+    assert got.n == 200_000 - 13 and got["last"] == pytest.approx(atr, rel=1e-12)
+
+
 def test_lattice_edges(spark):
     df = spark.createDataFrame([(243.0,), (-1.0,), (121.5,), (0.0,)], "p double")
     pct = [r[0] for r in df.select(L.block_pct(F.col("p"), 243.0)).collect()]
