@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from barloom.llm import cascade, decontam, ebayes, lbl, licenses, near, packing, quotes, rans, secret_scan, shared, simhash, tokens
@@ -789,7 +790,7 @@ def test_conversations_keep_every_message(spark):
 
 
 def similarity_by_hand(x, y):
-    a, b = ({tuple(t.lower().split()[i : i + 5]) for i in range(max(len(t.split()) - 4, 1))} for t in (x, y))
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} for w in (x.lower().split(), y.lower().split()))
     return len(a & b) / len(a | b)
 
 
@@ -857,3 +858,48 @@ def test_pipeline_stages(spark):
     packed = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in packed} == set(texts)
     assert sum(r.length for r in packed) == sum(len(plain_ids(t, 1)) for t in texts.values())
+
+
+def plain_verdict(text):
+    """The quality rules by hand."""
+    n, chars, symbols, dup, again = plain_features(text)
+    t = text or ""
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    letters, capitals = (len(regex.findall(p, t)) for p in (r"\p{L}", r"\p{Lu}"))
+    base = n < 50 or 100 * again > 50 * n
+    some = max(n, 1)
+    return not (base or symbols * 10 > some * 3 or not 1.5 <= chars / some <= 40 or dup * 10 > len(lines) * 4 or letters * 2 < chars or capitals * 10 > letters * 6)
+
+
+def test_stages_of_odd_rows(spark, odd):
+    """Each stage on nulls, empty and long texts, repeated rows, null ids and clashing names, against plain Python."""
+    import corpus_pipeline
+
+    bench = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").collect()]
+    rng = random.Random(9)
+    prose = [" ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10**5)}x" for _ in range(80)) for _ in range(6)]
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+    rows += [(200, prose[0]), (201, prose[0] + " tail"), (202, prose[1] + " " + bench[0]), (203, prose[2] + " password: hunter22 "), (204, prose[3].upper()), (None, prose[4]), (None, prose[4]), (205, "line\n" * 60), (206, "# " * 70)]
+    clash = "_id int, _h string, fp string, start long, kept string, w int, words string, row int, at int"
+    extra = (5, "h", "f", 9, "k", 3, "ws", 4, 6)
+    table = spark.createDataFrame([(*r, *extra) for r in rows], "doc_id long, text string, " + clash)
+    stages = dict(corpus_pipeline.STAGES)
+
+    def run(name):
+        got = shared.save(stages[name](spark, table, SF), name)
+        assert got.columns == table.columns and got.where("_id = 5 AND _h = 'h' AND fp = 'f' AND start = 9 AND kept = 'k' AND w = 3 AND words = 'ws' AND row = 4 AND at = 6").count() == got.count()
+        return collections.Counter((r.doc_id, r.text) for r in got.collect())
+
+    every = collections.Counter(rows)
+    assert run("quality_rules") == collections.Counter(r for r in rows if plain_verdict(r[1]))
+    best = {}
+    for i, t in rows:
+        group = next((g for g in best if ((not (t or "").split()) == (not (g or "").split())) and (not (t or "").split() or similarity_by_hand(t, g) >= 0.8)), t)
+        best[group] = min(best.get(group, (True, 0)), (i is None, i or 0))
+    assert sorted((i is None, i or 0) for i, _ in run("near_dedup").elements()) == sorted(best.values())
+    assert every - run("decontaminate") == collections.Counter({(202, prose[1] + " " + bench[0]): 1})
+    masked = run("mask_secrets")
+    assert every - masked == collections.Counter({rows[len(odd.collect()) + 3]: 1}) and masked[203, prose[2] + " [SECRET] "] == 1
+    packed = stages["best_fit_packing"](spark, table, SF).collect()
+    want = collections.Counter(i for i, _ in rows)
+    assert collections.Counter(r.doc_id for r in packed if r.piece == 0) == want
