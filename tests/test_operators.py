@@ -87,6 +87,18 @@ def test_a_replay_feeds_rows_in_order_and_those_without_one(spark):
     assert sorted(map(tuple, replay(d, "k", lambda s: s.select("k", "v"), finish=lambda t: t.limit(0)).collect()), key=str) == sorted(map(tuple, d.collect()), key=str)
 
 
+def test_rows_later_than_the_watermark_are_dropped(spark):
+    from barloom.streaming.paths import minute_bars
+    from barloom.streaming.replay import replay
+
+    at = ["00:10", "00:20", "00:40", "05:00", "05:10", "05:20", "00:30", "05:30", "05:40"]  # the seventh is late
+    rows = [(i, f"2024-01-01 {t}:00", 100.0 if i == 6 else i + 1.0) for i, t in enumerate(at)]
+    d = spark.createDataFrame(rows, "id long, ts string, px double").select("id", F.to_timestamp("ts").alias("ts"), "px", F.lit("s").alias("k"))
+    end = lambda t: t.limit(1).select(F.lit(99).cast("long").alias("id"), F.to_timestamp(F.lit("2100-01-01 00:00:00")).alias("ts"), F.lit(0.0).alias("px"), F.lit("end").alias("k"))
+    out = replay(d, "id", lambda s: minute_bars(s, "ts", "px", "id", ["k"], late="1 hour", width="1 hour"), finish=end)
+    assert sorted((r.ts.hour, r.o, r.h, r.l, r.c, r.v) for r in out.where("k = 's'").collect()) == [(0, 1.0, 3.0, 1.0, 3.0, 3), (5, 4.0, 9.0, 4.0, 9.0, 5)]
+
+
 def test_a_tie_loses_or_is_dropped(spark):
     b = bars(spark, [(10, 10, 10), (12, 8, 10), (13, 7, 10)])
     e = b.where("pos = 0").select("series_id", "pos")
