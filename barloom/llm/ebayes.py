@@ -171,8 +171,8 @@ def fit_sample(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, int]:
 def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> DataFrame:
     """One row per row of docs: doc_id, host, path, the text's own log odds, path rates, p_quality, p_toxic, kept.
 
-    p adds to a text's own log odds those of its path over the global ones, from the evidence of the path's other texts
-    (its host's rate holds its own). kept: p_quality is 0.5 or more and p_toxic below 0.5. Null texts are empty; null sources and languages are empty
+    p adds to a text's own log odds those of its path over the global ones, from the evidence of the other texts of its
+    path and host. kept: p_quality is 0.5 or more and p_toxic below 0.5. Null texts are empty; null sources and languages are empty
     names; several labels of a document count as their mean, null labels as none; without labels every probability is
     0.5 and all is kept. Repeated rows are judged each; texts are taken whole, however long; an empty table gives an
     empty result. Only doc_id, text, source and lang are read, whatever else is there.
@@ -202,17 +202,20 @@ def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Da
     world = {h: min(max((total[h] or 0) / total["n"], 1e-6), 1 - 1e-6) if total["n"] else 0.5 for h in HEADS}
     for h in HEADS:
         hosts = shrink(hosts, ["host"], h, F.lit(world[h]))
-    hosts = save(hosts.select("host", *[F.col(f"{h}_rate").alias(f"host_{h}") for h in HEADS]), "hosts")
+    parts = [F.col(f"{h}_{x}").alias(f"host_{h}_{x}") for h in HEADS for x in ("sum", "strength")]
+    hosts = save(hosts.select("host", F.col("n").alias("host_n"), *parts, *[F.col(f"{h}_rate").alias(f"host_{h}") for h in HEADS]), "hosts")
     levels = paths.join(hosts, "host")
     for h in HEADS:
         levels = shrink(levels, ["host", "path"], h, F.col(f"host_{h}"))
-    kept = [f"{h}_{x}" for h in HEADS for x in ("sum", "strength")]
-    paths_of = levels.select("host", "path", "n", *kept, *[f"host_{h}" for h in HEADS], *[F.col(f"{h}_rate").alias(f"path_{h}") for h in HEADS])
+    kept = [f"{lvl}{h}_{x}" for lvl in ("", "host_") for h in HEADS for x in ("sum", "strength")]
+    paths_of = levels.select("host", "path", "n", "host_n", *kept, *[f"host_{h}" for h in HEADS], *[F.col(f"{h}_rate").alias(f"path_{h}") for h in HEADS])
     levels = save(paths_of, "levels")
     out = evidence.join(levels, ["host", "path"])
     for h in HEADS:
-        # what the others of the path say: a text's own evidence is counted once, as its own
-        others = F.col(f"{h}_sum") - F.col(h) + F.col(f"{h}_strength") * F.col(f"host_{h}")
+        # what the others of the host and of the path say: a text's own evidence is counted once, as its own
+        of_host = F.col(f"host_{h}_sum") - F.col(h) + F.col(f"host_{h}_strength") * F.lit(world[h])
+        of_host = of_host / (F.col("host_n") - 1 + F.col(f"host_{h}_strength"))
+        others = F.col(f"{h}_sum") - F.col(h) + F.col(f"{h}_strength") * of_host
         rate = F.greatest(F.least(others / (F.col("n") - 1 + F.col(f"{h}_strength")), F.lit(1 - 1e-6)), F.lit(1e-6))
         odds = F.log(rate / (1 - rate)) - float(np.log(world[h] / (1 - world[h])))
         out = out.withColumn(f"p_{h}", 1 / (1 + F.exp(-(F.col(f"{h}_logit") + odds))))

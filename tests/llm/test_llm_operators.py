@@ -557,11 +557,12 @@ def posteriors_by_hand(rows, labels):
         for r, e in zip(rows, own):
             hosts[r.host].append(e)
             paths[r.host, r.path].append(e)
-        _, host = shrunk(hosts, dict.fromkeys(hosts, world))
+        host_strength, host = shrunk(hosts, dict.fromkeys(hosts, world))
         strength, _ = shrunk(paths, {k: host[k[0]] for k in paths})
         for i, (r, e) in enumerate(zip(rows, own)):
-            v = paths[r.host, r.path]
-            rate = min(max((sum(v) - e + strength * host[r.host]) / (len(v) - 1 + strength), 1e-6), 1 - 1e-6)
+            v, all_of_host = paths[r.host, r.path], hosts[r.host]
+            of_host = (sum(all_of_host) - e + host_strength * world) / (len(all_of_host) - 1 + host_strength)
+            rate = min(max((sum(v) - e + strength * of_host) / (len(v) - 1 + strength), 1e-6), 1 - 1e-6)
             out[i][h] = 1 / (1 + math.exp(-(r[f"{h}_logit"] + odds(rate) - odds(world))))
     return out
 
