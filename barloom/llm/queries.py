@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import cascade, decontam, ebayes, lbl, licenses, packing, quotes, rans, secret_scan, shared, simhash
+from barloom.llm import cascade, decontam, ebayes, lbl, licenses, packing, quotes, rans, resample, secret_scan, shared, simhash, spelling, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -62,6 +62,18 @@ def op10_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade.quality(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(*few)
 
 
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.draw(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counts(_table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quotation_linking": op1_quotation_linking,
@@ -74,6 +86,9 @@ def queries() -> dict[str, Query]:
         "op8_empirical_bayes": op8_empirical_bayes,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_quality_cascade": op10_quality_cascade,
+        "op11_target_resampling": op11_target_resampling,
+        "op12_token_counts": op12_token_counts,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 

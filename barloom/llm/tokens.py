@@ -50,6 +50,7 @@ class Encoder:
         # the tokenizer lower-cases, and splits words from marks, if a few words come out alike both ways
         self.lowers = all(self._plain(x) == self._plain(x.lower()) for x in ("THE", "Zq", "A"))
         self.splits = all(self._plain(w + t) == self._plain(w) + self._plain(t) for w in ("the", "zqx", "\u00e9t\u00e9") for t in (".", ",", "?!", "..."))
+        self.special = sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.young: dict[str, bytes] = {}  # ids of chunks, in two generations: what is not asked for again goes
         self.old: dict[str, bytes] = {}
 
@@ -98,14 +99,29 @@ class Encoder:
             found[i] = young[stems[i][0]] + young[stems[i][1]] if i in stems else young[chunks[i]]
         return found
 
-    def batch(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """(bounds, ids): ids[bounds[i]:bounds[i + 1]] are text i's, end_id at the end; null texts count as empty."""
-        split = pc.ascii_split_whitespace(lowered(texts) if self.lowers else pc.fill_null(texts.cast(pa.large_string()), ""))
+    def _chunks(self, texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """(each, at, offsets): ids of the distinct chunks, a chunk's place in ``each``, the chunks of a text."""
+        low = lowered(texts) if self.lowers else None
+        # special strings are found as they are written: where there may be one, letters stay as they are
+        if low is None or any(pc.any(pc.match_substring(low, x)).as_py() for x in self.special):
+            low = pc.fill_null(texts.cast(pa.large_string()), "")
+        split = pc.ascii_split_whitespace(low)
         words, offsets = split.flatten(), split.offsets.to_numpy()
-        offsets = offsets - offsets[0]
         coded = words.dictionary_encode()
-        each = self._ids(coded.dictionary.to_pylist())
-        at = coded.indices.to_numpy(zero_copy_only=False)
+        return self._ids(coded.dictionary.to_pylist()), coded.indices.to_numpy(zero_copy_only=False), offsets - offsets[0]
+
+    def lengths(self, texts: pa.Array) -> np.ndarray:
+        """The number of tokens of each text; null texts count as empty."""
+        each, at, offsets = self._chunks(texts)
+        if not len(at):
+            return np.zeros(len(offsets) - 1, np.int64)
+        length = pa.array(np.fromiter(map(len, each), np.int64, len(each)) // self.kind.itemsize)
+        total = np.concatenate([[0], np.cumsum(length.take(pa.array(at)).to_numpy())])
+        return np.diff(total[offsets])
+
+    def batch(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """(bounds, ids): ids[bounds[i]:bounds[i + 1]] are text i's, end_id at the end; null texts count as empty."""
+        each, at, offsets = self._chunks(texts)
         n = len(offsets) - 1
         if end_id is not None:  # one more word at the end of each text
             each.append(np.array([end_id], self.kind).tobytes())
