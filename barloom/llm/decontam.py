@@ -5,20 +5,26 @@ windows of the best similarity the first ends with a shingle of an item of its w
 Windows are laid at these places, in whatever order an item's parts stand, if enough of their shingles are such; no
 other window can reach the similarity.
 
-Index: windows of equal words are one, with a 64-bit SimHash of their shingles, each counted as often as it stands
-there. Two fingerprints within the radius agree in one at least of radius + 1 blocks of bits, so a join on (word count,
-block, its bits) meets every such pair; the first block they agree in reports it, and the Hamming distance decides.
-The radius follows from the least similarity (shared.radius_for: 28 bits at 0.8), so that the guarantee covers all
-pairs that the last step can accept, but for one in 1e8.
-
-Verification: candidates are compared by shingles weighted with their counts, exactly, through a join on the shingle.
+Elements: a shingle with the number of its earlier occurrences in the window. Sets of elements have as similarity the
+weighted one of their shingles (the sum of the lesser counts over that of the greater), so the 64-bit SimHash is made of
+elements, and what holds for sets holds for repeated shingles, too.
+
+Index: windows of equal words are one. Two fingerprints within the radius agree in one at least of radius + 1 blocks of
+bits; the radius follows from the least similarity (shared.radius_for: 28 bits at 0.8) so that all pairs that the last
+step can accept are within it, but for one in 1e8. Blocks of two or three bits select nothing alone, so they are keys
+within (word count, rare element): of an item's n elements a window as similar as asked has all but n - ceil(0.8 n), so
+it has one at least of any n - ceil(0.8 n) + 1 of them, and those that the fewest items have are taken. A join on (word
+count, rare element, block, its bits) meets every such pair; the first block they agree in reports it, and the Hamming
+distance decides.
+
+Verification: candidates are compared exactly, by the number of their common elements, through a join on the element.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.shared import NOT_ALNUM, drop, free_names, radius_for, save
@@ -47,6 +53,16 @@ def simhash(hashes: str) -> Column:
     return F.expr(f"aggregate(sequence(0, 63), 0L, (a, b) -> a | {bit})")
 
 
+def elements(hashes: str) -> Column:
+    """Hashes of an array column, each with the number of its earlier occurrences there: a set of 64-bit hashes.
+
+    Only an array that repeats a hash is searched for its places: equal hashes stand together once it is sorted.
+    """
+    plain = F.transform(F.col(hashes), lambda h: F.xxhash64(h, F.lit(0)))
+    first = f"transform(array_sort({hashes}), (h, i) -> xxhash64(h, cast(i + 1 - array_position(array_sort({hashes}), h) AS INT)))"
+    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), plain).otherwise(F.expr(first))
+
+
 def block_masks(radius: int) -> list[int]:
     """radius + 1 disjoint ranges of the 64 bits, as signed masks."""
     cut = [round(i * 64 / (radius + 1)) for i in range(radius + 2)]
@@ -54,25 +70,35 @@ def block_masks(radius: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def within_radius(windows: DataFrame, items: DataFrame, radius: int) -> DataFrame:
-    """Pairs of rows of equal w whose fp differ in at most radius bits, each once: all columns of both.
+def within_radius(windows: DataFrame, items: DataFrame, radius: int, within: list[str]) -> DataFrame:
+    """Pairs of rows of equal ``within`` columns whose fp differ in at most radius bits, each once: all columns of both.
 
-    windows and items have w, fp and columns of their own names. A hot (w, block, bits) is dealt over SALTS tasks unless
+    windows and items have these columns, fp and columns of their own names. A hot key is dealt over SALTS tasks unless
     the items are few enough to be broadcast.
     """
     masks = F.array(*[F.lit(m).cast("long") for m in block_masks(radius)])
     each = F.posexplode(F.transform(masks, lambda m: F.col("fp").bitwiseAND(m))).alias("block", "bits")
     left, right = windows.select("*", each), items.select("*", each).withColumnRenamed("fp", "fp2")
-    keys = ["w", "block", "bits"]
+    keys = [*within, "block", "bits"]
     if items.count() * (radius + 1) <= BROADCAST_ROWS:
-        both = left.join(F.broadcast(right), keys)
+        right = F.broadcast(right)
     else:
         salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
         left = left.withColumn("salt", F.pmod(F.xxhash64("fp", "block"), F.lit(SALTS)).cast("int"))
-        both = left.join(right.withColumn("salt", salt), [*keys, "salt"]).drop("salt")
+        right, keys = right.withColumn("salt", salt), [*keys, "salt"]
     apart = F.col("fp").bitwiseXOR(F.col("fp2"))
     earlier = F.exists(F.slice(masks, F.lit(1), F.col("block")), lambda m: apart.bitwiseAND(m) == 0)
-    return both.where((F.bit_count(apart) <= radius) & ~earlier).drop("block", "bits", "fp", "fp2")
+    both = left.join(right, keys).where((F.bit_count(apart) <= radius) & ~earlier)
+    return both.drop("salt", "block", "bits", "fp", "fp2")
+
+
+def rare_elements(items: DataFrame, similarity: float) -> DataFrame:
+    """w, item_id, fp, e: of each item's n elements the n - ceil(similarity * n) + 1 that the fewest items of its word count have."""
+    each = items.select("w", "item_id", "fp", F.size("el").alias("n"), F.explode("el").alias("e"))
+    often = each.groupBy("w", "e").agg(F.count("*").alias("often"))
+    place = F.row_number().over(Window.partitionBy("w", "item_id").orderBy("often", "e"))  # an item's elements
+    ranked = each.join(often, ["w", "e"]).withColumn("place", place)
+    return ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-6) + 1).select("w", "item_id", "fp", "e")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -104,7 +130,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, similari
     items = items.withColumns({"w": F.size("words"), "k": F.least(F.size("words"), F.lit(shingle))})
     by_k = [r["k"] for r in items.select("k").distinct().collect()] or [shingle]  # at most ``shingle`` numbers
     some = [items.where(F.col("k") == k).withColumn("sh", shingle_hashes("words", k)) for k in sorted(by_k)]
-    items = save(reduce(DataFrame.unionByName, some).select("item_id", "n_items", "w", "k", "sh", simhash("sh").alias("fp")), "items")
+    items = reduce(DataFrame.unionByName, some).withColumn("el", elements("sh"))
+    items = save(items.select("item_id", "n_items", "w", "k", "sh", "el", simhash("el").alias("fp")), "items")
     marks = save(items.select("w", "k", F.explode("sh").alias("h")).distinct(), "marks")
     keyed = _keyed(docs).withColumn("words", alnum_words(F.col("text")))
     placed = [
@@ -126,17 +153,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, similari
     name = {"c1": F.xxhash64("sh"), "c2": F.xxhash64(F.lit(1), "sh")}
     windows = save(windows.select("doc_id", "_id", "_h", "w", "start", "sh", *[x.alias(c) for c, x in name.items()]), "windows")
     content = ["w", "c1", "c2"]
-    contents = save(windows.select(*content, "sh").dropDuplicates(content).withColumn("fp", simhash("sh")), "contents")
-    pairs = within_radius(contents.select(*content, "fp"), items.select("w", "item_id", "fp"), radius)
+    contents = windows.select(*content, "sh").dropDuplicates(content).withColumn("el", elements("sh")).drop("sh")
+    contents = save(contents.withColumn("fp", simhash("el")), "contents")
+    rare = save(rare_elements(items, similarity), "rare")
+    named = rare.select("w", "e").distinct()
+    asked = contents.select(*content, "fp", F.explode("el").alias("e"))
+    asked = asked.join(F.broadcast(named) if rare.count() <= BROADCAST_ROWS else named, ["w", "e"], "left_semi")
+    pairs = within_radius(asked, rare, radius, ["w", "e"]).select(*content, "item_id").distinct()  # by any of their rare elements
     pairs = save(pairs, "candidates")
-    # shared is the sum of the lesser counts; a pair's rows are the shingles that both have
-    in_items = save(items.select("item_id", "w", F.explode("sh").alias("h")).groupBy("item_id", "w", "h").agg(F.count("*").alias("y")), "in_items")
-    counts = contents.select(*content, F.explode("sh").alias("h")).groupBy(*content, "h").agg(F.count("*").alias("x"))
+    in_items = save(items.select("item_id", "w", F.explode("el").alias("e")), "in_items")
     few = in_items.count() <= BROADCAST_ROWS
-    met = pairs.join(counts, content).join(F.broadcast(in_items) if few else in_items, ["item_id", "w", "h"])
-    shared = met.groupBy(*content, "item_id").agg(F.sum(F.least("x", "y")).alias("shared"))
-    sized = shared.join(contents.select(*content, F.size("sh").alias("in_window")), content)
-    sized = sized.join(items.select("item_id", "n_items", F.size("sh").alias("in_item")), "item_id")
+    met = pairs.join(contents.select(*content, F.explode("el").alias("e")), content)
+    met = met.join(F.broadcast(in_items) if few else in_items, ["item_id", "w", "e"])
+    shared = met.groupBy(*content, "item_id").agg(F.count("*").alias("shared"))
+    sized = shared.join(contents.select(*content, F.size("el").alias("in_window")), content)
+    sized = sized.join(items.select("item_id", "n_items", F.size("el").alias("in_item")), "item_id")
     alike = F.col("shared") / (F.col("in_window") + F.col("in_item") - F.col("shared"))
     kept = save(sized.withColumn("similarity", alike).where(F.col("similarity") >= similarity).select(*content, "item_id", "n_items", "similarity"), "kept")
     found = windows.select("doc_id", "_id", "_h", "start", *content).join(F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept, content)
@@ -147,7 +178,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, similari
         (-F.col("best.back")).alias("first_word"), F.col("w").alias("n_words"), "_id", "_h",
     )
     leaks = save(leaks, "leaks")
-    drop(items, marks, in_items, spots, windows, contents, pairs, kept)
+    drop(items, marks, rare, in_items, spots, windows, contents, pairs, kept)
     return leaks
 
 

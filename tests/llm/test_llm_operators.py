@@ -297,7 +297,43 @@ def test_blocks_meet_all_fingerprints_within_the_radius(spark, monkeypatch, few)
     b = spark.createDataFrame(items, "w int, item int, fp long")
     for radius in (4, 28):
         want = sorted((i, j) for w, i, x in windows for v, j, y in items if v == w and apart(x, y) <= radius)
-        assert sorted((r.window, r.item) for r in decontam.within_radius(a, b, radius).collect()) == want and want
+        assert sorted((r.window, r.item) for r in decontam.within_radius(a, b, radius, ["w"]).collect()) == want and want
+
+
+def test_leaks_with_a_word_repeated_are_found(spark):
+    """A repeated shingle costs little similarity, however often it is there: all are found, as by brute force."""
+    rng = random.Random(12)
+    items = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(1500))) for i in range(40)]
+    rows = [(i, " ".join([*t.split()[:1360], *["the"] * 140])) for i, t in items]
+    rows += [(100 + i, " ".join([*["the"] * 140, *t.split()[140:], "tail"])) for i, t in items[:5]]
+    few = [(50 + i, " ".join(["go on"] * (10 + i) + [f"x{i}y{k}" for k in range(30)])) for i in range(8)]  # items that repeat, too
+    rows += [(200 + i, " ".join(["lead", *t.split()[4:], "end"])) for i, t in few] + [(300 + i, " ".join(t.split()[: 20 + i])) for i, t in few]
+    table, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items + few, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.find_leaks(table, bench).collect()}
+    by_hand = {k: v[0] for k, v in best_windows([r for r in rows if r[0] >= 200], few).items()}
+    assert {k: v for k, v in got.items() if k[0] >= 200} == by_hand and by_hand
+    assert {k for k in got if k[0] < 200} == {(i, i) for i in range(40)} | {(100 + i, i) for i in range(5)}
+    assert min(got[i, i] for i in range(40)) < 0.84
+
+
+def test_few_pairs_are_joined(spark):
+    """Windows and items that share no rare shingle do not meet, whatever their fingerprints."""
+    rng = random.Random(13)
+    items = [(i, " ".join(f"w{rng.randrange(2000)}" for _ in range(30))) for i in range(300)]
+    table = spark.createDataFrame([(i, t) for i, t in items], "doc_id long, text string")
+    plain = decontam.within_radius
+    met = []
+
+    def counted(*a):
+        met.append((out := plain(*a)).count())
+        return out
+
+    decontam.within_radius, keep = counted, plain
+    try:
+        got = decontam.find_leaks(table, spark.createDataFrame(items, "item_id long, text string")).count()
+    finally:
+        decontam.within_radius = keep
+    assert got == 300 and met[0] <= 300 * 7 < 0.1 * 300 * 300  # a row for each rare element of a pair
 
 
 def test_simhash_of_shingles(spark):
