@@ -33,32 +33,42 @@ MORE_PHRASES = {
     "european union public licence": "eupl", "common development and distribution license": "cddl", "sil open font license": "ofl",
     "python software foundation license": "psf", "academic free license": "afl", "open database license": "odbl",
 }
-#: How freely a text under a label can be reused, 0 to 1, by the label's longest known prefix.
+#: License families and how freely a text under one can be reused, 0 to 1. A label's is that of the longest
+#: family that it is or starts with.
 FREEDOM = {
-    "mit": 1.0, "apache": 1.0, "bsd": 1.0, "isc": 1.0, "bsl": 1.0, "cc0": 1.0, "public-domain": 1.0, "unlicense": 1.0, "0bsd": 1.0,
-    "zlib": 1.0, "wtfpl": 1.0, "psf": 1.0, "python": 1.0, "ncsa": 1.0, "postgresql": 1.0, "x11": 1.0, "afl": 0.9, "artistic": 0.8, "ofl": 0.8,
-    "cc-by": 0.9, "mpl": 0.7, "epl": 0.7, "eupl": 0.6, "cddl": 0.7, "cc-by-sa": 0.6, "odbl": 0.6, "lgpl": 0.6, "gpl": 0.4, "agpl": 0.3,
-    "cc-by-nd": 0.3, "cc-by-nc": 0.2, "busl": 0.1, "sspl": 0.1, "proprietary": 0.0,
+    "0bsd": 1.0, "afl": 0.9, "agpl": 0.3, "apache": 1.0, "apl": 0.6, "apsl": 0.6, "artistic": 0.8, "beerware": 1.0, "blueoak": 1.0, "bsd": 1.0,
+    "bsl": 1.0, "busl": 0.1, "bzip2": 1.0, "cal": 0.4, "catosl": 0.6, "cc-by": 0.9, "cc-by-nc": 0.2, "cc-by-nc-nd": 0.1, "cc-by-nc-sa": 0.2,
+    "cc-by-nd": 0.3, "cc-by-sa": 0.6, "cc-pddc": 1.0, "cc0": 1.0, "cddl": 0.7, "cdla-permissive": 0.9, "cdla-sharing": 0.6, "cecill": 0.4,
+    "cecill-b": 1.0, "cecill-c": 0.6, "clartistic": 0.8, "cnri-python": 1.0, "cpal": 0.5, "cpl": 0.7, "curl": 1.0, "ecl": 1.0, "efl": 1.0,
+    "elastic": 0.1, "entessa": 1.0, "epl": 0.7, "eupl": 0.6, "fsfap": 1.0, "ftl": 1.0, "gfdl": 0.4, "gpl": 0.4, "hpnd": 1.0, "icu": 1.0,
+    "ijg": 1.0, "imagemagick": 1.0, "intel": 1.0, "ipl": 0.7, "isc": 1.0, "jasper": 1.0, "json": 0.5, "lal": 0.6, "lgpl": 0.6, "libpng": 1.0,
+    "libtiff": 1.0, "lpl": 0.7, "lppl": 0.7, "mit": 1.0, "mpl": 0.7, "mulanpsl": 1.0, "ms-pl": 0.8, "ms-rl": 0.6, "naist": 1.0, "nasa": 0.6,
+    "ncsa": 1.0, "netcdf": 1.0, "ngpl": 0.4, "nlpl": 1.0, "nosl": 0.6, "npl": 0.7, "ntp": 1.0, "oclc": 0.6, "odbl": 0.6, "odc-by": 0.9,
+    "ofl": 1.0, "ogl-uk": 0.9, "oldap": 1.0, "openssl": 0.9, "osl": 0.4, "parity": 0.3, "pddl": 1.0, "php": 0.9, "polyform-noncommercial": 0.2,
+    "polyform-small-business": 0.2, "postgresql": 1.0, "proprietary": 0.0, "psf": 1.0, "public-domain": 1.0, "python": 1.0, "qpl": 0.5,
+    "rpl": 0.3, "rpsl": 0.6, "rscpl": 0.6, "ruby": 0.8, "sgi-b": 1.0, "simpl": 0.4, "sissl": 0.7, "sleepycat": 0.4, "smlnj": 1.0, "spl": 0.7,
+    "sspl": 0.1, "tcl": 1.0, "tcp-wrappers": 1.0, "unicode": 1.0, "unicode-dfs": 1.0, "unlicense": 1.0, "upl": 1.0, "vim": 0.7, "vsl": 1.0,
+    "w3c": 1.0, "watcom": 0.5, "wtfpl": 1.0, "x11": 1.0, "xfree86": 1.0, "xnet": 1.0, "ypl": 0.6, "zend": 0.9, "zimbra": 0.6, "zlib": 1.0, "zpl": 1.0,
 }
-#: License identifiers that an expression may name, in lower case; any may end with a plus sign, and
-#: those that start with licenseref- are the author's own.
-IDENTIFIERS = """
-    0bsd afl-2.1 afl-3.0 agpl-3.0 agpl-3.0-only agpl-3.0-or-later apache-1.1 apache-2.0 artistic-1.0 artistic-2.0 bsd-1-clause bsd-2-clause
-    bsd-3-clause bsd-3-clause-clear bsd-4-clause bsl-1.0 busl-1.1 cc-by-1.0 cc-by-2.0 cc-by-3.0 cc-by-4.0 cc-by-nc-2.0 cc-by-nc-3.0 cc-by-nc-4.0
-    cc-by-nc-nd-4.0 cc-by-nc-sa-4.0 cc-by-nd-4.0 cc-by-sa-2.0 cc-by-sa-3.0 cc-by-sa-4.0 cc0-1.0 cddl-1.0 cddl-1.1 epl-1.0 epl-2.0 eupl-1.1 eupl-1.2
-    gpl-1.0-only gpl-1.0-or-later gpl-2.0 gpl-2.0-only gpl-2.0-or-later gpl-3.0 gpl-3.0-only gpl-3.0-or-later isc lgpl-2.0-only lgpl-2.0-or-later
-    lgpl-2.1 lgpl-2.1-only lgpl-2.1-or-later lgpl-3.0 lgpl-3.0-only lgpl-3.0-or-later mit mit-0 mpl-1.1 mpl-2.0 ncsa odbl-1.0 ofl-1.1 postgresql
-    psf-2.0 python-2.0 sspl-1.0 unlicense wtfpl x11 zlib
+#: Parts, beside versions, that make a family's name that of one of its variants.
+VARIANTS = """
+    acknowledgement advertising attribution clause clear cmu cn copyleft de disclosure distribute enna eng export feh festival fr generator
+    igo invariants it jp later lbnl license libtiff links modern modification mpi names netrek nl no no-copyleft-exception nuclear old only open or
+    patent permissive protection public rfn sell shortened source sun tso uc uk us variant views warranty wu xfree86
 """.split()
-#: Exceptions that may follow ``with``.
-EXCEPTIONS = "autoconf-exception-3.0 bison-exception-2.2 classpath-exception-2.0 font-exception-2.0 gcc-exception-3.1 linux-syscall-note llvm-exception openjdk-assembly-exception-1.0".split()
+#: Exceptions that may follow ``with`` beside those that have "exception" in their name.
+EXCEPTIONS = ["linux-syscall-note", "gpl-cc-1.0", "lzma-exception", "classpath-exception-2.0", "gcc-exception-3.1", "llvm-exception", "font-exception-2.0"]
 #: What a license expression follows.
 TAGS = ["spdx-license-identifier:", "license-expression:", "license:"]
+SURE_TAG = TAGS[0]  # only a license expression follows it
 UNKNOWN, EXCEPTION_GAIN = 0.5, 0.2
+NOT_KNOWN = "unknown"  # what an operand is called that is well formed, but no license of the table
 
 _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 _TOKEN = re.compile(r"[\x20\x09]*([()]|[A-Za-z0-9.+:-]+)")
-_KNOWN, _EASES = frozenset(IDENTIFIERS), frozenset(EXCEPTIONS)
+_IDENTIFIER = re.compile(r"[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*\+?")
+_LONGEST_FIRST = "|".join(sorted(FREEDOM, key=len, reverse=True))
+_VARIANT = re.compile(rf"(?:{_LONGEST_FIRST})(?:-v?\d[0-9a-z.]*|-(?:{'|'.join(VARIANTS)}))*\+?")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
 
@@ -67,54 +77,73 @@ def freedom(label: str) -> float:
     return FREEDOM[max(known, key=len)] if known else UNKNOWN
 
 
-def is_operand(token: str, after_with: bool) -> bool:
-    """An exception after ``with``, else a license identifier, which may end with a plus sign, or the author's own."""
-    return token in _EASES if after_with else token.removesuffix("+") in _KNOWN or token.startswith(("licenseref-", "documentref-"))
+def operand(token: str, after_with: bool, sure: bool) -> str | None:
+    """The name of an operand, in lower case; NOT_KNOWN for one that is well formed only; None for what is none.
+
+    After ``with`` stands an exception. A license is one of the table's families, with versions and parts of VARIANTS, may
+    end with a plus sign, or is the author's own. Any other identifier is taken for a license that is not known if it
+    holds a digit or a hyphen, or where only an operand can stand (sure).
+    """
+    low = token.lower()
+    if not _IDENTIFIER.fullmatch(token.replace(":", "-") if low.startswith("documentref-") else token):
+        return None
+    if after_with:
+        return low if low in EXCEPTIONS or "exception" in low else NOT_KNOWN if "-" in low else None
+    if _VARIANT.fullmatch(low) or low.startswith(("licenseref-", "documentref-")):
+        return low
+    return NOT_KNOWN if sure or re.search("[0-9-]", low) else None
 
 
-def parse(expression: str) -> list[str]:
+def parse(expression: str, tagged: bool = False) -> list[str]:
     """Postfix tokens of the longest well-formed start of an and/or/with expression (shunting-yard); empty if there is none.
 
-    Whatever is no operand, operator or bracket ends it: a comma, the end of a comment, a word of prose.
+    Whatever is no operand, operator or bracket ends it: a comma, the end of a comment, a word of prose. After an operator
+    in capitals, and first of all after a tag that only an expression follows (tagged), any identifier is an operand.
     """
     out: list[str] = []
     ops: list[str] = []
     good: list[str] = []
-    operand, at = True, 0  # whether an operand is wanted next; the place
-    while found := _TOKEN.match(expression, at):
-        token, at = found[1].lower(), found.end()
+    wanted, sure, at, last = True, tagged, 0, False  # whether an operand comes next, of any name; the place; a sentence's end
+    while not last and (found := _TOKEN.match(expression, at)):
+        raw, at = found[1], found.end()
+        if len(raw) > 1 and raw[-1] in ".:":
+            raw, last = raw.rstrip(".:"), True
+        token = raw.lower()
         eases = bool(ops) and ops[-1] == "with"
-        if token == "(" and operand and not eases:
+        if token == "(" and wanted and not eases:
             ops.append(token)
-        elif token == ")" and not operand and "(" in ops:
+        elif token == ")" and not wanted and "(" in ops:
             while ops[-1] != "(":
                 out.append(ops.pop())
             ops.pop()
-        elif token in _BINDS and not operand:
+        elif token in _BINDS and not wanted:
             if token == "with" and (not out or out[-1] in _BINDS):
                 break  # an exception eases one license
             while ops and ops[-1] != "(" and _BINDS[ops[-1]] >= _BINDS[token]:
                 out.append(ops.pop())
             ops.append(token)
-            operand = True
-        elif operand and is_operand(token, eases):
-            out.append(token)
-            operand = False
+            wanted, sure = True, raw.isupper()
+        elif wanted and token not in _BINDS and (name := operand(raw, eases, sure)):
+            out.append(name)
+            wanted = False
         else:
             break
-        if not operand and "(" not in ops:
+        if not wanted and "(" not in ops:
             good = out + ops[::-1]
     return good
 
 
 def evaluate(postfix: list[str]) -> tuple[float, set[str]]:
-    """(freedom, labels): ``or`` gives the freer side, ``and`` the stricter, ``with`` an exception eases its license."""
+    """(freedom, labels): ``or`` gives the freer side, ``and`` the stricter, ``with`` an exception eases its license.
+
+    A license that is not known has the freedom UNKNOWN; an exception that is not known eases nothing.
+    """
     stack: list[tuple[float, set[str]]] = []
     for token in postfix:
         if token in _BINDS:
             (b, lb), (a, la) = stack.pop(), stack.pop()
             if token == "with":
-                stack.append((min(1.0, a + EXCEPTION_GAIN), la))
+                stack.append((min(1.0, a + (0 if NOT_KNOWN in lb else EXCEPTION_GAIN)), la))
             else:
                 stack.append((max(a, b) if token == "or" else min(a, b), la | lb))
         else:
@@ -158,9 +187,10 @@ def scan_text(text: str | None) -> tuple:
     expressions = []
     plain = low.decode("latin-1")
     if "license" in plain:
-        for end, _ in tags.iter(plain):
+        written = (text or "").encode("utf-8", "replace").decode("latin-1")  # letters as they are: capitals tell names from prose
+        for end, tag in tags.iter(plain):
             stop = plain.find("\n", end)
-            postfix = parse(plain[end + 1 : stop if stop >= 0 else len(plain)].lstrip(" \"'"))
+            postfix = parse(written[end + 1 : stop if stop >= 0 else len(plain)].lstrip(" \"'"), tag == SURE_TAG)
             if postfix:
                 score, found = evaluate(postfix)
                 scores.append(score)
@@ -175,8 +205,9 @@ SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word lon
 def scan(docs: DataFrame) -> DataFrame:
     """One row per row of docs: word counts, base places, labels, and a score.
 
-    score is how freely the text can be reused: the strictest of its notices and tag expressions, 0 if it has none.
-    A tag's expression ends with its line at most; operands that are no known identifiers end it, too.
+    score is how freely the text can be reused: the strictest of its notices and tag expressions. It is 0 both without any
+    (labels is empty then: no right is granted) and for proprietary texts (labels says so). A tag's expression ends with
+    its line at most; a license that is not known counts as one of freedom UNKNOWN and gives the label NOT_KNOWN.
     Null text has no words; repeated rows are scanned each; texts are taken whole, however long; an empty table gives an
     empty result. Only doc_id and text are read, whatever else is there. No shuffle.
     """

@@ -488,6 +488,26 @@ def test_license_expressions():
     assert licenses.evaluate(licenses.parse("(MIT OR GPL-3.0) AND CC-BY-NC-4.0"))[0] == 0.2
 
 
+def test_operands_that_no_table_lists():
+    value = lambda text: licenses.evaluate(licenses.parse(text))
+    assert value("MIT AND MS-PL") == (0.8, {"mit", "ms-pl"}) and value("MIT AND Foo-1.0") == (0.5, {"mit", "unknown"})
+    assert value("(MIT OR Foo) AND GPL-3.0-only") == (0.4, {"mit", "unknown", "gpl-3.0-only"}) and value("Foo-2 OR MIT") == (1.0, {"unknown", "mit"})
+    assert value("CC-BY-SA-2.5") == (0.6, {"cc-by-sa-2.5"}) and value("CC-BY-NC-SA-3.0-DE or agpl-9") == (0.3, {"cc-by-nc-sa-3.0-de", "agpl-9"})
+    assert value("GPL-2.0 WITH Some-exception-1.0")[0] == pytest.approx(0.6) and value("GPL-2.0 WITH Some-note")[0] == 0.4
+    assert licenses.parse("MIT and the rest") == ["mit"] and licenses.parse("MIT and Ownership") == ["mit"] and licenses.parse("MIT.") == ["mit"]
+    assert licenses.parse("MIT. AND GPL-2.0") == ["mit"] and licenses.parse("Foo") == [] and licenses.parse("Foo", True) == ["unknown"]
+    row = licenses.scan_text("x\n# SPDX-License-Identifier: Foo\n// License: Bar-1.1 AND MIT")
+    assert row[5:8] == ("mit,unknown", 0.5, "unknown;unknown mit and")
+    assert licenses.scan_text("license: see the file")[5:7] == ("", 0.0) and licenses.scan_text("All rights reserved")[5:7] == ("proprietary", 0.0)
+
+
+IDENTIFIERS = """
+    0bsd afl-2.1 agpl-3.0-or-later apache-2.0 artistic-2.0 bsd-2-clause bsd-3-clause-clear bsd-4-clause-uc bsl-1.0 busl-1.1 cc-by-4.0 cc-by-nc-nd-4.0 cc-by-sa-3.0
+    cc0-1.0 cddl-1.1 cecill-2.1 epl-2.0 eupl-1.2 gfdl-1.3-no-invariants-only gpl-2.0-only isc lgpl-2.1-or-later mit mit-0 mpl-2.0-no-copyleft-exception ms-rl
+    odbl-1.0 ofl-1.1-rfn osl-3.0 postgresql psf-2.0 sspl-1.0 unicode-dfs-2016 wtfpl x11 zlib licenseref-mine
+""".split()
+
+
 class Descent:
     """Recursive descent over the same grammar: or of and of terms; a term is a license, one with an exception, or in brackets."""
 
@@ -535,7 +555,7 @@ def test_expressions_equal_recursive_descent():
     def made(depth):
         kind = rng.random()
         if depth == 0 or kind < 0.3:
-            name = [rng.choice(licenses.IDENTIFIERS) + rng.choice(["", "", "+"])]
+            name = [rng.choice(IDENTIFIERS) + rng.choice(["", "", "+"]) if rng.random() < 0.9 else "unknown"]
             return name + (["with", rng.choice(licenses.EXCEPTIONS)] if rng.random() < 0.2 else [])
         if kind < 0.5:
             return ["(", *made(depth - 1), ")"]
@@ -543,7 +563,8 @@ def test_expressions_equal_recursive_descent():
 
     for _ in range(500):
         tokens = made(4)
-        text = " ".join(x.upper() if rng.random() < 0.5 else x for x in tokens).replace("( ", "(").replace(" )", ")")
+        written = [rng.choice(["Foo-1.0", "my-own", "bar9+"]) if x == "unknown" else x for x in tokens]
+        text = " ".join(x.upper() if rng.random() < 0.5 else x for x in written).replace("( ", "(").replace(" )", ")")
         assert licenses.evaluate(licenses.parse(text)) == Descent(tokens).either(), text
         row = licenses.scan_text(f"# SPDX-License-Identifier: {text} -->\nmore")
         value, names = Descent(tokens).either()
