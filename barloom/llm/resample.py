@@ -30,7 +30,8 @@ def features(texts: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.nd
 
     Words are lower-cased (A-Z) runs without the characters of NOT_ALNUM; nulls have none.
     """
-    split = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")), pattern=NOT_ALNUM)
+    whole = pc.fill_null(texts.cast(pa.large_string()), "").take(pa.array(np.arange(len(texts))))  # ascii_lower errs on slices
+    split = pc.split_pattern_regex(pc.ascii_lower(whole), pattern=NOT_ALNUM)
     coded = pc.list_flatten(split).dictionary_encode()
     codes, distinct = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
     of = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))

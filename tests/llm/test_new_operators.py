@@ -180,3 +180,14 @@ def test_tiles_find_single_edits():
         x, y = spelling.near_pairs(flat, start[row], size[row], group, m, a, zero, zero > 0, tile)
         got = sorted(tuple(sorted((words[row[i]], words[row[j]]))) for i, j in zip(x, y))
         assert got == sorted((v, w) for i, v in enumerate(words) for w in words[i + 1 :] if edit_apart(v, w))
+
+
+def test_features_of_slices_equal_those_of_whole_arrays():
+    texts = pa.array(["É A a", None, "Ünder THE É-É", "x" * 50, "É É É", "Z é"] * 40)
+    whole = resample.features(texts)
+    for first, n in ((1, 5), (7, 100), (239, 1)):
+        part = resample.features(texts.slice(first, n))
+        assert part[0].tolist() == whole[0][first : first + n].tolist()
+        for of, bucket in ((1, 2), (3, 4)):
+            inside = (whole[of] >= first) & (whole[of] < first + n)
+            assert part[of].tolist() == (whole[of][inside] - first).tolist() and part[bucket].tolist() == whole[bucket][inside].tolist()
