@@ -21,6 +21,8 @@ from barloom.llm.shared import drop, save, small_batches
 from barloom.llm.tokens import regrouped
 
 LABELLED = 8_000  # at most so many labelled rows are fitted: those of the smallest hash of doc_id
+#: Rows of hosts and paths are broadcast up to this many (about 200 bytes each); beyond it the join shuffles, in SALTS shares.
+BROADCAST_LEVELS, SALTS = 50_000, 32
 HASHES, SHAPES = 1 << 17, 10
 STARTS = (4, 5, 6, 7)  # characters of a longer word's start that are features of their own
 STEPS, RATE, LEAST_Z = 300, 0.1, 5.0
@@ -142,9 +144,10 @@ def shrink(groups: DataFrame, keys: list[str], head: str, prior: Column) -> Data
 
 
 def fit_sample(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, int]:
-    """(weights, rows fitted) from a bounded sample (doc_id and one column per head); the tasks make the features.
+    """(weights, rows fitted) from a bounded sample (doc_id, once each, and one column per head); the tasks make the features.
 
-    The driver gets a few hundred small integers a sampled row, never its text.
+    Of rows that repeat a doc_id the one of the smallest text hash is fitted, so there are no more rows than doc_ids
+    in the sample. The driver gets a few hundred small integers a row, never its text.
     """
     kinds = [pa.list_(pa.int32()), pa.list_(pa.float32()), *[pa.float64()] * len(HEADS)]
     names = ["hashes", "shapes", *HEADS]
@@ -156,7 +159,10 @@ def fit_sample(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, int]:
             rows = pa.ListArray.from_arrays(pa.array(np.arange(len(shapes) + 1) * SHAPES, pa.int32()), pa.array(shapes.ravel()))
             yield pa.RecordBatch.from_arrays([x.cast(k) for x, k in zip((flat, rows, *(part.column(h) for h in HEADS)), kinds)], names)
 
-    few = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").select("text", *HEADS)
+    text = F.coalesce("text", F.lit(""))
+    labelled = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h")).join(F.broadcast(sample), "doc_id")
+    one = labelled.groupBy("doc_id").agg(F.min_by("text", "h").alias("text"), *[F.first(h).alias(h) for h in HEADS])
+    few = one.select("text", *HEADS)
     with small_batches(docs.sparkSession):
         got = few.mapInArrow(run, "hashes array<int>, shapes array<float>, " + ", ".join(f"{h} double" for h in HEADS)).toArrow()
     if not got.num_rows:
@@ -210,7 +216,12 @@ def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Da
     kept = [f"{lvl}{h}_{x}" for lvl in ("", "host_") for h in HEADS for x in ("sum", "strength")]
     paths_of = levels.select("host", "path", "n", "host_n", *kept, *[f"host_{h}" for h in HEADS], *[F.col(f"{h}_rate").alias(f"path_{h}") for h in HEADS])
     levels = save(paths_of, "levels")
-    out = evidence.join(levels, ["host", "path"])
+    if levels.count() <= BROADCAST_LEVELS:
+        out = evidence.join(F.broadcast(levels), ["host", "path"])
+    else:  # a site of many texts is dealt over tasks
+        salt = F.pmod(F.xxhash64("doc_id", "quality_logit"), F.lit(SALTS)).cast("int")
+        copies = levels.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = evidence.withColumn("salt", salt).join(copies, ["host", "path", "salt"]).drop("salt")
     for h in HEADS:
         # what the others of the host and of the path say: a text's own evidence is counted once, as its own
         of_host = F.col(f"host_{h}_sum") - F.col(h) + F.col(f"host_{h}_strength") * F.lit(world[h])

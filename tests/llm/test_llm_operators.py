@@ -643,6 +643,23 @@ def test_classifier_on_held_out_labels(spark):
     assert sum((r.p_quality >= 0.5) == (r.quality == 1) for r in got) >= 0.95 * len(got)
 
 
+def test_repeated_rows_of_a_label_are_fitted_once(spark, docs):
+    rows = spark.createDataFrame([(1, f"some words of text {i} are here") for i in range(300)] + [(2, "another text"), (2, None)], "doc_id long, text string")
+    sample = spark.createDataFrame([(1, 1.0, 0.0), (2, 0.0, None)], "doc_id long, quality double, toxic double")
+    assert ebayes.fit_sample(rows, sample)[1] == 2
+    many = docs.unionByName(docs.limit(3))
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    got = {r.doc_id: r.quality_logit for r in ebayes.classify(docs, labels).collect()}
+    assert {r.doc_id: r.quality_logit for r in ebayes.classify(many, labels).collect()} == got  # copies move no weight
+
+
+def test_many_sites_are_joined_in_shares(spark, docs, monkeypatch):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    want = sorted(ebayes.classify(docs, labels).collect())
+    monkeypatch.setattr(ebayes, "BROADCAST_LEVELS", 0)
+    assert sorted(ebayes.classify(docs, labels).collect()) == want
+
+
 def test_classifier_of_odd_tables(spark, odd):
     labels = spark.createDataFrame([(OWN + 1, 1, 0), (OWN + 1, 0, 0), (OWN + 2, None, 1), (None, 1, 1), (99, 0, 1)], "doc_id long, quality int, toxic int")
     got = ebayes.classify(odd, labels).collect()
