@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.operators.scan import running
+
 
 def ohlcv(df: DataFrame, keys: list, price: str, order: Column, volume: Column | None = None) -> DataFrame:
     """Open and close by the least and greatest ``order`` (a total one), high, low, volume (rows unless given).
@@ -41,11 +43,11 @@ def with_positions(df: DataFrame, series: str = "series_id", ts: str = "ts") ->
     return numbered.join(first, series).withColumn("pos", F.col("_n") - F.col("_first")).drop("_at", "_task", "_base", "_n", "_first")
 
 
-def gap_blocks(bars: DataFrame, seconds: int, series: str = "series_id", ts: str = "ts") -> DataFrame:
+def gap_blocks(bars: DataFrame, seconds: int, series: str = "series_id", ts: str = "ts", order: str = "pos") -> DataFrame:
     """Adds blk: how many gaps of over ``seconds`` stand before the bar."""
-    w = Window.partitionBy(series).orderBy(ts)
-    gap = F.unix_timestamp(ts) - F.unix_timestamp(F.lag(ts).over(w))
-    return bars.withColumn("_new", F.when(gap > seconds, 1).otherwise(0)).withColumn("blk", F.sum("_new").over(w)).drop("_new")
+    df = running(bars, [series], {"_was": ("prev", F.unix_timestamp(ts))}, order)
+    new = F.when(F.unix_timestamp(ts) - F.col("_was") > seconds, 1).otherwise(0)
+    return running(df.drop("blk"), [series], {"blk": ("sum", new)}, order).drop("_was")
 
 
 def front_month(volumes: DataFrame, day: str, instrument: str, volume: str) -> DataFrame:

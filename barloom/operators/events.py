@@ -1,15 +1,13 @@
-"""Event builders: touches, arrivals, crossings, retests; greedy de-duplication."""
+"""Event builders: touches, arrivals, crossings; greedy de-duplication is scan.dedup."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions import lattice as L
 from barloom.operators.halo import core, ordered, with_halo
+from barloom.operators.scan import dedup  # noqa: F401  one of the event builders
 
 
 def level_grid(df: DataFrame, phases: Column | None = None) -> DataFrame:
@@ -23,38 +21,6 @@ def touched(size: Column, pct: Column) -> Column:
     return F.floor(F.col("h") / size - pct / 100) >= F.ceil(F.col("l") / size - pct / 100)
 
 
-def dedup(events: DataFrame, keys: list[str], gap: int, pos: str = "pos") -> DataFrame:
-    """Greedy: the first event of each key stays, then each that is at least gap after the last one kept.
-
-    A task streams the sorted positions of its keys and keeps one number, the last position kept: linear in the events,
-    whatever the length of a run. Rows of equal key and position stay or go together; keys and positions are not null.
-    """
-    names = [*keys, pos]
-    few = events.select(*names).distinct()
-
-    def run(batches):
-        known, last = None, 0
-        for batch in batches:
-            at = batch.column(len(keys)).to_numpy()
-            cuts = np.zeros(len(at), bool)
-            for c in batch.columns[:-1]:
-                cuts[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
-            starts = [*np.flatnonzero(cuts).tolist()]
-            picks = []
-            for a, b in zip([0, *starts], [*starts, len(at)]):
-                key = tuple(c[a].as_py() for c in batch.columns[:-1]) if b > a else known
-                i = a if key != known else a + int(np.searchsorted(at[a:b], last + gap))
-                while i < b:
-                    picks.append(i)
-                    last = int(at[i])
-                    i += int(np.searchsorted(at[i:b], last + gap))
-                known = key
-            yield batch.take(pa.array(picks, pa.int64()))
-
-    picked = few.repartition(*keys).sortWithinPartitions(*names).mapInArrow(run, few.schema)
-    return events.join(picked, names, "left_semi")
-
-
 def arrivals(bars: DataFrame, size: float, away: float, atr: str = "atr", pcts: list[float] | None = None, lookback: int = 60) -> DataFrame:
     """Touches of the next line above or below the previous close, from at least ``away`` ATR within the look-back.
 

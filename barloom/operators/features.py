@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.halo import core, frame, ordered, with_halo
+from barloom.operators.scan import running, zigzag  # noqa: F401  the zigzag is a feature, too
 
 
 def full(n: int, a: int, b: int) -> Column:
@@ -26,17 +26,13 @@ def fractal_swings(bars: DataFrame, k: int, blk: str | None = None) -> DataFrame
 
 
 def last_fractal(bars: DataFrame, k: int) -> DataFrame:
-    """last_hi, last_lo: the latest fractal price known at the bar, k bars after it stood; edges of a series count.
-
-    The look-back has no end, so it is a window of the whole series.
-    """
-    df = with_halo(bars, k, k)
+    """last_hi, last_lo: the latest fractal price known at the bar, k bars after it stood; edges of a series count."""
+    df = with_halo(bars, 2 * k, k)
     top = F.greatest(F.max("h").over(frame(-k, -1)), F.max("h").over(frame(1, k)))
     low = F.least(F.min("l").over(frame(-k, -1)), F.min("l").over(frame(1, k)))
-    df = core(df.withColumns({"_hi": F.when(F.col("h") > top, F.col("h")), "_lo": F.when(F.col("l") < low, F.col("l"))}))
-    w = Window.partitionBy("series_id").orderBy("pos")
-    df = df.withColumns({f"_k{x}": F.lag(f"_{x}", k).over(w) for x in ("hi", "lo")})
-    return df.withColumns({f"last_{x}": F.last(f"_k{x}", ignorenulls=True).over(w) for x in ("hi", "lo")}).drop("_hi", "_lo", "_khi", "_klo")
+    df = df.withColumns({"_hi": F.when(F.col("h") > top, F.col("h")), "_lo": F.when(F.col("l") < low, F.col("l"))})
+    df = core(df.withColumns({f"_k{x}": F.lag(f"_{x}", k).over(ordered()) for x in ("hi", "lo")}))
+    return running(df, ["series_id"], {f"last_{x}": ("last", F.col(f"_k{x}")) for x in ("hi", "lo")}).drop("_hi", "_lo", "_khi", "_klo")
 
 
 def forward_extremes(bars: DataFrame, m: int) -> DataFrame:
@@ -141,45 +137,12 @@ def fair_value_gaps(bars: DataFrame) -> DataFrame:
 
 
 def islands(df: DataFrame, flag: Column, keys: list[str]) -> DataFrame:
-    """Runs of rows where flag holds: keys, first_pos, last_pos, n."""
-    w = Window.partitionBy(*keys).orderBy("pos")
-    rows = df.withColumn("_rn", F.row_number().over(w)).where(flag)
-    run = F.col("_rn") - F.row_number().over(w)
-    return rows.withColumn("_run", run).groupBy(*keys, "_run").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count("*").alias("n")).drop("_run")
+    """Runs of rows where flag holds: keys, first_pos, last_pos, n. A run is numbered by the rows without the flag before it."""
+    rows = running(df.withColumn("_f", F.coalesce(flag, F.lit(False))), keys, {"_run": ("sum", (~F.col("_f")).cast("long"))}).where("_f")
+    return rows.groupBy(*keys, "_run").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count("*").alias("n")).drop("_run")
 
 
 def changes(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """Rows whose value differs from the row before, the first included; step numbers them from 0."""
-    w = Window.partitionBy(*keys).orderBy("pos")
-    was = F.lag(value).over(w)
-    kept = df.withColumn("_was", was).where(F.col("_was").isNull() | (F.col("_was") != F.col(value)))
-    return kept.withColumn("step", F.row_number().over(w) - 1).drop("_was")
-
-
-def zigzag(bars: DataFrame, reversal: float) -> DataFrame:
-    """Confirmed turning points: pos of the confirming bar, ext_pos and px of the extreme, is_high.
-
-    A leg starts upwards from the first high. Upwards, a higher high moves the extreme; otherwise a low more than
-    ``reversal`` (a fraction) below it confirms it as a swing high and turns the leg downwards from that low; downwards
-    likewise. Each leg depends on the one before, so a task streams its series' sorted rows and keeps three numbers.
-    """
-
-    def run(batches):
-        series, up, ext, at = None, True, 0.0, 0
-        for batch in batches:
-            found = []
-            for key, pos, h, low in zip(*(c.to_pylist() for c in batch.columns)):
-                if key != series:
-                    series, up, ext, at = key, True, h, pos
-                elif up and h > ext or not up and low < ext:
-                    ext, at = (h if up else low), pos
-                elif up and low < ext * (1 - reversal) or not up and h > ext * (1 + reversal):
-                    found.append((key, pos, at, ext, up))
-                    ext, at, up = (low if up else h), pos, not up
-            cols = list(zip(*found)) or [()] * 5
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["series_id", "pos", "ext_pos", "px", "is_high"])
-
-    few = bars.select(F.col("series_id").cast("string"), F.col("pos").cast("long"), F.col("h").cast("double"), F.col("l").cast("double"))
-    dealt = few.repartition("series_id").sortWithinPartitions("series_id", "pos")
-    return dealt.mapInArrow(run, "series_id string, pos long, ext_pos long, px double, is_high boolean")
+    kept = running(df, keys, {"_was": ("prev", F.col(value))}).where(F.col("_was").isNull() | (F.col("_was") != F.col(value)))
+    return running(kept, keys, {"step": ("sum", F.lit(1).cast("long"))}).withColumn("step", F.col("step") - 1).drop("_was")

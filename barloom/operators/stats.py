@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.operators.scan import running
+
 
 def score_against_phases(rates: DataFrame) -> DataFrame:
     """One row from (phase, rate, n): the true lattice's rate against its shifts: mean, deviation, z, rank (1: none as high)."""
@@ -69,7 +71,6 @@ def weighted_trend(x: Column, y: Column, weight: Column) -> Column:
 
 def transitions(df: DataFrame, state: str, keys: list[str], order: str) -> DataFrame:
     """(keys, was, now, n, share): counts of moves between different states, shares by where they left."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    moves = df.withColumn("was", F.lag(state).over(w)).where(F.col("was") != F.col(state))
+    moves = running(df, keys, {"was": ("prev", F.col(state))}, order).where(F.col("was") != F.col(state))
     counts = moves.groupBy(*keys, "was", F.col(state).alias("now")).agg(F.count("*").alias("n"))
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*keys, "was")))

@@ -12,6 +12,7 @@ from barloom.operators import features as X
 from barloom.operators import outcomes as O
 from barloom.operators import stats as S
 from barloom.operators.bars import daily
+from barloom.operators.halo import core, ordered, with_halo
 from barloom.plans.event_queries import _CROSS, SIZE
 from barloom.plans.inputs import EVT, LEVELS, bars_evt
 from barloom.plans.registry import query
@@ -24,8 +25,8 @@ BINS, PHASES = 600, 20
 def swing_prices(bars, k=2):
     """One row per swing price."""
     s = X.fractal_swings(bars, k)
-    both = F.array(F.when(F.col("swing_hi"), F.col("h")), F.when(F.col("swing_lo"), F.col("l")))
-    return s.select("series_id", "pos", "date", F.explode(F.filter(both, lambda x: x.isNotNull())).alias("px"))
+    both = F.array(*[F.when(F.col(f"swing_{x}"), F.struct(F.col(x[0]).alias("px"), F.lit(x == "hi").alias("hi"))) for x in ("hi", "lo")])
+    return s.withColumn("x", F.explode(F.filter(both, lambda x: x.isNotNull()))).select("series_id", "pos", "date", "x.px", "x.hi")
 
 
 _PX = SWINGS + ", px AS (SELECT h AS px FROM swings WHERE hi UNION ALL SELECT l FROM swings WHERE lo), oc AS (SELECT h AS px FROM bars UNION ALL SELECT l FROM bars)"
@@ -116,7 +117,7 @@ def level_set_null(spark, sf_dir):
     )
 
 
-@query(EVT + _PX + ", " + _MASK.replace("HALF", "3") + ", pp AS (SELECT px, row_number() OVER (ORDER BY px) AS i FROM px), fr AS (SELECT unnest([0.0, 0.05, 0.1, 0.2]) AS f), "
+@query(EVT + _PX + ", " + _MASK.replace("HALF", "3") + ", pp AS (SELECT h AS px, pos * 31 + ascii(series_id) * 7919 + 1 AS i FROM swings WHERE hi UNION ALL SELECT l, pos * 31 + ascii(series_id) * 7919 FROM swings WHERE lo), fr AS (SELECT unnest([0.0, 0.05, 0.1, 0.2]) AS f), "
 + f"sn AS (SELECT f, CASE WHEN {lcg('i * 48271 + 11')} % 10000 < f * 10000 THEN (round_even(px / 243 - 0.5, 0) + 0.5) * 243 + 0.1 ELSE px END AS px FROM pp, fr), "
 + "hb AS (SELECT f, " + _BIN.replace("SZ", "243") + """ AS bin, count(*) AS n FROM sn GROUP BY ALL), sh AS (SELECT j, (bin + j * 30) % 600 AS bin FROM mk, (SELECT unnest(range(0, 20)) AS j)),
 rt AS (SELECT f, j, sum(n) / (SELECT CAST(count(*) AS DOUBLE) FROM px) AS x FROM hb JOIN sh USING (bin) GROUP BY ALL)
@@ -124,7 +125,8 @@ SELECT CAST(f AS DOUBLE) AS f, round(max(x) FILTER (j = 0), 6) AS rate, round((m
 def injected_power(spark, sf_dir):
     """How the score of the swings grows when a share of them is moved onto the nearest middle of a block."""
     px = swing_prices(bars_evt(spark, sf_dir))
-    px = px.withColumn("i", F.row_number().over(Window.orderBy("px"))).withColumn("f", F.explode(F.array(*[F.lit(x) for x in (0.0, 0.05, 0.1, 0.2)])))
+    own = F.col("pos") * 31 + F.ascii("series_id") * 7919 + F.col("hi").cast("int")  # a draw for each price
+    px = px.withColumn("i", own).withColumn("f", F.explode(F.array(*[F.lit(x) for x in (0.0, 0.05, 0.1, 0.2)])))
     n = px.where("f = 0").agg(F.count("*").cast("double").alias("all"))
     u = S.lcg(F.col("i").cast("long") * 48271 + 11) % 10000
     moved = F.when(u < F.col("f") * 10000, L.snap(F.col("px"), F.lit(50.0), F.lit(243.0), F.lit(0.0), 1.0) + 0.1).otherwise(F.col("px"))
@@ -263,9 +265,9 @@ def max_statistic(spark, sf_dir):
 SELECT CAST(max(n) FILTER (j = 0) AS BIGINT) AS n, round(max(x) FILTER (j = 0), 6) AS rate, round(avg(x) FILTER (j > 0), 6) AS null_mean, round((max(x) FILTER (j = 0) - avg(x) FILTER (j > 0)) / stddev_samp(x) FILTER (j > 0), 4) AS z FROM rt""")
 def label_shift_null(spark, sf_dir):
     """Up moves from places where two scales or more have a level, against the map of such places rolled 199 times."""
-    w = Window.partitionBy("series_id").orderBy("pos")
     c = F.col("c")
-    h = bars_evt(spark, sf_dir).select(F.floor((c - 729 * F.floor(c / 729)) / 729 * 729).alias("bin"), (F.lead("c", 6).over(w) - c).alias("f")).where("f IS NOT NULL")
+    h = core(with_halo(bars_evt(spark, sf_dir), 0, 6).withColumn("f", F.lead("c", 6).over(ordered()) - c)).where("f IS NOT NULL")
+    h = h.select(F.floor((c - 729 * F.floor(c / 729)) / 729 * 729).alias("bin"), "f")
     h = h.groupBy("bin").agg(F.count("*").alias("n"), F.count_if(F.col("f") > 0).alias("k"))
     mid = F.col("id") + 0.5
     depth = sum((L.on_level(L.block_pct(mid, F.lit(float(s))), 1.0).cast("int") for s in (27, 81, 243, 729)), F.lit(0))

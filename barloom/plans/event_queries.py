@@ -1,6 +1,5 @@
 """Events on the price lattice, their de-duplication and their outcomes."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.functions import lattice as L
@@ -8,6 +7,7 @@ from barloom.operators import events as V
 from barloom.operators import features as X
 from barloom.operators import outcomes as O
 from barloom.operators.halo import core, ordered, with_halo
+from barloom.operators.scan import running
 from barloom.plans.inputs import EVT, LEVELS, bars_evt
 from barloom.plans.registry import query
 
@@ -253,5 +253,5 @@ def asof_last_cross(spark, sf_dir):
     """As-of backward join: the last crossing at or before each bar, as a running last value over the union."""
     bars = bars_evt(spark, sf_dir).select("series_id", "pos")
     marks = V.close_crosses(bars_evt(spark, sf_dir), SIZE).select("series_id", "pos", F.col("pos").alias("m"))
-    w = Window.partitionBy("series_id").orderBy("pos")
-    return bars.join(marks, ["series_id", "pos"], "left").select("series_id", "pos", F.last("m", ignorenulls=True).over(w).alias("last_cross"))
+    marked = bars.join(marks, ["series_id", "pos"], "left")
+    return running(marked, ["series_id"], {"last_cross": ("last", F.col("m"))}).select("series_id", "pos", "last_cross")

@@ -7,6 +7,7 @@ from barloom.functions import lattice as L
 from barloom.operators import features as X
 from barloom.operators.bars import daily
 from barloom.operators.halo import core, frame, ordered, with_halo
+from barloom.operators.scan import running
 from barloom.plans.inputs import EVT, LEVELS, ORD, bars_evt, bars_ord
 from barloom.plans.registry import query
 
@@ -190,7 +191,7 @@ def episodes(spark, sf_dir):
 @query(EVT + f"SELECT series_id, pos, blk, CAST(row_number() OVER (PARTITION BY series_id ORDER BY pos) - 1 AS INT) AS step FROM (SELECT series_id, pos, CAST(floor(c / 81) AS BIGINT) AS blk, lag(floor(c / 81)) OVER w AS was FROM bars {_W}) WHERE was IS NULL OR was <> blk")
 def level_changes(spark, sf_dir):
     b = bars_evt(spark, sf_dir).withColumn("blk", F.floor(F.col("c") / 81))
-    return X.changes(b, "blk", ["series_id"]).select("series_id", "pos", "blk", "step")
+    return X.changes(b, "blk", ["series_id"]).select("series_id", "pos", "blk", F.col("step").cast("int").alias("step"))
 
 
 @query(EVT + f"SELECT series_id, pos, round(max(h) OVER f - min(l) OVER f, 6) AS amplitude FROM bars WINDOW f AS (PARTITION BY series_id ORDER BY pos ROWS BETWEEN 30 PRECEDING AND 30 FOLLOWING)")
@@ -209,10 +210,10 @@ def returns_bps(spark, sf_dir):
 
 @query(EVT + f"""SELECT series_id, pos, max(CASE WHEN new THEN pos END) OVER w AS run_start FROM (SELECT *, coalesce((c > o) <> lag(c > o) OVER w, true) AS new FROM bars {_W}) {_W}""")
 def candle_run_start(spark, sf_dir):
-    w = Window.partitionBy("series_id").orderBy("pos")
     up = F.col("c") > F.col("o")
-    df = bars_evt(spark, sf_dir).withColumn("_up", up).withColumn("_new", F.coalesce(F.col("_up") != F.lag("_up").over(w), F.lit(True)))
-    return df.select("series_id", "pos", F.max(F.when(F.col("_new"), F.col("pos"))).over(w).alias("run_start"))
+    df = core(with_halo(bars_evt(spark, sf_dir), 1, 0).withColumn("_was", F.lag(up).over(ordered())))
+    starts = F.when(F.coalesce(up != F.col("_was"), F.lit(True)), F.col("pos"))
+    return running(df, ["series_id"], {"run_start": ("max", starts)}).select("series_id", "pos", "run_start")
 
 
 _ZIG = ORD + """, s0 AS (SELECT series_id, pos, h, l FROM bars),

@@ -10,6 +10,7 @@ from barloom.operators import features as X
 from barloom.operators import stats as S
 from barloom.operators.bars import daily
 from barloom.operators.halo import core, frame, ordered, with_halo
+from barloom.operators.scan import running
 from barloom.plans.event_queries import _CROSS, _TOUCHES, SIZE, touch_outcomes
 from barloom.plans.inputs import EVT, LEVELS, bars_evt, table
 from barloom.plans.registry import query
@@ -196,6 +197,12 @@ def thin_hour_runs(spark, sf_dir):
 SELECT series_id, CAST(tile AS INT) AS tile, CAST(max(pos) AS BIGINT) AS pos, round(arg_max(eq, pos), 4) AS equity, round(min(eq), 4) AS lowest FROM q GROUP BY series_id, tile""")
 def thinned_equity(spark, sf_dir):
     """An equity curve cut to forty points a series, as a report reads it."""
-    w = Window.partitionBy("series_id").orderBy("pos")
-    q = bars_evt(spark, sf_dir).select("series_id", "pos", F.sum(F.col("c") - F.col("o")).over(w).alias("eq"), F.ntile(40).over(w).alias("tile"))
+    bars = bars_evt(spark, sf_dir)
+    q = running(bars.select("series_id", "pos", "o", "c"), ["series_id"], {"eq": ("sum", F.col("c") - F.col("o"))})
+    n = bars.groupBy("series_id").agg(F.count("*").alias("n"))
+    # the first n % 40 tiles have one bar more than the others
+    least, more = F.floor(F.col("n") / 40), F.col("n") % 40
+    wide = more * (least + 1)
+    tile = F.when(F.col("pos") < wide, F.floor(F.col("pos") / (least + 1))).otherwise(more + F.floor((F.col("pos") - wide) / F.greatest(least, F.lit(1))))
+    q = q.join(n, "series_id").withColumn("tile", (tile + 1).cast("int"))
     return q.groupBy("series_id", "tile").agg(F.max("pos").alias("pos"), F.round(F.max_by("eq", "pos"), 4).alias("equity"), F.round(F.min("eq"), 4).alias("lowest"))

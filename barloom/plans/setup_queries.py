@@ -67,8 +67,7 @@ def block_breach_race(spark, sf_dir):
     """Closes that move by one block, and which of the blocks beyond and behind comes first, raced on the changes of block alone."""
     bars = bars_evt(spark, sf_dir).withColumn("k", F.floor(F.col("c") / 81.0))
     steps = X.changes(bars, "k", ["series_id"]).select("series_id", F.col("pos").alias("ts"), "k", F.col("step").cast("long").alias("pos"))
-    w = Window.partitionBy("series_id").orderBy("pos")
-    b = steps.withColumns({"kp": F.lag("k").over(w)}).where(F.abs(F.col("k") - F.col("kp")) == 1).withColumn("up", F.col("k") > F.col("kp"))
+    b = core(with_halo(steps, 1, 0).withColumn("kp", F.lag("k").over(ordered()))).where(F.abs(F.col("k") - F.col("kp")) == 1).withColumn("up", F.col("k") > F.col("kp"))
     b = V.dedup(b, ["series_id", "up"], GAP, "ts").withColumn("bi", F.when(F.col("up"), F.col("k")).otherwise(F.col("kp")))
     later = steps.select("series_id", "pos", F.col("k").alias("h"), F.col("k").alias("l"), F.col("ts").alias("c"))
     near = F.col("bc") - F.col("ts") <= 120

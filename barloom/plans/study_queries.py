@@ -7,6 +7,8 @@ from barloom.functions import lattice as L
 from barloom.operators import stats as S
 from barloom.operators.bars import daily
 from barloom.operators.features import changes, fractal_swings
+from barloom.operators.halo import core, ordered, with_halo
+from barloom.operators.resampling import permuted_sums
 from barloom.plans.inputs import EVT, bars_evt, bars_ord
 from barloom.plans.registry import query
 
@@ -248,8 +250,7 @@ def confluence_depth(spark, sf_dir):
     """On how many scales a close lies at a level, and how often price is higher six bars on."""
     c = F.col("c")
     depth = sum((L.on_level(L.block_pct(c, float(s)), 0.5).cast("int") for s in (27, 81, 243, 729)), F.lit(0))
-    w = Window.partitionBy("series_id").orderBy("pos")
-    x = bars_evt(spark, sf_dir).withColumns({"depth": depth, "f": F.lead("c", 6).over(w) - c}).where("f IS NOT NULL")
+    x = core(with_halo(bars_evt(spark, sf_dir), 0, 6).withColumns({"depth": depth, "f": F.lead("c", 6).over(ordered()) - c})).where("f IS NOT NULL")
     return x.groupBy("depth").agg(F.count("*").alias("n"), F.round(F.avg((F.col("f") > 0).cast("double")), 6).alias("up_rate"))
 
 
@@ -286,16 +287,14 @@ _PERM = ", b AS (SELECT date, series_id, pos, c - o AS y, row_number() OVER (PAR
 
 @query(EVT + _PERM + " SELECT round(t, 6) AS spread, round((SELECT avg(spread) FROM sp), 6) AS null_mean, CAST((SELECT count(*) FROM sp WHERE spread >= t) AS BIGINT) AS as_high FROM tr")
 def within_day_permutation(spark, sf_dir):
-    """Spread of the series' mean bodies, against labels permuted within each day (2,000 times)."""
-    w = Window.partitionBy("date").orderBy("series_id", "pos")
-    b = bars_evt(spark, sf_dir).select("date", "series_id", "pos", (F.col("c") - F.col("o")).alias("y")).withColumn("r", F.row_number().over(w))
-    rep = b.select("date", "series_id", "r", F.explode(F.sequence(F.lit(0), F.lit(1999))).alias("rep"))
-    seed = S.lcg(F.col("rep").cast("long") * 7368787 + F.col("date") % 100000 * 104729 + F.col("r") * 15485863 + 1)
-    p = rep.withColumn("to", F.row_number().over(Window.partitionBy("rep", "date").orderBy(seed, "r"))).select("rep", "date", "series_id", F.col("to").alias("r"))
-    m = p.join(b.select("date", "r", "y"), ["date", "r"]).groupBy("rep", "series_id").agg(F.avg("y").alias("m"))
+    """Spread of the series' mean bodies, against labels permuted within each day (2,000 times), in tasks that hold a day each."""
+    b = bars_evt(spark, sf_dir).select("date", "series_id", "pos", (F.col("c") - F.col("o")).alias("y"))
+    m = permuted_sums(b, "date", ["series_id", "pos"], "series_id", "y", 2000).withColumn("m", F.col("s") / F.col("n"))
     spread = m.groupBy("rep").agg((F.max("m") - F.min("m")).alias("spread"))
     true = b.groupBy("series_id").agg(F.avg("y").alias("m")).agg((F.max("m") - F.min("m")).alias("t"))
-    return spread.crossJoin(F.broadcast(true)).groupBy("t").agg(F.avg("spread").alias("null_mean"), F.count_if(F.col("spread") >= F.col("t")).alias("as_high")).select(F.round("t", 6).alias("spread"), F.round("null_mean", 6).alias("null_mean"), "as_high")
+    scored = spread.crossJoin(F.broadcast(true)).groupBy("t")  # one row
+    out = scored.agg(F.avg("spread").alias("null_mean"), F.count_if(F.col("spread") >= F.col("t")).alias("as_high"))
+    return out.select(F.round("t", 6).alias("spread"), F.round("null_mean", 6).alias("null_mean"), "as_high")
 
 
 @query(EVT + ", d AS (SELECT series_id, date, max(h) - min(l) AS rng FROM bars GROUP BY ALL) SELECT series_id, CAST(r AS DOUBLE) AS r, round(avg(CASE WHEN rng <= r THEN 1.0 ELSE 0.0 END), 6) AS contained FROM d, (SELECT unnest([81.0, 243.0, 729.0]) AS r) GROUP BY series_id, r")
