@@ -16,6 +16,24 @@ def level_grid(df: DataFrame, phases: Column | None = None) -> DataFrame:
     return out if phases is None else out.withColumn("phase", F.explode(phases))
 
 
+def touched_cells(df: DataFrame, size: Column, phases: int) -> DataFrame:
+    """df once per level (pct) and phase (0 to 100, of ``phases`` equal steps) that the bar's range touches.
+
+    The lines of a level over all phases stand size / phases apart, so a range lists its own: no cell is made that the
+    range does not come within a billionth of. A range of a block or more touches every phase once.
+    """
+
+    def of_level(p):
+        lo, hi = ((F.col(c) / size - p / 100) * phases for c in ("l", "h"))
+        a, b = F.ceil(lo - 1e-9), F.floor(hi + 1e-9)
+        lines = F.when(a <= b, F.sequence(a, F.least(b, a + phases - 1))).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(lines, lambda j: F.struct(p.alias("pct"), (F.lit(100.0) * F.pmod(j, F.lit(phases)) / phases).alias("phase")))
+
+    cells = df.withColumn("_cell", F.explode(F.flatten(F.transform(L.levels(), of_level)))).select(*df.columns, "_cell.*")
+    shift = size * F.col("phase") / 100
+    return cells.where(F.floor((F.col("h") - shift) / size - F.col("pct") / 100) >= F.ceil((F.col("l") - shift) / size - F.col("pct") / 100))
+
+
 def touched(size: Column, pct: Column) -> Column:
     """The bar's range holds a price of that percentage."""
     return F.floor(F.col("h") / size - pct / 100) >= F.ceil(F.col("l") / size - pct / 100)

@@ -32,15 +32,16 @@ r AS (SELECT *, CASE WHEN c5 < lv THEN lv - fl > fh - lv ELSE fh - lv > lv - fl
 """
 
 
-def touch_outcomes(bars, phases=None):
-    """Kept touches with whether price moved back to the side it came from more than it went on, over M bars."""
-    phases = F.array(F.lit(0.0)) if phases is None else phases
+def touch_outcomes(bars, phases=1):
+    """Kept touches with whether price moved back to the side it came from more than it went on, over M bars.
+
+    phases: how many equal shifts of the lattice are scored, the true one (phase 0) included.
+    """
     lagged = with_halo(bars, 5, M)
     lagged = core(lagged.withColumn("c5", F.lag("c", 5).over(ordered())))
-    df = V.level_grid(X.forward_extremes(lagged, M), phases)
+    df = V.touched_cells(X.forward_extremes(lagged, M), F.lit(R), phases)
     shift = SIZE * F.col("phase") / 100
-    hit = F.floor((F.col("h") - shift) / R - F.col("pct") / 100) >= F.ceil((F.col("l") - shift) / R - F.col("pct") / 100)
-    kept = V.dedup(df.where(hit), ["series_id", "phase", "pct"], GAP)
+    kept = V.dedup(df, ["series_id", "phase", "pct"], GAP)
     lv = L.nearest_level_price(F.col("c") - shift, F.col("pct"), R) + shift
     kept = kept.withColumn("lv", lv).where("fwd_hi IS NOT NULL AND c5 IS NOT NULL AND c5 <> lv")
     up, dn = F.col("fwd_hi") - F.col("lv"), F.col("lv") - F.col("fwd_lo")
@@ -61,7 +62,7 @@ def touch_reaction_phase_null(spark, sf_dir):
     """Phase is a column: one plan scores the true lattice and its shifts."""
     from barloom.operators.stats import score_against_phases
 
-    t = touch_outcomes(bars_evt(spark, sf_dir), F.array(*[F.lit(100.0 * i / 60) for i in range(60)]))
+    t = touch_outcomes(bars_evt(spark, sf_dir), 60)
     return score_against_phases(t.groupBy("phase").agg(F.avg(F.col("reject").cast("double")).alias("rate"), F.count("*").alias("n")))
 
 

@@ -200,3 +200,26 @@ def test_roles_scale_and_files(spark, tmp_path):
     readers.write_cube(spark.createDataFrame([(1, 2.0)], "a int, b double"), str(tmp_path / "j1"))
     readers.write_cube(spark.createDataFrame([(3,)], "a int"), str(tmp_path / "j2"))
     assert readers.merge_cubes(spark, {"x": str(tmp_path / "j1"), "y": str(tmp_path / "j2")}).count() == 2
+
+
+def test_touched_cells_equal_a_test_of_every_cell(spark):
+    import math
+    import random
+
+    from barloom.functions import lattice as L
+    from barloom.operators import events as V
+
+    rng = random.Random(6)
+    rows = []
+    for i in range(150):
+        low = round(rng.uniform(-300, 900), 2) if i % 3 else 2.43 * rng.choice(L.LEVELS) + 4.05 * rng.randrange(60)
+        rows.append((i, low, low + rng.choice([0.0, 0.5, 20.0, 242.0, 600.0])))
+    got = sorted((r.i, r.pct, round(r.phase, 9)) for r in V.touched_cells(spark.createDataFrame(rows, "i int, l double, h double"), F.lit(243.0), 60).collect())
+    want = []
+    for i, low, high in rows:
+        for p in L.LEVELS:
+            for j in range(60):
+                shift = 243.0 * (100.0 * j / 60) / 100
+                if math.floor((high - shift) / 243.0 - p / 100) >= math.ceil((low - shift) / 243.0 - p / 100):
+                    want.append((i, float(p), round(100.0 * j / 60, 9)))
+    assert got == sorted(want)
