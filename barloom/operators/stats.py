@@ -20,6 +20,17 @@ def score_against_phases(rates: DataFrame) -> DataFrame:
     )
 
 
+def cells_against_phases(rates: DataFrame, keys: list[str]) -> DataFrame:
+    """score_against_phases for each key of (keys, phase, rate, n): n, rate, null_mean, null_sd, z, rank."""
+    true, null = F.col("phase") == 0, F.col("phase") != 0
+    base = rates.where(true).select(*keys, F.col("rate").alias("_r0"), F.col("n").alias("_n0"))
+    mean, sd = F.avg(F.when(null, F.col("rate"))), F.stddev_samp(F.when(null, F.col("rate")))
+    return rates.join(base, keys).groupBy(*keys, "_r0", "_n0").agg(
+        F.round(mean, 6).alias("null_mean"), F.round(sd, 6).alias("null_sd"), F.round((F.col("_r0") - mean) / F.nullif(sd, F.lit(0.0)), 4).alias("z"),
+        (F.count_if(null & (F.col("rate") >= F.col("_r0"))) + 1).alias("rank"),
+    ).select(*keys, F.col("_n0").alias("n"), F.round("_r0", 6).alias("rate"), "null_mean", "null_sd", "z", "rank")
+
+
 def binomial_z(hits: Column, n: Column, p: Column) -> Column:
     return (hits - n * p) / F.sqrt(n * p * (1 - p))
 

@@ -6,10 +6,12 @@ from barloom.functions import lattice as L
 from barloom.operators import events as V
 from barloom.operators import features as X
 from barloom.operators import outcomes as O
-from barloom.operators.halo import core, ordered, with_halo
+from barloom.operators.halo import core, frame, ordered, with_halo
 from barloom.operators.scan import running
+from barloom.operators.stats import cells_against_phases
 from barloom.plans.inputs import EVT, LEVELS, bars_evt
 from barloom.plans.registry import query
+from barloom.sources.tables import save
 
 R = SIZE = 243.0
 M, GAP = 12, 12
@@ -66,6 +68,52 @@ def touch_reaction_phase_null(spark, sf_dir):
     return score_against_phases(t.groupBy("phase").agg(F.avg(F.col("reject").cast("double")).alias("rate"), F.count("*").alias("n")))
 
 
+GRID_SIZES, GRID_AHEAD, GRID_PHASES, BACK = [81.0, 243.0, 729.0], [6, 12, 24, 48], 60, 5
+_GRID = LEVELS + f""", ph AS (SELECT 100.0 * i / {GRID_PHASES} AS phase FROM (SELECT unnest(range({GRID_PHASES})) AS i)), rs AS (SELECT unnest({GRID_SIZES}::DOUBLE[]) AS r),
+t AS (SELECT b.series_id, b.pos, v.pct, ph.phase, r FROM bars b, levels v, ph, rs
+  WHERE floor((b.h - r * ph.phase / 100.0) / r - v.pct / 100) >= ceil((b.l - r * ph.phase / 100.0) / r - v.pct / 100)),
+k AS (SELECT series_id, pct, phase, r, min(pos) AS pos FROM t GROUP BY ALL
+  UNION ALL SELECT s.series_id, s.pct, s.phase, s.r, s.pos FROM (
+    SELECT t.*, row_number() OVER (PARTITION BY t.series_id, t.pct, t.phase, t.r ORDER BY t.pos) AS rn FROM k JOIN t
+    ON t.series_id = k.series_id AND t.pct = k.pct AND t.phase = k.phase AND t.r = k.r AND t.pos >= k.pos + {GAP}) s WHERE s.rn = 1),
+x AS (SELECT series_id, pos, c, lag(c, {BACK}) OVER (PARTITION BY series_id ORDER BY pos) AS c5, unnest([{", ".join(
+  f"{{'m': {m}, 'fh': CASE WHEN count(*) OVER f{m} = {m} THEN max(h) OVER f{m} END, 'fl': min(l) OVER f{m}}}" for m in GRID_AHEAD)}]) AS f FROM bars
+  WINDOW {", ".join(f"f{m} AS (PARTITION BY series_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND {m} FOLLOWING)" for m in GRID_AHEAD)}),
+o AS (SELECT k.r, k.pct, k.phase, f.m AS m, f.fh AS fh, f.fl AS fl, x.c5,
+  (round_even((x.c - k.r * k.phase / 100.0) / k.r - k.pct / 100, 0) + k.pct / 100) * k.r + k.r * k.phase / 100.0 AS lv FROM k JOIN x USING (series_id, pos)),
+g AS (SELECT r, m, pct, phase, count(*) AS n, avg(CASE WHEN CASE WHEN c5 < lv THEN lv - fl > fh - lv ELSE fh - lv > lv - fl END THEN 1.0 ELSE 0.0 END) AS rate
+  FROM o WHERE fh IS NOT NULL AND c5 IS NOT NULL AND c5 <> lv GROUP BY ALL)
+SELECT g.r, CAST(g.m AS INT) AS m, CAST(g.pct AS INT) AS level, CAST(b.n AS BIGINT) AS n, round(b.rate, 6) AS rate, round(avg(g.rate) FILTER (g.phase > 0), 6) AS null_mean,
+round(stddev_samp(g.rate) FILTER (g.phase > 0), 6) AS null_sd, round((b.rate - avg(g.rate) FILTER (g.phase > 0)) / nullif(stddev_samp(g.rate) FILTER (g.phase > 0), 0), 4) AS z,
+CAST(count(*) FILTER (g.phase > 0 AND g.rate >= b.rate) + 1 AS BIGINT) AS rank FROM g JOIN g b ON b.r = g.r AND b.m = g.m AND b.pct = g.pct AND b.phase = 0 GROUP BY g.r, g.m, g.pct, b.n, b.rate"""
+
+
+def touch_grid(bars, sizes, ahead, phases):
+    """Rates of rejection by size, horizon, level and phase: touches are found and de-duplicated once a size for all horizons."""
+    df = with_halo(bars, BACK, max(ahead))
+    extremes = [F.struct(F.lit(m).alias("m"), F.when(X.full(m, 1, m), F.max("h").over(frame(1, m))).alias("fh"), F.min("l").over(frame(1, m)).alias("fl")) for m in ahead]
+    df = core(df.withColumns({"c5": F.lag("c", BACK).over(ordered()), "ahead": F.array(*extremes)}))
+    df = save(df.select("series_id", "pos", "h", "l", "c", "c5", "ahead"), "ahead")
+    every = None
+    for r in sizes:
+        one = V.touched_cells(df, F.lit(r), phases).withColumn("r", F.lit(r))
+        every = one if every is None else every.unionByName(one)
+    shift = F.col("r") * F.col("phase") / 100
+    kept = V.dedup(every, ["series_id", "r", "phase", "pct"], GAP).withColumn("lv", L.nearest_level_price(F.col("c") - shift, F.col("pct"), F.col("r")) + shift)
+    kept = kept.where("c5 IS NOT NULL AND c5 <> lv").select("r", "pct", "phase", "c5", "lv", F.explode("ahead").alias("f")).select("*", "f.*").where("fh IS NOT NULL")
+    up, dn = F.col("fh") - F.col("lv"), F.col("lv") - F.col("fl")
+    reject = F.when(F.col("c5") < F.col("lv"), dn > up).otherwise(up > dn)
+    return kept.groupBy("r", "m", "pct", "phase").agg(F.avg(reject.cast("double")).alias("rate"), F.count("*").alias("n"))
+
+
+@query(EVT + ", " + _GRID)
+def level_reaction_grid(spark, sf_dir):
+    """Rejection of each level by block size and horizon, against 59 shifts of the lattice."""
+    g = touch_grid(bars_evt(spark, sf_dir), GRID_SIZES, GRID_AHEAD, GRID_PHASES)
+    out = cells_against_phases(save(g, "touch_grid"), ["r", "m", "pct"])
+    return out.withColumn("level", F.col("pct").cast("int")).drop("pct")
+
+
 _CROSS = """, x AS (SELECT *, CAST(floor(c / 243) AS BIGINT) AS bn, CAST(floor(lag(c) OVER w / 243) AS BIGINT) AS was FROM bars WINDOW w AS (PARTITION BY series_id ORDER BY pos)),
 e AS (SELECT series_id, pos, bn > was AS up, CASE WHEN bn > was THEN bn ELSE bn + 1 END * 243.0 AS lv FROM x WHERE was IS NOT NULL AND bn <> was)"""
 
