@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "touch_reaction"
-MODULES = ("bar_queries", "feature_queries", "event_queries", "study_queries", "clock_queries", "stream_queries", "control_queries", "relation_queries", "setup_queries", "plan_queries", "grid_queries", "search_queries", "resampling_queries", "clustering_queries", "regime_queries")
+MODULES = ("bar_queries", "feature_queries", "event_queries", "study_queries", "clock_queries", "stream_queries", "control_queries", "relation_queries", "setup_queries", "plan_queries", "grid_queries", "search_queries", "resampling_queries", "clustering_queries", "regime_queries", "source_queries")
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}

@@ -106,8 +106,8 @@ def absolute_levels(spark, sf_dir):
 @query("SELECT CASE WHEN median(abs(l_extendedprice * 1000)) > 1e6 THEN 1e9 ELSE 1.0 END AS scale, CASE WHEN median(abs(l_extendedprice)) > 1e6 THEN 1e9 ELSE 1.0 END AS plain FROM lineitem")
 def price_scale(spark, sf_dir):
     """Whether prices are fixed-point numbers, by their median."""
-    li = table(spark, sf_dir, "lineitem").select((F.col("l_extendedprice") * 1000).cast("double").alias("raw"), F.col("l_extendedprice").cast("double").alias("px"))
-    return spark.createDataFrame([(float(readers.price_scale(li, "raw")), float(readers.price_scale(li, "px")))], "scale double, plain double")
+    px = F.col("l_extendedprice").cast("double")
+    return table(spark, sf_dir, "lineitem").agg(readers.scale_of(px * 1000).alias("scale"), readers.scale_of(px).alias("plain"))
 
 
 _LUT = """WITH RECURSIVE m AS (SELECT unnest(range(0, 1440)) AS mod), r AS (SELECT mod, 0 AS m, mod % 60 AS v, true AS pri FROM m UNION ALL SELECT mod, 1, mod // 60 + mod % 60, false FROM m UNION ALL SELECT mod, 2, abs(mod // 60 - mod % 60), false FROM m),

@@ -48,12 +48,16 @@ def text_delimiter(spark: SparkSession, path: str) -> str:
     return max(",;\t|", key=lambda d: (probe.count(d), -",;\t|".index(d)))
 
 
+def scale_of(close: Column) -> Column:
+    """price_scale as an aggregate: 1e9 if the median size shows fixed-point integers, else 1."""
+    return F.when(F.percentile(F.abs(close.cast("double")), 0.5) > FIXED_POINT_FROM, FIXED_POINT).otherwise(1.0)
+
+
 def price_scale(df: DataFrame, close: str, override: float | None = None) -> float:
     """1e9 if the median size of close shows fixed-point integers, else 1."""
     if override:
         return override
-    middle = df.agg(F.percentile(F.abs(F.col(close).cast("double")), 0.5)).first()[0]
-    return FIXED_POINT if middle is not None and middle > FIXED_POINT_FROM else 1.0
+    return df.agg(scale_of(F.col(close))).first()[0]
 
 
 def read_vendor_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -63,6 +67,24 @@ def read_vendor_csv(spark: SparkSession, path: str) -> DataFrame:
     return first_of_equal(df, ["ts"], ["_file", "_line"]).drop("_file", "_line")
 
 
+def write_vendor_tree(bars: DataFrame, path: str, series: str = "series_id") -> None:
+    """Bars (series, ts, o, h, l, c, v) as semicolon files without header, a folder for each series and day."""
+    stamp = F.date_format("ts", "yyyyMMdd HHmmss")
+    line = F.concat_ws(";", stamp, *[F.col(c).cast("double").cast("string") for c in "ohlcv"])
+    bars.select(F.col(series).alias("series"), F.to_date("ts").alias("day"), line.alias("line")).write.partitionBy("series", "day").text(path)
+
+
+def read_vendor_tree(spark: SparkSession, path: str) -> DataFrame:
+    """The files of write_vendor_tree: series, day, ts, o, h, l, c, v; of equal stamps the first row of the first file stays.
+
+    A filter on series or day reads those folders only.
+    """
+    df = spark.read.schema(VENDOR_SCHEMA + ", series string, day date").csv(path, sep=";")
+    df = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+    df = df.withColumn("ts", F.to_timestamp("ts", "yyyyMMdd HHmmss"))
+    return first_of_equal(df, ["series", "day", "ts"], ["_file", "_block", "_line"]).drop("_file", "_block", "_line")
+
+
 def first_of_equal(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per keys: the first in order."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -19,8 +19,12 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or LOCAL_DIR).rstrip("/")
 
 
+def new_path(spark: SparkSession, tag: str) -> str:
+    return f"{shared_dir(spark)}/barloom/{tag}-{uuid.uuid4().hex}"
+
+
 def save(df: DataFrame, tag: str) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/barloom/{tag}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -29,7 +33,7 @@ def cached(spark: SparkSession, name: str, source: str, make: Callable[[], DataF
     """The artifact ``name`` of an input folder: made once per application, read from the shared folder after that."""
     key = (spark.sparkContext.applicationId, name, source)
     if key not in _KEPT:
-        path = f"{shared_dir(spark)}/barloom/{name}-{uuid.uuid4().hex}"
+        path = new_path(spark, name)
         make().write.option("compression", "zstd").parquet(path)
         _KEPT[key] = path
     return spark.read.parquet(_KEPT[key])
