@@ -7,6 +7,7 @@ from barloom.functions import lattice as L
 from barloom.operators import features as X
 from barloom.operators.bars import daily
 from barloom.operators.halo import core, frame, ordered, with_halo
+from barloom.operators.outcomes import future
 from barloom.operators.scan import running
 from barloom.plans.inputs import EVT, LEVELS, ORD, bars_evt, bars_ord
 from barloom.plans.registry import query
@@ -171,8 +172,6 @@ k AS (SELECT u.series_id, u.pos, u.lo, u.hi, min(b.pos) AS killed FROM u LEFT JO
 SELECT b.series_id, b.pos FROM bars b WHERE EXISTS (SELECT 1 FROM k WHERE k.series_id = b.series_id AND b.pos > k.pos AND b.pos <= least(k.pos + 80, coalesce(k.killed, k.pos + 80)) AND b.c >= k.lo AND b.c <= k.hi)""")
 def inside_unfilled_gap(spark, sf_dir):
     """Bars that close inside an upward gap which is still open: at most 80 bars old and not traded through."""
-    from barloom.operators.outcomes import future
-
     bars = bars_ord(spark, sf_dir)
     gaps = X.fair_value_gaps(bars).where("gap_up").select("series_id", "pos", F.col("edge_lo").alias("lo"), F.col("edge_hi").alias("hi"))
     rows = future(gaps, bars, 80)
@@ -181,6 +180,32 @@ def inside_unfilled_gap(spark, sf_dir):
     return live.select("series_id", (F.col("pos") + F.col("w")).alias("pos")).distinct()
 
 
+HIGHER, LIVES = 2, 80
+_GAPS = f"""{EVT}, hc AS (SELECT series_id, pos // {HIGHER} AS k, max(h) AS h, min(l) AS l FROM bars GROUP BY ALL),
+g0 AS (SELECT *, lag(h, 2) OVER w AS h2, lag(l, 2) OVER w AS l2 FROM hc WINDOW w AS (PARTITION BY series_id ORDER BY k)),
+gp AS (SELECT series_id, k, 'up' AS side, h2 AS lo, l AS hi FROM g0 WHERE l > h2 UNION ALL SELECT series_id, k, 'dn', h, l2 FROM g0 WHERE h < l2),
+kl AS (SELECT gp.series_id, gp.k, side, lo, hi, min(x.k - gp.k) AS killed FROM gp LEFT JOIN hc x ON x.series_id = gp.series_id AND x.k > gp.k AND x.k <= gp.k + {LIVES}
+  AND CASE WHEN side = 'up' THEN x.l <= lo ELSE x.h >= hi END GROUP BY ALL),
+bx AS (SELECT DISTINCT b.series_id, b.pos, side FROM kl JOIN bars b ON b.series_id = kl.series_id AND b.pos // {HIGHER} > k AND b.pos // {HIGHER} <= k + coalesce(killed, {LIVES}) AND c BETWEEN lo AND hi)
+SELECT series_id, pos, bool_or(side = 'up') AS in_up, bool_or(side = 'dn') AS in_dn FROM bx GROUP BY ALL"""
+
+
+@query(_GAPS)
+def inside_higher_gaps(spark, sf_dir):
+    """Bars that close inside a gap of the higher time frame, upward or downward, that is 80 candles old at most and not traversed."""
+    bars = bars_evt(spark, sf_dir).withColumn("k", F.floor(F.col("pos") / HIGHER))
+    candles = bars.groupBy("series_id", F.col("k").alias("pos")).agg(F.max("h").alias("h"), F.min("l").alias("l"), F.max_by("c", "pos").alias("c"))
+    gaps = X.fair_value_gaps(candles).where("gap_up OR gap_dn")
+    gaps = gaps.select("series_id", "pos", F.when(F.col("gap_up"), "up").otherwise("dn").alias("side"), F.col("edge_lo").alias("lo"), F.col("edge_hi").alias("hi"))
+    rows = future(gaps, candles, LIVES).where("w IS NOT NULL")
+    through = F.when(F.col("side") == "up", F.col("bl") <= F.col("lo")).otherwise(F.col("bh") >= F.col("hi"))
+    last = rows.groupBy("series_id", "pos", "side").agg(F.min(F.when(through, F.col("w"))).alias("killed"))
+    live = rows.join(last, ["series_id", "pos", "side"]).where(F.col("w") <= F.coalesce("killed", F.lit(LIVES)))
+    live = live.select("series_id", (F.col("pos") + F.col("w")).alias("k"), "side", "lo", "hi")
+    inside = live.join(bars.select("series_id", "k", "pos", "c"), ["series_id", "k"]).where("c BETWEEN lo AND hi")
+    return inside.groupBy("series_id", "pos").agg(F.bool_or(F.col("side") == "up").alias("in_up"), F.bool_or(F.col("side") == "dn").alias("in_dn"))
+
+
 @query(EVT + f"""SELECT series_id, min(pos) AS first_pos, max(pos) AS last_pos, CAST(count(*) AS BIGINT) AS n FROM (SELECT series_id, pos, rn - row_number() OVER (PARTITION BY series_id ORDER BY pos) AS run
 FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY pos) AS rn FROM bars) WHERE {_PCT} < 23 OR {_PCT} >= 77) GROUP BY series_id, run""")
 def episodes(spark, sf_dir):

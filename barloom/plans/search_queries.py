@@ -311,7 +311,7 @@ ce AS (SELECT r, ph, cut, stop, target, setup, count(*) AS n, avg(CASE WHEN pnl
   FROM fl GROUP BY ALL HAVING count(*) >= {FEW}),
 sh AS (SELECT r, cut, stop, target, setup, avg(net) AS shifted FROM ce WHERE ph > 0 GROUP BY ALL),
 tl AS (SELECT *, min(net) OVER (PARTITION BY r, cut, stop, target, split_part(setup, '_', 1)) > 0 AND count(*) OVER (PARTITION BY r, cut, stop, target, split_part(setup, '_', 1)) = 2 AS mirrored FROM ce WHERE ph = 0)
-SELECT tl.r, cut, stop, target, setup, CAST(n AS BIGINT) AS n, round(win, 6) AS win, round(net, 5) AS net, round(disc, 5) AS disc, round(vali, 5) AS val, round(shifted, 5) AS shifted, round(net - shifted, 5) AS diff, mirrored
+SELECT tl.r, cut, stop, target, setup, CAST(n AS BIGINT) AS n, round(win, 6) AS win, round(net, 8) AS net, round(disc, 8) AS disc, round(vali, 8) AS val, round(shifted, 8) AS shifted, round(net - shifted, 8) AS diff, mirrored
 FROM tl LEFT JOIN sh USING (r, cut, stop, target, setup)"""
 
 
@@ -342,8 +342,8 @@ def stacked_filters(spark, sf_dir):
     both = Window.partitionBy(*same, F.substring_index("setup", "_", 1))  # two rows at most
     true = cells.where("phase = 0").withColumn("mirrored", (F.min("net").over(both) > 0) & (F.count("*").over(both) == 2))
     out = true.join(shifted, [*same, "setup"], "left")
-    rounded = {x: F.round(x, 5) for x in ("net", "disc", "shifted")}
+    rounded = {x: F.round(x, 8) for x in ("net", "disc", "shifted")}
     return out.select(
         "r", name_of(F.col("mask"), FILTERS).alias("cut"), "stop", "target", "setup", "n", F.round("win", 6).alias("win"), *[x.alias(c) for c, x in rounded.items()],
-        F.round("vali", 5).alias("val"), F.round(F.col("net") - F.col("shifted"), 5).alias("diff"), "mirrored",
+        F.round("vali", 8).alias("val"), F.round(F.col("net") - F.col("shifted"), 8).alias("diff"), "mirrored",
     )
