@@ -80,3 +80,31 @@ def stream_sessions(spark, sf_dir):
     return out.where("event_type <> 'end'").groupBy("event_type").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
 
 
+@query("""WITH w AS (SELECT event_type, value, date_trunc('hour', ts) - to_hours(k) AS start FROM events, (SELECT unnest([0, 1, 2]) AS k))
+SELECT event_type, strftime(start, '%Y-%m-%d %H') AS hour, CAST(count(*) AS BIGINT) AS n, max(value) AS h, min(value) AS l FROM w GROUP BY ALL""")
+def stream_sliding(spark, sf_dir):
+    """Windows of three hours, one an hour, over a stream."""
+    ev = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+
+    def end(t):
+        last = [F.lit(-1).cast("long").alias("event_id"), F.lit("2100-01-01 00:00:00").cast("timestamp").alias("ts"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value")]
+        return t.limit(1).select(*last)
+
+    out = replay(ev, "event_id", lambda s: P.sliding_bars(s, "ts", "value", ["event_type"], "3 hours", "1 hour", "60 days"), finish=end)
+    return out.where("event_type <> 'end'").select("event_type", F.date_format("start_ts", "yyyy-MM-dd HH").alias("hour"), "n", "h", "l")
+
+
+LATE_SECONDS, SLICES = 86400, 3
+
+
+@query(f"""WITH d AS (SELECT event_type, event_id * 7919 % 10007 AS arrival, ts FROM events), c AS (SELECT {", ".join(f"quantile_cont(CAST(arrival AS DOUBLE), {i / SLICES!r}) AS c{i}" for i in range(1, SLICES))} FROM d),
+s AS (SELECT event_type, epoch(ts) AS at_, CASE WHEN arrival <= c1 THEN 1 WHEN arrival <= c2 THEN 2 ELSE 3 END AS k FROM d, c),
+m AS (SELECT event_type, k, max(at_) AS newest FROM s GROUP BY ALL),
+b AS (SELECT s.event_type, s.at_, (SELECT max(newest) FROM m WHERE m.event_type = s.event_type AND m.k < s.k) AS before FROM s)
+SELECT event_type, CAST(count(*) FILTER (before IS NULL OR at_ >= before - {LATE_SECONDS}) AS BIGINT) AS in_time, CAST(count(*) FILTER (at_ < before - {LATE_SECONDS}) AS BIGINT) AS late,
+round(coalesce(max(before - {LATE_SECONDS} - at_) FILTER (at_ < before - {LATE_SECONDS}), 0), 3) AS most_behind FROM b GROUP BY event_type""")
+def stream_late_rows(spark, sf_dir):
+    """Events that arrive out of order: how many come a day or more after a later one of their type, counted instead of dropped."""
+    ev = table(spark, sf_dir, "events").select((F.col("event_id") * 7919 % 10007).alias("arrival"), F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    out = replay(ev, "arrival", lambda s: P.counted_late(s, "ts", ["event_type"], LATE_SECONDS), parts=SLICES)
+    return out.groupBy("event_type").agg(F.sum("in_time").alias("in_time"), F.sum("late").alias("late"), F.round(F.max("most_behind"), 3).alias("most_behind"))

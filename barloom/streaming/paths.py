@@ -167,3 +167,32 @@ def activity_sessions(ticks: DataFrame, ts: str, keys: list[str], gap: str = "2
     """Session windows of a stream: runs of rows with no gap of ``gap``."""
     t = ticks.withWatermark(ts, late)
     return t.groupBy(F.session_window(ts, gap).alias("w"), *keys).agg(F.count("*").alias("n")).select(*keys, F.col("w.start").alias("first_ts"), F.col("w.end").alias("end_ts"), "n")
+
+
+def sliding_bars(ticks: DataFrame, ts: str, value: str, keys: list[str], width: str, slide: str, late: str) -> DataFrame:
+    """Counts, highs and lows of a stream in overlapping windows; a window is given once the watermark has passed its end."""
+    t = ticks.withWatermark(ts, late).groupBy(F.window(ts, width, slide).alias("w"), *keys)
+    return t.agg(F.count("*").alias("n"), F.max(value).alias("h"), F.min(value).alias("l")).select(*keys, F.col("w.start").alias("start_ts"), "n", "h", "l")
+
+
+def counted_late(ticks: DataFrame, ts: str, keys: list[str], late_seconds: int) -> DataFrame:
+    """Per key and micro-batch: rows in time, rows too late, and by how many seconds the latest of them was.
+
+    A row is too late if its key had a row more than late_seconds after it in an earlier batch: what a watermark of the
+    same delay would drop is counted in a row of its own. The state is one number a key.
+    """
+    kinds = ", ".join(f"{k} {ticks.schema[k].dataType.simpleString()}" for k in keys)
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState):
+        before = state.get[0] if state.exists else None
+        newest, n, late, worst = before, 0, 0, 0.0
+        for f in frames:
+            at = (f[ts] - pd.Timestamp(0)).dt.total_seconds()
+            behind = before - late_seconds - at if before is not None else at * 0 - 1
+            n, late, worst = n + int((behind <= 0).sum()), late + int((behind > 0).sum()), max(worst, float(behind.max()))
+            newest = float(at.max()) if newest is None else max(newest, float(at.max()))
+        state.update((newest,))
+        yield pd.DataFrame([(*key, n, late, worst)], columns=[*keys, "in_time", "late", "most_behind"])
+
+    few = ticks.select(*keys, ts)
+    return few.groupBy(*keys).applyInPandasWithState(step, f"{kinds}, in_time long, late long, most_behind double", "newest double", "append", GroupStateTimeout.NoTimeout)
