@@ -50,7 +50,7 @@ class Encoder:
         # the tokenizer lower-cases, and splits words from marks, if a few words come out alike both ways
         self.lowers = all(self._plain(x) == self._plain(x.lower()) for x in ("THE", "Zq", "A"))
         self.splits = all(self._plain(w + t) == self._plain(w) + self._plain(t) for w in ("the", "zqx", "\u00e9t\u00e9") for t in (".", ",", "?!", "..."))
-        self.special = sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
+        self.special = sorted({t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.young: dict[str, bytes] = {}  # ids of chunks, in two generations: what is not asked for again goes
         self.old: dict[str, bytes] = {}
 
@@ -102,13 +102,15 @@ class Encoder:
     def _chunks(self, texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """(each, at, offsets): ids of the distinct chunks, a chunk's place in ``each``, the chunks of a text."""
         low = lowered(texts) if self.lowers else None
+        letters = low.buffers()[2] if low is not None else None
+        raw = letters.to_pybytes() if letters is not None else b""
         # special strings are found as they are written: where there may be one, letters stay as they are
-        if low is None or any(pc.any(pc.match_substring(low, x)).as_py() for x in self.special):
+        if low is None or any(x in raw for x in self.special):
             low = pc.fill_null(texts.cast(pa.large_string()), "")
         split = pc.ascii_split_whitespace(low)
         words, offsets = split.flatten(), split.offsets.to_numpy()
         coded = words.dictionary_encode()
-        return self._ids(coded.dictionary.to_pylist()), coded.indices.to_numpy(zero_copy_only=False), offsets - offsets[0]
+        return self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), coded.indices.to_numpy(zero_copy_only=False), offsets - offsets[0]
 
     def lengths(self, texts: pa.Array) -> np.ndarray:
         """The number of tokens of each text; null texts count as empty."""
