@@ -24,6 +24,11 @@ def block_pct(price: Column, size: Column, phase: Column | None = None) -> Colum
     return (x - size * F.floor(x / size)) / size * 100
 
 
+def block_bin(price: Column, size: Column, bins: int) -> Column:
+    """Which of ``bins`` equal parts of the block holds the price; not by way of percent, which rounds across an edge."""
+    return F.floor((price - size * F.floor(price / size)) / size * bins)
+
+
 def circular(a: Column, b: Column) -> Column:
     d = F.abs(a - b)
     return F.least(d, 100 - d)

@@ -33,7 +33,7 @@ _PX = SWINGS + ", px AS (SELECT h AS px FROM swings WHERE hi UNION ALL SELECT l
 
 
 def bin_of(px, size):
-    return F.floor((px - size * F.floor(px / size)) / size * BINS)
+    return L.block_bin(px, size, BINS)
 
 
 def level_mask(spark, half):
@@ -226,7 +226,7 @@ ep AS (SELECT *, sum(CASE WHEN was = band THEN 0 ELSE 1 END) OVER (PARTITION BY
 
 def banded_days(bars):
     """Overnight returns with the quarter of the block where the day before closed, and runs of days in one quarter."""
-    d = rth_days(bars).where("pc IS NOT NULL").withColumns({"r": F.col("fc") - F.col("pc"), "band": F.floor(L.block_pct(F.col("pc"), F.lit(SIZE)) / 100 * 4)})
+    d = rth_days(bars).where("pc IS NOT NULL").withColumns({"r": F.col("fc") - F.col("pc"), "band": L.block_bin(F.col("pc"), F.lit(SIZE), 4)})
     w = Window.partitionBy("series_id").orderBy("date")
     return d.withColumn("new", F.when(F.lag("band").over(w) == F.col("band"), 0).otherwise(1)).withColumn("ep", F.sum("new").over(w))
 

@@ -194,7 +194,7 @@ sw AS (SELECT CAST(floor((h - 243 * floor(h / 243)) / 243 * 600) AS BIGINT) AS b
 
 
 def position_histogram(df, column="h", bins=600):
-    return df.groupBy(F.floor(L.block_pct(F.col(column), SIZE) / 100 * bins).alias("bin")).agg(F.count("*").alias("cnt"))
+    return df.groupBy(L.block_bin(F.col(column), F.lit(SIZE), bins).alias("bin")).agg(F.count("*").alias("cnt"))
 
 
 @query(EVT + _SW + " SELECT bin, CAST(cnt AS BIGINT) AS cnt FROM sw")

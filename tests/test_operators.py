@@ -223,3 +223,11 @@ def test_touched_cells_equal_a_test_of_every_cell(spark):
                 if math.floor((high - shift) / 243.0 - p / 100) >= math.ceil((low - shift) / 243.0 - p / 100):
                     want.append((i, float(p), round(100.0 * j / 60, 9)))
     assert got == sorted(want)
+
+
+def test_prices_on_an_edge_of_a_bin_count_in_the_bin_above(spark):
+    from barloom.plans.study_queries import position_histogram
+
+    px = [20.25, 28.35, 40.5, 56.7, 81.0, 162.0, 263.25]  # by way of percent each falls a bin lower
+    got = position_histogram(spark.createDataFrame([(x,) for x in px], "h double")).collect()
+    assert {r.bin: r.cnt for r in got} == {50: 2, 70: 1, 100: 1, 140: 1, 200: 1, 400: 1}
