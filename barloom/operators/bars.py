@@ -22,15 +22,15 @@ def merge_bars(parts: DataFrame, keys: list, order: str) -> DataFrame:
     return parts.groupBy(*keys).agg(F.min_by("o", order).alias("o"), F.max("h").alias("h"), F.min("l").alias("l"), F.max_by("c", order).alias("c"), F.sum("v").cast("long").alias("v"))
 
 
-def with_positions(df: DataFrame, series: str = "series_id", ts: str = "ts") -> DataFrame:
-    """Adds pos: 0, 1, ... within each series by ts, without gathering a series in one task.
+def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds 0, 1, ... in the order of columns to rows, without gathering them in one task.
 
-    Rows are dealt by range of (series, ts); a task numbers its rows, and the series' first number is taken off. The
-    driver sees one count per task. The dealt table must be read again unchanged, so it is written first.
+    Rows are dealt by range and a task numbers its own; equal rows of ``order`` share a task. The driver sees one count
+    per task. The dealt table must be read again unchanged, so it is written first.
     """
     from barloom.sources.tables import save
 
-    dealt = save(df.repartitionByRange(series, ts).sortWithinPartitions(series, ts).withColumn("_at", F.monotonically_increasing_id()), "positions")
+    dealt = save(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "positions")
     tasks = dealt.groupBy(F.shiftright("_at", 33).alias("_task")).agg(F.count("*").alias("n")).orderBy("_task").collect()
     base, before = [], 0
     for r in tasks:
@@ -38,9 +38,14 @@ def with_positions(df: DataFrame, series: str = "series_id", ts: str = "ts") ->
         before += r["n"]
     bases = df.sparkSession.createDataFrame(base, "_task long, _base long")
     n = F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    numbered = dealt.withColumn("_task", F.shiftright("_at", 33)).join(F.broadcast(bases), "_task").withColumn("_n", n)
+    return dealt.withColumn("_task", F.shiftright("_at", 33)).join(F.broadcast(bases), "_task").withColumn(name, n).drop("_at", "_task", "_base")
+
+
+def with_positions(df: DataFrame, series: str = "series_id", ts: str = "ts") -> DataFrame:
+    """Adds pos: 0, 1, ... within each series by ts: all rows are numbered, and the series' first number is taken off."""
+    numbered = ranked(df, [series, ts], "_n")
     first = numbered.groupBy(series).agg(F.min("_n").alias("_first"))
-    return numbered.join(first, series).withColumn("pos", F.col("_n") - F.col("_first")).drop("_at", "_task", "_base", "_n", "_first")
+    return numbered.join(first, series).withColumn("pos", F.col("_n") - F.col("_first")).drop("_n", "_first")
 
 
 def gap_blocks(bars: DataFrame, seconds: int, series: str = "series_id", ts: str = "ts", order: str = "pos") -> DataFrame:

@@ -11,7 +11,7 @@ from barloom.operators import events as V
 from barloom.operators import features as X
 from barloom.operators import outcomes as O
 from barloom.operators import stats as S
-from barloom.operators.bars import daily
+from barloom.operators.bars import daily, ranked
 from barloom.operators.halo import core, ordered, with_halo
 from barloom.plans.event_queries import _CROSS, SIZE
 from barloom.plans.inputs import EVT, LEVELS, bars_evt
@@ -117,7 +117,7 @@ def level_set_null(spark, sf_dir):
     )
 
 
-@query(EVT + _PX + ", " + _MASK.replace("HALF", "3") + ", pp AS (SELECT h AS px, pos * 31 + ascii(series_id) * 7919 + 1 AS i FROM swings WHERE hi UNION ALL SELECT l, pos * 31 + ascii(series_id) * 7919 FROM swings WHERE lo), fr AS (SELECT unnest([0.0, 0.05, 0.1, 0.2]) AS f), "
+@query(EVT + _PX + ", " + _MASK.replace("HALF", "3") + ", pp AS (SELECT px, row_number() OVER (ORDER BY px) AS i FROM px), fr AS (SELECT unnest([0.0, 0.05, 0.1, 0.2]) AS f), "
 + f"sn AS (SELECT f, CASE WHEN {lcg('i * 48271 + 11')} % 10000 < f * 10000 THEN (round_even(px / 243 - 0.5, 0) + 0.5) * 243 + 0.1 ELSE px END AS px FROM pp, fr), "
 + "hb AS (SELECT f, " + _BIN.replace("SZ", "243") + """ AS bin, count(*) AS n FROM sn GROUP BY ALL), sh AS (SELECT j, (bin + j * 30) % 600 AS bin FROM mk, (SELECT unnest(range(0, 20)) AS j)),
 rt AS (SELECT f, j, sum(n) / (SELECT CAST(count(*) AS DOUBLE) FROM px) AS x FROM hb JOIN sh USING (bin) GROUP BY ALL)
@@ -125,8 +125,8 @@ SELECT CAST(f AS DOUBLE) AS f, round(max(x) FILTER (j = 0), 6) AS rate, round((m
 def injected_power(spark, sf_dir):
     """How the score of the swings grows when a share of them is moved onto the nearest middle of a block."""
     px = swing_prices(bars_evt(spark, sf_dir))
-    own = F.col("pos") * 31 + F.ascii("series_id") * 7919 + F.col("hi").cast("int")  # a draw for each price
-    px = px.withColumn("i", own).withColumn("f", F.explode(F.array(*[F.lit(x) for x in (0.0, 0.05, 0.1, 0.2)])))
+    # a draw for each price by its rank; which of equal prices has which rank changes nothing
+    px = ranked(px, ["px", "series_id", "pos", "hi"], "rank").withColumn("i", F.col("rank") + 1).withColumn("f", F.explode(F.array(*[F.lit(x) for x in (0.0, 0.05, 0.1, 0.2)])))
     n = px.where("f = 0").agg(F.count("*").cast("double").alias("all"))
     u = S.lcg(F.col("i").cast("long") * 48271 + 11) % 10000
     moved = F.when(u < F.col("f") * 10000, L.snap(F.col("px"), F.lit(50.0), F.lit(243.0), F.lit(0.0), 1.0) + 0.1).otherwise(F.col("px"))

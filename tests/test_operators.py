@@ -231,3 +231,19 @@ def test_prices_on_an_edge_of_a_bin_count_in_the_bin_above(spark):
     px = [20.25, 28.35, 40.5, 56.7, 81.0, 162.0, 263.25]  # by way of percent each falls a bin lower
     got = position_histogram(spark.createDataFrame([(x,) for x in px], "h double")).collect()
     assert {r.bin: r.cnt for r in got} == {50: 2, 70: 1, 100: 1, 140: 1, 200: 1, 400: 1}
+
+
+def test_ranks_of_prices_run_over_tasks(spark):
+    from barloom.operators.bars import ranked
+
+    px = [(float(i * 7 % 50), i) for i in range(200)]
+    got = ranked(spark.createDataFrame(px, "px double, i int").repartition(3), ["px", "i"], "rank").collect()
+    assert [(r.px, r.i) for r in sorted(got, key=lambda r: r["rank"])] == sorted(px)
+    assert sorted(r["rank"] for r in got) == list(range(200))
+
+
+def test_injected_prices_are_drawn_by_rank():
+    from barloom.plans import registry
+
+    sql = registry.oracle_sql()["injected_power"]
+    assert "row_number() OVER (ORDER BY px) AS i FROM px" in sql and "ascii" not in sql
