@@ -49,8 +49,16 @@ def text_delimiter(spark: SparkSession, path: str) -> str:
 
 
 def scale_of(close: Column) -> Column:
-    """price_scale as an aggregate: 1e9 if the median size shows fixed-point integers, else 1."""
-    return F.when(F.percentile(F.abs(close.cast("double")), 0.5) > FIXED_POINT_FROM, FIXED_POINT).otherwise(1.0)
+    """price_scale as an aggregate: 1e9 if the median size shows fixed-point integers, else 1.
+
+    How many sizes are beyond the limit tells on which side of it the median lies; if that is just half of them, the
+    median is midway between the nearest sizes on both sides. So a task holds two counts and two numbers, not the sizes.
+    """
+    size = F.abs(close.cast("double"))
+    n, over = F.count(size), F.count_if(size > FIXED_POINT_FROM)
+    below, above = F.max(F.when(size <= FIXED_POINT_FROM, size)), F.min(F.when(size > FIXED_POINT_FROM, size))
+    beyond = (2 * over > n) | ((2 * over == n) & (below + (above - below) * 0.5 > FIXED_POINT_FROM))
+    return F.when(beyond, FIXED_POINT).otherwise(1.0)
 
 
 def price_scale(df: DataFrame, close: str, override: float | None = None) -> float:

@@ -247,3 +247,18 @@ def test_injected_prices_are_drawn_by_rank():
 
     sql = registry.oracle_sql()["injected_power"]
     assert "row_number() OVER (ORDER BY px) AS i FROM px" in sql and "ascii" not in sql
+
+
+def test_price_scale_holds_no_prices(spark):
+    import random
+    import statistics
+
+    rng = random.Random(4)
+    tables = [[], [None], [1e6], [1e6 + 1, None], [999_999.0, 1_000_001.0], [-999_999.0, 1_000_003.0], [1e6, 1e6, 2e6], [1.0, float("inf")]]
+    tables += [[rng.choice([-1, 1]) * rng.choice([999_998.5, 1e6, 1_000_001.0, 1_000_003.0]) for _ in range(rng.randrange(1, 9))] for _ in range(30)]
+    rows = [(i, x) for i, t in enumerate(tables) for x in t or [None]]
+    out = spark.createDataFrame(rows, "i int, x double").groupBy("i").agg(readers.scale_of(F.col("x")).alias("s"))
+    got = {r.i: r.s for r in out.collect()}
+    sizes = [[abs(x) for x in t if x is not None] for t in tables]
+    assert got == {i: 1e9 if t and statistics.median(t) > 1e6 else 1.0 for i, t in enumerate(sizes)}
+    assert "percentile" not in out._jdf.queryExecution().toString()
