@@ -22,7 +22,7 @@ from barloom.llm.shared import NOT_ALNUM, free_names, numbered, save, small_batc
 from barloom.llm.tokens import regrouped
 
 BUCKETS, PERCENT, LEAST_WORDS, SEED = 10_000, 25, 20, 7
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20  # of text that a task splits at once: what it holds for that goes with it
 
 
 def features(texts: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

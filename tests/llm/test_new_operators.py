@@ -191,3 +191,28 @@ def test_features_of_slices_equal_those_of_whole_arrays():
         for of, bucket in ((1, 2), (3, 4)):
             inside = (whole[of] >= first) & (whole[of] < first + n)
             assert part[of].tolist() == (whole[of][inside] - first).tolist() and part[bucket].tolist() == whole[bucket][inside].tolist()
+
+
+# --- memory of a task ------------------------------------------------------------------------------------------------
+
+
+def peak_mb(run, size: int) -> float:
+    """Most MB that run() holds at once over 10 MB of text in batches of 500 rows, dealt anew into slices of ``size``."""
+    import tracemalloc
+
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(1 << 16):x}" for _ in range(40_000)]
+    texts = [" ".join(rng.choices(words, k=700)) for _ in range(2500)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 500])], ["text"]) for i in range(0, 2500, 500)]
+    for b in batches:  # what is kept for good is not counted
+        run(b.column("text"))
+    tracemalloc.start()
+    for part in tokens.regrouped(batches, "text", size):
+        run(part.column("text"))
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return most
+
+
+def test_a_slice_of_text_takes_little_memory_to_weigh():
+    assert peak_mb(resample.features, resample.BATCH_BYTES) < 50
