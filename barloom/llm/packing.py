@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.shared import drop, save, small_batches
-from barloom.llm.tokens import SLICE_BYTES, encoder, regrouped
+from barloom.llm.tokens import encoder, regrouped
 
+SLICE_BYTES = 4 << 20  # of text that a task tokenizes at once: what it holds for that goes with it
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -108,7 +109,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) ->
         encode = encoder(tokenizer)
         for part in regrouped(batches, "text", SLICE_BYTES):
             bounds, ids = encode.batch(part.column("text"), end_id)
-            ids = ids.astype("<u4")
+            ids = ids.astype("<u4", copy=False)
             lengths = np.diff(bounds)
             n_each = -(-lengths // capacity)
             doc = np.repeat(np.arange(len(lengths)), n_each)

@@ -132,12 +132,15 @@ class Encoder:
             at, offsets = whole, offsets + np.arange(n + 1)
         store, size = np.frombuffer(b"".join(each), self.kind), self.kind.itemsize
         length = np.fromiter(map(len, each), np.int64, len(each)) // size
-        start = np.cumsum(length) - length
-        n_each = length[at]
         word_bounds = np.zeros(len(at) + 1, np.int64)
-        np.cumsum(n_each, out=word_bounds[1:])
-        where = np.repeat(start[at] - word_bounds[:-1], n_each)
-        where += np.arange(len(where))
+        np.cumsum(length[at], out=word_bounds[1:])
+        # places in store of all ids, in half the memory where they are few enough
+        narrow = np.int32 if max(word_bounds[-1], len(store)) < 1 << 31 else np.int64
+        first = (np.cumsum(length) - length)[at]
+        first -= word_bounds[:-1]
+        where = np.repeat(first.astype(narrow), length[at])
+        del first
+        where += np.arange(len(where), dtype=narrow)
         return word_bounds[offsets], store[where].astype(np.int32)
 
 

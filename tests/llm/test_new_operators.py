@@ -216,3 +216,10 @@ def peak_mb(run, size: int) -> float:
 
 def test_a_slice_of_text_takes_little_memory_to_weigh():
     assert peak_mb(resample.features, resample.BATCH_BYTES) < 50
+
+
+def test_a_slice_of_text_takes_little_memory_to_pack():
+    from barloom.llm import packing
+
+    encode = tokens.encoder(WORD_BPE)
+    assert peak_mb(lambda texts: encode.batch(texts, 1), packing.SLICE_BYTES) < 60
