@@ -76,16 +76,16 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS, -1), lambda w: w != "")
 
 
-def radius_for(similarity: float, miss: float = 1e-8) -> int:
-    """The least number of 64 SimHash bits that a pair of the similarity exceeds with probability miss at most.
+def radius_for(similarity: float, miss: float = 1e-8, bits: int = 64) -> int:
+    """The least number of SimHash bits (64 or as many as given) that a pair of the similarity exceeds with probability miss at most.
 
     Sets of similarity s have a cosine of 2s / (1 + s) if they are equally large; each bit differs with the angle over pi.
     """
     p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
     tail, r = 1.0, -1
-    while tail > miss and r < 64:
+    while tail > miss and r < bits:
         r += 1
-        tail -= math.comb(64, r) * p**r * (1 - p) ** (64 - r)
+        tail -= math.comb(bits, r) * p**r * (1 - p) ** (bits - r)
     return r
 
 
