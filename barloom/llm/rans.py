@@ -56,20 +56,21 @@ def frequency_table(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def encode_block(index: np.ndarray, freqs: np.ndarray, starts: np.ndarray) -> tuple[bytes, bytes, list[int]]:
     """(words, states at each checkpoint, their places in the words) of indexes into the table, a whole number of steps."""
     steps = index.reshape(-1, LANES)
-    f_all, s_all = freqs[steps].astype(np.uint64), starts[steps].astype(np.uint64)
-    x = np.full(LANES, 1 << 16, np.uint64)
+    free = (1 << SCALE) - freqs.astype(np.int64)  # what a quotient adds beyond its symbol's own share
+    f_all, s_all, free_all = freqs[steps].astype(np.int64), starts[steps].astype(np.int64), free[steps]
+    top_all, per_all = f_all << 16, freqs.astype(np.float64)[steps]
+    x = np.full(LANES, 1 << 16, np.int64)
     out, states, at, written = [], [], [], 0
-    low, sixteen = np.uint64(0xFFFF), np.uint64(16)
     for t in range(len(steps) - 1, -1, -1):
-        f = f_all[t]
-        big = x >= (f << sixteen)
-        if big.any():
-            words = (x[big] & low).astype("<u2")
-            out.append(words)
-            written += len(words)
-            x[big] >>= sixteen
-        q, r = np.divmod(x, f)
-        x = (q << np.uint64(SCALE)) + r + s_all[t]
+        big = np.flatnonzero(x >= top_all[t])
+        if len(big):
+            much = x[big]
+            out.append(much.astype("<u2"))  # the low 16 bits
+            written += len(big)
+            x[big] = much >> 16
+        # states have 32 bits and frequencies 17, so the quotient in doubles is cut to the exact one
+        q = (x / per_all[t]).astype(np.int64)
+        x = x + q * free_all[t] + s_all[t]
         if t % CHECKPOINT_STEPS == 0:
             states.append(x.astype("<u4"))
             at.append(written)
@@ -77,22 +78,20 @@ def encode_block(index: np.ndarray, freqs: np.ndarray, starts: np.ndarray) -> tu
     return words.tobytes(), np.concatenate(states[::-1]).tobytes(), [written - a for a in at[::-1]]
 
 
-def decode_steps(words: np.ndarray, at: int, x: np.ndarray, n_steps: int, slot: np.ndarray, freqs: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Indexes into the table of n_steps steps from a checkpoint (place in the words, states)."""
+def decode_steps(words: np.ndarray, at: int, x: np.ndarray, n_steps: int, slot: np.ndarray, share: np.ndarray, within: np.ndarray) -> np.ndarray:
+    """Indexes into the table of n_steps steps from a checkpoint (place in the words, states); tables by the states' low bits."""
     out = np.empty((n_steps, LANES), np.int64)
-    mask, scale, sixteen, floor = np.uint64((1 << SCALE) - 1), np.uint64(SCALE), np.uint64(16), np.uint64(1 << 16)
-    x = x.astype(np.uint64)
+    x = x.astype(np.int64)
     for t in range(n_steps):
-        low = x & mask
-        i = slot[low]
-        out[t] = i
-        x = freqs[i] * (x >> scale) + low - starts[i]
-        small = x < floor
-        n = int(np.count_nonzero(small))
+        low = x & ((1 << SCALE) - 1)
+        out[t] = low
+        x = share[low] * (x >> SCALE) + within[low]
+        small = np.flatnonzero(x < 1 << 16)
+        n = len(small)
         if n:
-            x[small] = (x[small] << sixteen) | words[at : at + n]
+            x[small] = (x[small] << 16) | words[at : at + n]
             at += n
-    return out.reshape(-1)
+    return slot[out.reshape(-1)]
 
 
 def encode_segment(ids: np.ndarray) -> tuple[bytes, bytes, list[dict]]:
@@ -116,9 +115,10 @@ class SegmentReader:
     """Decodes any block of a segment, or from any checkpoint on; raises if a checksum differs."""
 
     def __init__(self, symbols: bytes, freqs: bytes):
-        self.symbols, self.freqs = np.frombuffer(symbols, "<u4"), np.frombuffer(freqs, "<u4").astype(np.uint64)
-        self.starts = np.cumsum(self.freqs) - self.freqs
-        self.slot = np.repeat(np.arange(len(self.freqs)), self.freqs.astype(np.int64))
+        self.symbols, of = np.frombuffer(symbols, "<u4"), np.frombuffer(freqs, "<u4").astype(np.int64)
+        self.slot = np.repeat(np.arange(len(of)), of)
+        self.share = of[self.slot]  # of a state's low bits: their symbol's frequency, their place among its slots
+        self.within = np.arange(1 << SCALE) - np.repeat(np.cumsum(of) - of, of)
 
     def block(self, block: dict, checkpoint: int = 0) -> np.ndarray:
         span = LANES * CHECKPOINT_STEPS
@@ -126,7 +126,7 @@ class SegmentReader:
         if zlib.crc32(block["words"]) != block["words_crc32"]:
             raise ValueError("a block's words do not match their checksum")
         states = np.frombuffer(block["states"], "<u4").reshape(-1, LANES)[checkpoint]
-        index = decode_steps(np.frombuffer(block["words"], "<u2"), block["at"][checkpoint], states, -(-(n - first) // LANES), self.slot, self.freqs, self.starts)
+        index = decode_steps(np.frombuffer(block["words"], "<u2"), block["at"][checkpoint], states, -(-(n - first) // LANES), self.slot, self.share, self.within)
         ids = self.symbols[index[: n - first]]
         if [zlib.crc32(ids[b : b + span]) for b in range(0, len(ids), span)] != list(block["ids_crc32"][checkpoint:]):
             raise ValueError("a block's ids do not match their checksum")

@@ -93,6 +93,28 @@ def test_blocks_decode_from_any_checkpoint(n):
         reader.block(broken)
 
 
+@pytest.mark.parametrize("freqs", [[1, 65535], [65536], [3, 7, 65526], [1] * 65536])
+def test_steps_equal_whole_number_arithmetic(freqs):
+    rng, freqs = np.random.default_rng(len(freqs)), np.array(freqs, "<u4")
+    starts = np.cumsum(freqs) - freqs
+    index = rng.integers(0, len(freqs), 4 * rans.LANES)
+    words, states, _ = rans.encode_block(index, freqs, starts)
+    x, out = [1 << 16] * rans.LANES, []
+    for step in index.reshape(-1, rans.LANES)[::-1]:
+        here = []
+        for lane, i in enumerate(step.tolist()):
+            f = int(freqs[i])
+            if x[lane] >= f << 16:
+                here.append(x[lane] & 0xFFFF)
+                x[lane] >>= 16
+            x[lane] = (x[lane] // f << 16) + x[lane] % f + int(starts[i])
+        out = here + out
+    assert words == np.array(out, "<u2").tobytes() and states == np.array(x, "<u4").tobytes()
+    read = rans.SegmentReader(np.arange(len(freqs), dtype="<u4").tobytes(), freqs.tobytes())
+    got = rans.decode_steps(np.frombuffer(words, "<u2"), 0, np.array(x, "<u4"), 4, read.slot, read.share, read.within)
+    assert (got == index).all()
+
+
 def test_best_fit_decreasing_equals_one_by_one():
     import bisect
 
