@@ -6,10 +6,13 @@ it. A node has LANES SimHashes of 16 bits instead; its keys are the first bits o
 unrelated texts to a key, 16 at most. A pair of 0.8 shares none of the keys with probability (1 - 0.848 ** bits) **
 LANES: 7 in 100,000 at 16 bits, 1 in 10 million at 13, less above 0.8.
 
-Within a key, SimHashes of 192 bits are compared by bit planes; what they join makes a group. The rest is exact: within a
-group all members are first compared with one. Where that leaves several components, tasks compare the members outside
-the largest with all others, a tile at a time: the bit planes of a tile are compared at once, what is left is counted
-exactly, and only links that join two components leave the task.
+Within a key, SimHashes of 192 bits are compared by bit planes; what they join makes a group. Near copies meet again in
+up to LANES keys, each time among others, so the groups are not compared one by one: all bits of the SimHashes split them
+first, and those that share a member become one, where each text stands once.
+
+The rest is exact: each text is first compared with the nearest one and with one that most of its groups share. Where that
+leaves several components, tasks compare the members outside the largest with all others, a tile at a time: the bit planes
+of a tile are compared at once, what is left is counted exactly, and only links that join two components leave the task.
 
 A SimHash of few shingles has few votes: where one set has fewer than SMALL, a pair shares one of the least
 n - ceil(0.8 n) + 1 hashes of each, and meets there, which is exact.
@@ -22,7 +25,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.shared import components, drop, radius_for, save, small_batches
@@ -32,6 +35,7 @@ from barloom.llm.tokens import text_slices
 SHINGLE, SIMILARITY = 5, 0.8
 TILE, SEED = 256, 42
 LANES, WORDS, CROWD, HOT = 128, 3, 32, 4  # keys of a node; words of a compared SimHash; texts to a key; tiles of a key that is dealt out
+WHOLE = 16  # tiles of a group that all bits still split
 SMALL = 16  # sets of fewer shingles are compared exactly whatever their SimHashes
 _RNG = np.random.default_rng(SEED)
 _FLIP, _TIMES = _RNG.integers(0, 2**64, LANES // 4, np.uint64), _RNG.integers(0, 2**64, LANES // 4, np.uint64) | np.uint64(1)
@@ -172,6 +176,12 @@ def _grouper(keys: list[str], radius: int, first_radius: int):
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["g", "fp", "pivot"])
 
+    return _by_group(keys, groups)
+
+
+def _by_group(keys: list[str], groups):
+    """mapInArrow body over rows sorted by keys: groups(rows, cut) of whole groups, those of a batch at once."""
+
     def run(batches):
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -189,6 +199,83 @@ def _grouper(keys: list[str], radius: int, first_radius: int):
     return run
 
 
+def nearest_within(lanes: np.ndarray, wide: np.ndarray, cut: np.ndarray, radius: int, chunk: int = 1 << 14) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(label, other, apart) of rows of groups (rows cut[g] to cut[g + 1]): the least index that pairs within the radius
+    reach in the group, the nearest other row and the bits that it differs in.
+
+    Rows that are not wide have no SimHash and are near all of their group.
+    """
+    n = len(lanes)
+    behind = np.repeat(cut[1:], np.diff(cut)) - np.arange(n) - 1
+    ends = np.cumsum(behind)
+    other, apart = np.arange(n), np.full(n, 64 * lanes.shape[1] + 1)
+    left, right = [], []
+    lo = 0
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + chunk, "right")))
+        i = np.repeat(np.arange(lo, hi), behind[lo:hi])
+        j = i + 1 + np.arange(len(i)) - np.repeat(ends[lo:hi] - behind[lo:hi] - ends[lo] + behind[lo], behind[lo:hi])
+        d = np.bitwise_count(lanes[i] ^ lanes[j]).sum(axis=1, dtype=np.int64)
+        near = (d <= radius) | ~(wide[i] & wide[j])
+        i, j, d = i[near], j[near], d[near]
+        for x, y in ((i, j), (j, i)):
+            best = np.lexsort((d, x))
+            best = best[np.concatenate([[True], x[best][1:] != x[best][:-1]])] if len(best) else best
+            best = best[d[best] < apart[x[best]]]
+            other[x[best]], apart[x[best]] = y[best], d[best]
+        left.append(i)
+        right.append(j)
+        lo = hi
+    return joined(n, np.concatenate(left), np.concatenate(right)), other, apart
+
+
+def _splitter(radius: int):
+    """mapInArrow body over rows (g, fp, lanes) sorted by g: fp, pivot (the least of its part of the group), other (the nearest), apart."""
+
+    def groups(rows: pa.Table, cut: np.ndarray):
+        fp, lists = rows.column("fp").to_numpy(), rows.column("lanes").combine_chunks()
+        wide = lists.value_lengths().to_numpy() > 0
+        lanes = np.zeros((len(fp), LANES), np.int16)
+        lanes[wide] = lists.flatten().to_numpy().reshape(-1, LANES)
+        label, other, apart = nearest_within(lanes.view(np.uint64), wide, cut, radius)
+        pivot = np.full(len(fp), np.iinfo(np.int64).max)
+        np.minimum.at(pivot, label, fp)
+        some = np.flatnonzero(other != np.arange(len(fp)))
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (fp[some], pivot[label[some]], fp[other[some]], apart[some])], ["fp", "pivot", "other", "apart"])
+
+    return _by_group(["g"], groups)
+
+
+def gathered(crowd: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
+    """Saved g, fp, pivot, other: each member of the proposed groups once, in a group with all that it may be similar to.
+
+    Groups are split by all bits of the SimHashes first; those over WHOLE tiles stay whole. pivot and other are texts to
+    be compared with first.
+    """
+    size = crowd.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > WHOLE * tile)
+    large = save(size.select("g"), "large")
+    few, many = crowd, None
+    if not large.isEmpty():
+        few, many = crowd.join(F.broadcast(large), "g", "left_anti"), crowd.join(F.broadcast(large), "g", "left_semi")
+    radius = radius_for(similarity, 1e-12, 16 * LANES)  # few shingles differ in more bits than the angle says: in 0.158 at 0.8
+    rows = few.select("g", "fp").join(nodes.select("fp", "lanes"), "fp").select("g", "fp", "lanes")
+    parts = rows.repartition("g").sortWithinPartitions("g").mapInArrow(_splitter(radius), "fp long, pivot long, other long, apart long")
+    if many is not None:
+        parts = parts.unionByName(many.where("fp <> pivot").select("fp", "pivot", F.col("pivot").alias("other"), F.lit(16 * LANES).cast("long").alias("apart")))
+    per = parts.groupBy("fp", "pivot").agg(F.min(F.struct("apart", "other")).alias("nearest"))
+    of_fp = Window.partitionBy("fp")  # a row a pivot: LANES of them, or those of small sets and crowded keys
+    both = save(per.select("fp", "pivot", F.min("pivot").over(of_fp).alias("first"), F.min("nearest").over(of_fp)["other"].alias("other")), "parts")
+    # a text joins all its pivots: with the first of them, and those with one another
+    edges = both.select(F.col("fp").alias("a"), F.col("first").alias("b")).unionByName(both.select(F.col("pivot").alias("a"), F.col("first").alias("b")))
+    label = save(components(edges, "a", "b"), "gathered")
+    asks = both.groupBy("fp").agg(F.min("first").alias("pivot"), F.min("other").alias("other"))
+    out = label.join(asks, label["node"] == asks["fp"], "left")
+    out = save(out.select(F.col("label").alias("g"), F.col("node").alias("fp"), F.coalesce("pivot", "node").alias("pivot"), F.coalesce("other", "node").alias("other")), "whole")
+    drop(large, both, label)
+    return out
+
+
 def proposals(nodes: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
     """Groups (g, fp, pivot) that hold every pair which shares a key and is within the radius; nodes must be saved."""
     bits = min(16, max(8, math.ceil(math.log2(max(nodes.count(), 1) / CROWD))))
@@ -353,14 +440,15 @@ def _tile_linker(similarity: float, radius: int):
 def links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, tile: int = TILE) -> DataFrame:
     """Edges (a, b) whose components are those of all proposed pairs of distinct ``fp`` as similar as asked; nodes must be saved."""
     crowd = proposals(nodes, similarity, tile)
+    whole = gathered(crowd, nodes, similarity, tile)
     with small_batches(docs.sparkSession):
-        sets = save(_sets(docs, nodes.join(crowd.select("fp").distinct(), "fp", "left_semi").select("fp", "rep"), shingle), "sets")
-    star = crowd.where("fp <> pivot").select(F.least("pivot", "fp").alias("a"), F.greatest("pivot", "fp").alias("b")).distinct()
-    star = save(star, "star")
+        sets = save(_sets(docs, nodes.join(whole.select("fp"), "fp", "left_semi").select("fp", "rep"), shingle), "sets")
+    first = whole.select("fp", "pivot").unionByName(whole.select("fp", F.col("other").alias("pivot"))).where("fp <> pivot")
+    star = save(first.select(F.least("pivot", "fp").alias("a"), F.greatest("pivot", "fp").alias("b")).distinct(), "star")
     found = _similar(star, sets, similarity)
     label = save(components(found, "a", "b"), "labels")
-    known = crowd.join(label, crowd["fp"] == label["node"], "left")
-    known = save(known.select("g", "pivot", "fp", F.coalesce("label", "fp").alias("label")).where("fp <> pivot"), "known")
+    known = whole.join(label, whole["fp"] == label["node"], "left")
+    known = save(known.select("g", "fp", F.coalesce("label", "fp").alias("label")), "known")
     per = known.groupBy("g", "label").agg(F.count("*").alias("m")).groupBy("g")
     per = per.agg(F.max(F.struct("m", "label")).alias("most"), F.count("*").alias("labels"), F.sum("m").alias("n")).where("labels > 1")
     per = per.select(
@@ -379,7 +467,7 @@ def links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, shi
     with small_batches(docs.sparkSession):
         across = dealt.mapInArrow(_tile_linker(similarity, radius_for(similarity)), "a long, b long")
         out = save(found.unionByName(across), "links")
-    drop(crowd, sets, star, found, label, known, rest)
+    drop(crowd, whole, sets, star, found, label, known, rest)
     return out
 
 

@@ -82,10 +82,11 @@ def radius_for(similarity: float, miss: float = 1e-8, bits: int = 64) -> int:
     Sets of similarity s have a cosine of 2s / (1 + s) if they are equally large; each bit differs with the angle over pi.
     """
     p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    tail, r = 1.0, -1
+    tail, r, term = 1.0, -1, (1 - p) ** bits
     while tail > miss and r < bits:
         r += 1
-        tail -= math.comb(bits, r) * p**r * (1 - p) ** (bits - r)
+        tail -= term
+        term *= (bits - r) / (r + 1) * p / (1 - p)  # the number of ways alone is beyond a double for many bits
     return r
 
 
